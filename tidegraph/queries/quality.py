@@ -74,7 +74,7 @@ _REAL = "(moment IS NOT NULL AND (moment = '' OR (length(moment) = 10 AND try_st
 
 _REFS = """
 refs AS (
-  SELECT 'relationship_requests' AS child_table, 'source_id' AS field_name, CAST(request_id AS VARCHAR) AS record_id, source_id AS k, requested_at AS "at" FROM relationship_requests WHERE source_id IS NOT NULL
+  SELECT 'relationship_requests' AS child_table, 'source_id' AS field_name, CAST(request_id AS VARCHAR) AS record_id, source_id AS k, requested_at AS used_at FROM relationship_requests WHERE source_id IS NOT NULL
   UNION ALL SELECT 'relationship_requests', 'target_id', CAST(request_id AS VARCHAR), target_id, requested_at FROM relationship_requests WHERE target_id IS NOT NULL
   UNION ALL SELECT 'workflow_executions', 'workflow_id', execution_id, workflow_id, started_at FROM workflow_executions WHERE workflow_id IS NOT NULL
 ), lives AS (
@@ -85,7 +85,7 @@ refs AS (
   SELECT DISTINCT r.*, NOT EXISTS (SELECT 1 FROM lives l WHERE l.child_table = r.child_table AND l.k = r.k) AS missing
   FROM refs r WHERE NOT EXISTS (
     SELECT 1 FROM lives l WHERE l.child_table = r.child_table AND l.k = r.k
-      AND (l.born IS NULL OR l.born <= r."at") AND (l.died IS NULL OR l.died > r."at"))
+      AND (l.born IS NULL OR l.born <= r.used_at) AND (l.died IS NULL OR l.died > r.used_at))
 )"""
 
 QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p2_loaded": p2_loaded, "p5_found": p5_found, "p5_counts": p5_counts}
@@ -93,5 +93,5 @@ QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p2_loaded": p2_loade
 ORACLES = {
     "p2_found": f"SELECT DISTINCT line_id FROM ({_valid_sql()}) WHERE NOT {_REAL}",
     "p5_found": f"WITH {_REFS} SELECT DISTINCT child_table, field_name, record_id FROM dead",
-    "p5_counts": f"WITH {_REFS} SELECT child_table, field_name, strftime("at", '%Y-%m') AS month, CASE WHEN missing THEN 'missing' ELSE 'not_alive' END AS reason, count(*) AS orphans FROM dead GROUP BY ALL",
+    "p5_counts": f"WITH {_REFS} SELECT child_table, field_name, strftime(used_at, '%Y-%m') AS month, CASE WHEN missing THEN 'missing' ELSE 'not_alive' END AS reason, count(*) AS orphans FROM dead GROUP BY ALL",
 }
