@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import groups, pieces, tokens
+from tidegraph.llm import encodings, groups, pieces, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_restored(spark, d).select("doc_id", "field_name").distinct()
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled_fields(_t(spark, d, "kg_documents"), "doc_id", ["title", "content"])
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split_texts(_t(spark, d, "kg_documents"), "doc_id", "content")
 
@@ -33,7 +41,7 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(_t(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids}
+QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids}
 
 ORACLES = {
     "p4_found": "SELECT doc_id FROM kg_documents WHERE length(content) > 512",
