@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import encodings, groups, pieces, tokens
+from tidegraph.llm import encodings, groups, pieces, spam, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -41,7 +41,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(_t(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(_t(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id").distinct()
+
+
+def p9_figures(spark: SparkSession, d: str) -> DataFrame:
+    return spam.page_figures(_t(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_figures": p9_figures}
 
 ORACLES = {
     "p4_found": "SELECT doc_id FROM kg_documents WHERE length(content) > 512",
