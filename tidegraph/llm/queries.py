@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import encodings, groups, pieces, spam, tokens
+from tidegraph.llm import encodings, entities, groups, pieces, spam, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return entities.organisation_pairs(entities.records(_t(spark, d, "organizations"), _t(spark, d, "extracted_relations")))
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return entities.organisation_groups(entities.records(_t(spark, d, "organizations"), _t(spark, d, "extracted_relations")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_restored(spark, d).select("doc_id", "field_name").distinct()
 
@@ -49,7 +57,7 @@ def p9_figures(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_figures(_t(spark, d, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_figures": p9_figures}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_figures": p9_figures}
 
 ORACLES = {
     "p4_found": "SELECT doc_id FROM kg_documents WHERE length(content) > 512",
