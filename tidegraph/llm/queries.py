@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import encodings, entities, groups, pieces, spam, tokens
+from tidegraph.llm import encodings, entities, groups, packing, pieces, spam, tokens
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -49,6 +49,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(_t(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(_t(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(p8_containers(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam_pages(_t(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id").distinct()
 
@@ -57,7 +65,7 @@ def p9_figures(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_figures(_t(spark, d, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p9_found": p9_found, "p9_figures": p9_figures}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_figures": p9_figures}
 
 ORACLES = {
     "p4_found": "SELECT doc_id FROM kg_documents WHERE length(content) > 512",
