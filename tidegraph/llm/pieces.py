@@ -182,7 +182,8 @@ def split_files(spark: SparkSession, paths: str, limit: int = LIMIT, overlap: in
     Only names and lengths are listed; each range is read by one task with its halo.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
-    todo = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / range_bytes))).cast("bigint").alias("range_no")).repartition("path", "range_no")
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / range_bytes))
+    todo = files.select("path", "length", F.explode(numbers).alias("range_no")).repartition("path", "range_no")
     read = todo.mapInArrow(_file_ranges(limit, range_bytes), "key string, range_no bigint, core bigint, offset bigint, last boolean, text string")
     before = Window.partitionBy("key").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     lengths = read.select("key", "range_no", "core", "offset").withColumn("base", F.coalesce(F.sum("core").over(before), F.lit(0)) - F.col("offset"))
