@@ -295,11 +295,12 @@ def organisation_groups(records: DataFrame) -> DataFrame:
     # Names without a kind: one family of their letters and unit, or of the kind their record tells.
     bare = keys.where("kind = ''").select(F.col("unit").alias("block"), "key", F.col("core").alias("s"))
     fits = segment_join(bare, _strings(named, F.col("unit")), both=True)
-    options = (
+    options = materialise(
         fits.unionByName(forms.where("kind_a = ''").select("a", "b"))
         .join(families.select(F.col("key").alias("b"), "family"), "b")
         .select("a", "family", F.substring_index("family", "|", 1).alias("kind"))
-        .distinct()
+        .distinct(),
+        "options",
     )
     count = options.groupBy("a").agg(F.count("*").alias("n"), F.min("family").alias("only"))
     one = materialise(count.where("n = 1").select(F.col("a").alias("key"), F.col("only").alias("family")), "attached")
