@@ -40,6 +40,9 @@ from tidegraph.plans import skew
 from tidegraph.plans.scratch import materialise
 
 HOT = 32
+#: Below this length names of different organisations may lie two edits apart.
+SHORT = 12
+TRADE_KINDS = ("group", "lines", "line", "sea")
 _SYLLABLE = re.compile(r"[^aeiou]*[aeiou](?:n(?![aeiou]))?")
 _VOWELS = re.compile("[aeiou]")
 
@@ -263,6 +266,24 @@ TYPE_KINDS = {
 }
 
 
+def plausible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Pairs that are slips of each other rather than two short names.
+
+    A slip is rare beside the right spelling. Two short spellings that are both
+    typed more than once stay apart unless one is ten times as common; trade
+    names, shorter than others, may differ by one edit only.
+    """
+    k = lambda x: keys.select(F.col("key").alias(x), F.col("core").alias(f"core_{x}"), F.col("kind").alias(f"kind_{x}"), F.col("n").alias(f"n_{x}"))
+    j = pairs.join(k("a"), "a").join(k("b"), "b")
+    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    long = F.least(F.length("core_a"), F.length("core_b")) >= SHORT
+    edit = F.levenshtein("core_a", "core_b")
+    letters = lambda c: F.array_sort(F.split(c, ""))
+    one = (edit <= 1) | ((edit == 2) & (letters(F.col("core_a")) == letters(F.col("core_b"))))
+    trade = F.col("kind_a").isin(*TRADE_KINDS)
+    return j.where(long | (((low == 1) | (high >= 10 * low)) & (~trade | one))).select("a", "b")
+
+
 def _strings(keys: DataFrame, block) -> DataFrame:
     """(block, key, s): the letters of a key, in both orders of two words."""
     orders = F.when((F.size("words") == 2) & (F.size("signs") > 0), F.array("core", F.concat(F.col("words")[1], F.col("words")[0]))).otherwise(F.array("core"))
@@ -272,11 +293,12 @@ def _strings(keys: DataFrame, block) -> DataFrame:
 def organisation_groups(records: DataFrame) -> DataFrame:
     """(rec, org, group_id) of the records (rec bigint, org boolean, hint string, names array<string>) that could be read."""
     read_ = materialise(records.repartition("rec").mapInArrow(_readings, _READ).withColumn("key", F.concat_ws("|", "kind", "unit", "core")), "readings")
-    keys = materialise(read_.groupBy("key", "kind", "unit", "core").agg(F.max(F.struct(F.size("signs").alias("n"), "words", "signs")).alias("w"), F.max("asks").alias("asks")).select("key", "kind", "unit", "core", "w.words", "w.signs", "asks"), "keys")
+    keys = materialise(read_.groupBy("key", "kind", "unit", "core").agg(F.max(F.struct(F.size("signs").alias("n"), "words", "signs")).alias("w"), F.max("asks").alias("asks"), F.countDistinct("rec").alias("n")).select("key", "kind", "unit", "core", "w.words", "w.signs", "asks", "n"), "keys")
     initial = F.size(F.filter("asks", lambda a: a.startswith("i:"))) > 0
     named = keys.where((F.col("kind") != "") & ~initial)
     block = F.concat_ws("|", "kind", "unit")
     alike = segment_join(named.select(block.alias("block"), "key", F.col("core").alias("s")), _strings(named, block), both=False)
+    alike = plausible(alike, named)
     own = named.select(F.col("key").alias("a"), F.col("key").alias("b"))
     spelled = materialise(linked_groups(alike.unionByName(own), "a", "b").select(F.col("record_id").alias("key"), F.col("group_id").alias("family")), "spelled")
 

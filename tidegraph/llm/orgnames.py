@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 #: Hangul letters by their place in a syllable, in Unicode's order.
@@ -31,12 +32,13 @@ KINDS = {
     "marine": (("marine", "engineering"), "해양엔지니어링"),
     "ocean": (("ocean", "research", "institute"), "해양연구원"),
     "group": (("group",), "그룹"),
-    "lines": (("lines",), "라인"),
+    "lines": (("lines",), "라인즈"),
+    "line": (("line",), "라인"),
     "sea": (("sea",), "시"),
 }
 #: Other words for parts of a kind, from common usage.
 WORDS = {
-    "towing": "towage", "tug": "towage", "tugs": "towage", "terminals": "terminal", "term": "terminal", "trm": "terminal", "line": "lines", 
+    "towing": "towage", "tug": "towage", "tugs": "towage", "terminals": "terminal", "term": "terminal", "trm": "terminal", 
     "ops": "operations", "oper": "operations", "shpng": "shipping", "shpg": "shipping", "lgstcs": "logistics", "slvg": "salvage", "twg": "towage", "soc": "society", "inst": "institute", "res": "research", "auth": "authority", "authy": "authority",
     "tow": "towage", "mar": "marine", "eng": "engineering", "engg": "engineering", "engrg": "engineering", "class": "classification", "yard": "shipbuilding", "shipyard": "shipbuilding", "shipyards": "shipbuilding", "shipbldg": "shipbuilding", "grp": "group",
 }
@@ -93,6 +95,15 @@ def _near(word: str, full: str) -> bool:
     return word[i + 1 :] == full[i + 1 :] or word[i:] == full[i + 1 :] or word[i + 1 :] == full[i:] or (word[i : i + 2] == full[i : i + 2][::-1] and word[i + 2 :] == full[i + 2 :])
 
 
+_PARTS = tuple(dict.fromkeys(p for full, _ in KINDS.values() for p in full))
+
+
+@lru_cache(maxsize=200_000)
+def _parts_of(word: str) -> frozenset[str]:
+    """Parts of kinds that a typed word may be; most words of proper names are none."""
+    return frozenset({word}) if word in _PARTS else frozenset(p for p in _PARTS if _near(word, p))
+
+
 def _kind(words: list[str]) -> tuple[str, list[str]]:
     """The kind of business that the words name, and the words without it."""
     joined = words
@@ -100,11 +111,14 @@ def _kind(words: list[str]) -> tuple[str, list[str]]:
         if words[i] == "ship" and _near(words[i + 1], "building"):
             joined = [*words[:i], "shipbuilding", *words[i + 2 :]]
     words = joined
+    near = [_parts_of(w) for w in words]
+    if not any(near):
+        return "", words
     best: tuple[int, str, list[int]] = (0, "", [])
     for code, (full, _) in KINDS.items():
         used: list[int] = []
         for part in full:
-            hit = next((i for i, w in enumerate(words) if i not in used and _near(w, part)), None)
+            hit = next((i for i, w in enumerate(words) if i not in used and part in near[i]), None)
             if hit is not None:
                 used.append(hit)
         exact = len(used)
