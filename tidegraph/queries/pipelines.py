@@ -261,7 +261,7 @@ AGE = "date_diff('day', CAST(updated_at AS DATE), DATE '2025-06-01')"
 
 
 @query(
-    f"SELECT org_id, completeness, 1.0::DOUBLE AS accuracy, freshness, consistency, round((completeness + 1.0::DOUBLE + freshness + consistency) / 4, 4) AS overall FROM (SELECT org_id, "
+    f"SELECT org_id, completeness, 1.0::DOUBLE AS accuracy, freshness, consistency, round((completeness + 1.0::DOUBLE + freshness + consistency) / 4 + 1e-9, 4) AS overall FROM (SELECT org_id, "
     f"round(((coalesce(trim(name, ' '), '') <> '')::INT + (coalesce(trim(name_en, ' '), '') <> '')::INT + (coalesce(trim(country, ' '), '') <> '')::INT) / 3.0::DOUBLE, 4) AS completeness, "
     f"CASE WHEN updated_at IS NULL OR {AGE} >= 365 THEN 0.0::DOUBLE WHEN {AGE} <= 30 THEN 1.0::DOUBLE ELSE round(1 - ({AGE} - 30) / 335.0::DOUBLE, 4) END AS freshness, CASE WHEN org_type IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS consistency FROM organizations)"
 )
