@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.operators.traverse import degrees, orphans
+from tidegraph.operators.traverse import degrees
 
 
 @dataclass(frozen=True)
@@ -92,10 +92,9 @@ def cardinality(vertices: DataFrame, edges: DataFrame, least: int, most: int | N
 
 def orphan_rate(vertices: DataFrame, edges: DataFrame, most: float = 0.1) -> DataFrame:
     """(vertices, orphans, rate, passed)."""
-    n = vertices.agg(F.count("*").alias("vertices"))
-    o = orphans(vertices, edges).agg(F.count("*").alias("orphans"))
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct().withColumn("_linked", F.lit(True))
+    one = vertices.join(ends, "id", "left").agg(F.count("*").alias("vertices"), F.count_if(F.col("_linked").isNull()).alias("orphans"))
     rate = F.when(F.col("vertices") > 0, F.col("orphans") / F.col("vertices")).otherwise(0.0)
-    one = n.withColumn("k", F.lit(0)).join(o.withColumn("k", F.lit(0)), "k").drop("k")
     return one.withColumn("rate", F.round(rate, 6)).withColumn("passed", rate <= most)
 
 
