@@ -44,6 +44,11 @@ EXTREME = 5.0
 #: Smallest spread that a group of comparable pages is taken to have.
 FLOOR = {"slope": 0.08, "residual": 0.05, "divergence": 0.3}
 
+#: Words from which a page's figures are steady.
+STEADY = 100
+#: Pages that the whole corpus counts for when a word's share among seeds is estimated.
+PRIOR = 2.0
+
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
@@ -114,7 +119,8 @@ def _curves(pages: DataFrame) -> DataFrame:
     w = F.col("w")
     vx, vy, xy = F.col("sxx") / w - (F.col("sx") / w) ** 2, F.col("syy") / w - (F.col("sy") / w) ** 2, F.col("sxy") / w - F.col("sx") * F.col("sy") / w / w
     flat = vx < 1e-9
-    return sums.select("key", "n", F.when(flat, 0.0).otherwise(xy / vx).alias("slope"), F.sqrt(F.greatest(F.lit(0.0), F.when(flat, vy).otherwise(vy - xy * xy / vx))).alias("residual"))
+    # One frequency for all words has no slope over ranks: single words are level, repeated ones as steep as they are many.
+    return sums.select("key", "n", F.when(flat, -F.log(F.col("n") / w)).otherwise(xy / vx).alias("slope"), F.sqrt(F.greatest(F.lit(0.0), F.when(flat, vy).otherwise(vy - xy * xy / vx))).alias("residual"))
 
 
 def _words(pages: DataFrame) -> DataFrame:
@@ -144,7 +150,8 @@ def _divergence(pages: DataFrame) -> DataFrame:
 
 
 def _apart(c: str, median: str, spread: str) -> Column:
-    return (F.col(c) - F.col(median)) / F.greatest(1.4826 * F.col(spread), F.lit(FLOOR[c]))
+    floor = F.lit(FLOOR[c]) * F.greatest(F.lit(1.0), F.sqrt(F.lit(STEADY) / F.col("n")))  # figures of few words scatter
+    return (F.col(c) - F.col(median)) / F.greatest(1.4826 * F.col(spread), floor)
 
 
 def page_figures(docs: DataFrame, key: str, text: str, lang: str, buckets: int = BUCKETS) -> DataFrame:
@@ -154,16 +161,26 @@ def page_figures(docs: DataFrame, key: str, text: str, lang: str, buckets: int =
     pages = materialise(src.mapInArrow(_pages(buckets), f"key {kind}, lang string, buckets array<int>, counts array<int>, freq array<int>, number array<int>"), "pages")
     figures = materialise(_curves(pages).join(_divergence(pages), "key").withColumn("band", F.floor(F.log2("n"))), "figures")
     names = list(FLOOR)
-    middle = figures.groupBy("lang", "band").agg(*[F.percentile_approx(c, 0.5, 1000).alias(f"m_{c}") for c in names])
-    off = figures.join(F.broadcast(middle), ["lang", "band"])
-    spread = off.groupBy("lang", "band").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m_{c}")), 0.5, 1000).alias(f"s_{c}") for c in names])
+    mid = lambda c: F.percentile_approx(c, 0.5, 1000)
+    middle = figures.groupBy("lang", "band").agg(*[mid(F.col(c)).alias(f"m_{c}") for c in names])
+    whole = figures.groupBy("lang").agg(mid(F.col("divergence")).alias("m_all"))
+    # Spam may fill a band of lengths, so divergence is held against the language's middle if that is lower.
+    off = figures.join(F.broadcast(middle), ["lang", "band"]).join(F.broadcast(whole), "lang")
+    far = {c: F.abs(F.col(c) - F.col(f"m_{c}")) for c in names}
+    spread = off.groupBy("lang", "band").agg(*[mid(far[c]).alias(f"s_{c}") for c in names])
+    spread_all = off.groupBy("lang").agg(mid(F.abs(F.col("divergence") - F.col("m_all"))).alias("s_all"))
+    off = off.join(F.broadcast(spread), ["lang", "band"]).join(F.broadcast(spread_all), "lang")
+    off = off.withColumns({"m_divergence": F.least("m_divergence", "m_all"), "s_divergence": F.least("s_divergence", "s_all")})
     z = {c: _apart(c, f"m_{c}", f"s_{c}") for c in names}
     extreme = (z["slope"] < -EXTREME) | (z["residual"] > EXTREME) | (z["divergence"] > EXTREME)
-    seeds = off.join(F.broadcast(spread), ["lang", "band"]).select("key", (extreme & (F.col("n") >= LEAST_SEED)).alias("seed"))
+    seeds = off.select("key", (extreme & (F.col("n") >= LEAST_SEED)).alias("seed"))
     marked = materialise(pages.select("key", "buckets", "counts").join(seeds, "key"), "marked")
     sides = marked.agg(F.count_if("seed").alias("bad"), F.count_if(~F.col("seed")).alias("good")).first()
     df = marked.select("seed", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count_if("seed").alias("bad_df"), F.count_if(~F.col("seed")).alias("good_df"))
-    nearer = F.log((F.col("bad_df") + 0.5) / (sides["bad"] + 1)) - F.log((F.col("good_df") + 0.5) / (sides["good"] + 1))
+    # A word that no seed has speaks for prose, however few the seeds are.
+    overall = (F.col("bad_df") + F.col("good_df")) / F.lit(float(sides["bad"] + sides["good"] or 1))
+    share = lambda c: (F.col(f"{c}_df") + PRIOR * overall) / (sides[c] + PRIOR)
+    nearer = F.log(share("bad")) - F.log(share("good"))
     lean = df.select("bucket", F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), nearer)).alias("lean") if sides["bad"] else F.lit(-CLIP).alias("lean"))
     scores = (
         marked.select("key", F.explode(F.arrays_zip("buckets", "counts")).alias("p"))
