@@ -470,3 +470,54 @@ def project_scope(spark: SparkSession, d: str) -> DataFrame:
     e = g.edges | {"PLACED": g.edges["PLACED"].join(segment, "src")}
     shared = type(g)(v, e, name="shared")
     return compile_query(shared, Query("Customer").for_project("BUILDING").hop("PLACED", "Order").where("h1.o_orderstatus", "=", "F").count().build()).withColumnRenamed("count", "orders")
+
+
+# Lists of vertices and edges, schema ------------------------------------------------------------------
+
+
+@query("SELECT node_id, total FROM (SELECT node_id, count(*) OVER () AS total FROM (SELECT DISTINCT node_id FROM graph_nodes WHERE list_contains(labels, 'Vessel') AND contains(coalesce(json_extract_string(props, '$.name'), ''), 'n'))) ORDER BY node_id LIMIT 20 OFFSET 10")
+def list_vertices(spark: SparkSession, d: str) -> DataFrame:
+    n, _ = knowledge_graph(spark, d)
+    rows = n.where(F.array_contains("labels", "Vessel") & F.coalesce(F.get_json_object("props", "$.name"), F.lit("")).contains("n")).select(F.col("id").alias("node_id")).distinct()
+    return rows.orderBy("node_id").offset(10).limit(20).withColumn("total", F.lit(rows.count()).cast("bigint"))
+
+
+@query("SELECT edge_id, edge_type AS type FROM graph_edges WHERE edge_type = 'OWNED_BY' AND source_id IN (SELECT node_id FROM graph_nodes) AND target_id IN (SELECT node_id FROM graph_nodes) ORDER BY edge_id LIMIT 50")
+def list_edges(spark: SparkSession, d: str) -> DataFrame:
+    n, e = knowledge_graph(spark, d)
+    ids = n.select("id").distinct()
+    both = e.where(F.col("type") == "OWNED_BY").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return both.select("edge_id", "type").orderBy("edge_id").limit(50)
+
+
+@query("SELECT 'label' AS kind, label AS name, count(*) AS rows FROM (SELECT unnest(labels) AS label FROM (SELECT DISTINCT node_id, labels, props, created_at, deleted_at FROM graph_nodes)) GROUP BY 2 UNION ALL SELECT 'edge', edge_type, count(*) FROM graph_edges GROUP BY 2")
+def schema_overview(spark: SparkSession, d: str) -> DataFrame:
+    """All label counts in one pass and all edge counts in another, however many there are."""
+    n, e = knowledge_graph(spark, d)
+    one = n.select(F.lit("label").alias("kind"), F.explode("labels").alias("name")).unionByName(e.select(F.lit("edge").alias("kind"), F.col("type").alias("name")))
+    return one.groupBy("kind", "name").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT id, round(sum(w), 2) AS weight FROM (SELECT 'Order:' || l_orderkey AS id, l_quantity AS w FROM lineitem UNION ALL SELECT 'Part:' || l_partkey, l_quantity FROM lineitem) GROUP BY 1")
+def projection_weighted_degree(spark: SparkSession, d: str) -> DataFrame:
+    from tidegraph.operators.algorithms import Projections
+
+    p = Projections()
+    e = p.create("bought", trade_graph(spark, d), ["CONTAINS"], "undirected", "l_quantity")
+    return e.groupBy(F.col("src").alias("id")).agg(F.round(F.sum("weight"), 2).alias("weight"))
+
+
+@query(REACH.format(hub=HUB, depth=3).replace("SELECT id, min(depth) AS depth FROM r GROUP BY 1 HAVING min(depth) > 0", "SELECT depth, count(*) AS vertices FROM (SELECT id, min(depth) AS depth FROM r GROUP BY 1) WHERE depth > 0 GROUP BY 1"))
+def shortest_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices at each least distance from the busiest vertex, up to three undirected hops."""
+    _, e = knowledge_graph(spark, d)
+    return traverse.reach(e, _hub(e), "both", 3).groupBy("depth").agg(F.count("*").alias("vertices"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status FROM orders WHERE o_totalprice > 300000")
+def edges_created(spark: SparkSession, d: str) -> DataFrame:
+    """New edges whose ends exist: every large order's customer edge, looked up at both ends."""
+    g = trade_graph(spark, d)
+    new = g.label("Order").where("o_totalprice > 300000").select(F.concat(F.lit("Customer:"), "o_custkey").alias("src"), F.col("id").alias("dst"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("status"))
+    both = g.label("Customer").select("id").unionByName(g.label("Order").select("id"))
+    return traverse.attach_edges(new, both)[0].select("id", "status")

@@ -396,3 +396,30 @@ def stream_micro_batches(spark: SparkSession, d: str) -> DataFrame:
 def stream_records(spark: SparkSession, d: str) -> DataFrame:
     m = _t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("topic"), F.col("props").alias("payload"), F.col("ts").alias("timestamp"))
     return micro_batch.to_records(m, "k int").where(F.size("errors") == 0).select("record_id", "data.k")
+
+
+@query("SELECT org_id, name_en FROM organizations WHERE name_en IS NOT NULL AND trim(name_en, ' ') <> '' AND country IS NOT NULL AND trim(country, ' ') <> ''")
+def raw_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Records put into the raw store as they came, read again by source and run through a pipeline."""
+    import uuid
+
+    path = f"{scratch_dir(spark)}/tidegraph/raw-{uuid.uuid4().hex}"
+    o = _t(spark, d, "organizations")
+    stores.put_raw(o.select(F.col("org_id").cast("string").alias("id"), F.to_json(F.struct("org_id", "name_en", "country")).alias("payload")), path, "registry", F.lit("2025-01-01"))
+    again = stores.raw(spark, path, "registry", dt.date(2024, 12, 31)).select(F.from_json("payload", "org_id bigint, name_en string, country string").alias("r")).select("r.*")
+    return etl.Pipeline("replay", (etl.required("name_en", "country"),)).plan(again)[0].select("org_id", "name_en")
+
+
+@query("SELECT relation_type, target_type, round(avg(confidence), 4) AS mean, count(*) AS findings FROM extracted_relations WHERE confidence IS NOT NULL GROUP BY 1, 2")
+def mean_by_group(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "extracted_relations").where("confidence IS NOT NULL")
+    return r.groupBy("relation_type", "target_type").agg(F.round(F.avg("confidence"), 4).alias("mean"), F.count("*").alias("findings"))
+
+
+@query("SELECT workflow_id, started_at, finished_at, trigger_type FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id ORDER BY started_at DESC, execution_id) AS r FROM (SELECT DISTINCT workflow_id, execution_id, started_at, finished_at, trigger_type FROM workflow_executions WHERE status = 'completed')) WHERE r = 1")
+def last_completed_run(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "workflow_executions").where("status = 'completed'").select("workflow_id", "execution_id", "started_at", "finished_at", "trigger_type").distinct()
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("workflow_id").orderBy(F.col("started_at").desc_nulls_last(), "execution_id")
+    return e.withColumn("r", F.row_number().over(w)).where("r = 1").select("workflow_id", "started_at", "finished_at", "trigger_type")
