@@ -309,10 +309,9 @@ def organisation_groups(records: DataFrame) -> DataFrame:
     told_kind = forms.where("kind_a <> ''").join(spelled.withColumnRenamed("key", "b"), "b").groupBy("a").agg(F.min("family").alias("family"), F.max("family").alias("other")).where("family = other")
     # A short form's own family, if it has one, becomes part of the full names' family.
     merged = told_kind.join(spelled.select(F.col("key").alias("a"), F.col("family").alias("own")), "a", "left").select(F.coalesce("own", "a").alias("own"), "family")
-    tops = spelled.select(F.col("family").alias("own"), "family").distinct().unionByName(merged)
-    top = linked_groups(tops, "own", "family").select(F.col("record_id").alias("family"), F.col("group_id").alias("top"))
+    merged = materialise(merged.groupBy("own").agg(F.min("family").alias("into")), "merged")
     all_keys = spelled.unionByName(told_kind.join(spelled.select(F.col("key").alias("a")), "a", "left_anti").select(F.col("a").alias("key"), "family"))
-    families = materialise(all_keys.join(top, "family").select("key", F.col("top").alias("family")), "families")
+    families = materialise(all_keys.join(merged, F.col("family") == F.col("own"), "left").select("key", F.coalesce("into", "family").alias("family")), "families")
 
     # Names without a kind: one family of their letters and unit, or of the kind their record tells.
     bare = keys.where("kind = ''").select(F.col("unit").alias("block"), "key", F.col("core").alias("s"))
@@ -330,7 +329,10 @@ def organisation_groups(records: DataFrame) -> DataFrame:
     told = read_.where("kind = ''").join(per_kind.select(F.col("a").alias("key"), F.col("kind").alias("hint"), "family"), ["key", "hint"]).select("rec", "family")
 
     links = read_.select("rec", "key").join(families.unionByName(one), "key").select("rec", "family").unionByName(told).distinct()
-    joined = linked_groups(links.select(F.concat(F.lit("r:"), F.col("rec").cast("string")).alias("a"), F.concat(F.lit("f:"), F.col("family")).alias("b")), "a", "b")
+    named_f = lambda c: F.concat(F.lit("f:"), F.col(c))
+    edges = links.select(F.concat(F.lit("r:"), F.col("rec").cast("string")).alias("a"), named_f("family").alias("b"))
+    edges = edges.unionByName(merged.select(named_f("own").alias("a"), named_f("into").alias("b")))
+    joined = linked_groups(edges, "a", "b")
     who = joined.where("record_id LIKE 'r:%'").select(F.substring("record_id", 3, 40).cast("bigint").alias("rec"), "group_id")
     return records.select("rec", "org").distinct().join(who, "rec")
 
