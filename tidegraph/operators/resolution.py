@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegraph.functions.text import entity_name, fuzzy_similarity, hybrid_similarity, ngram_cosine
+from tidegraph.functions.text import entity_name, fuzzy_similarity, hybrid_similarity, ngram_cosine, ngrams
 from tidegraph.operators.algorithms import connected_components
 
 
-def candidates(names: DataFrame, block: Column | None = None) -> DataFrame:
-    """Pairs (a, b) of distinct normalised names in one block of names (id, name).
+RARE = 3
 
-    The default block is the first trigram of the normalised name; it may miss
-    matches that differ there, which is why it is a parameter.
+
+def rare_grams(names: DataFrame, known: DataFrame, keep: list[str], rare: int = RARE) -> DataFrame:
+    """``keep`` columns and the ``rare`` trigrams of each name (norm) that fewest names of ``known`` (norm) have."""
+    grams = lambda df, cols: df.select(*cols, F.explode(F.array_distinct(F.when(F.length("norm") < 3, F.array("norm")).otherwise(ngrams(F.col("norm"))))).alias("gram"))
+    freq = grams(known, []).groupBy("gram").agg(F.count("*").alias("f"))
+    w = Window.partitionBy("norm").orderBy(F.col("f").asc_nulls_last(), "gram")
+    ranked = grams(names, ["norm", *[c for c in keep if c != "norm"]]).join(freq, "gram", "left").withColumn("_r", F.row_number().over(w))
+    return ranked.where(F.col("_r") <= rare).select(*keep, "gram")
+
+
+def candidates(names: DataFrame, rare: int = RARE) -> DataFrame:
+    """Pairs (a, b) of distinct normalised names (id, name) that share one of the rarest trigrams of both.
+
+    Rare trigrams keep the groups that are joined small, so the pairs grow with
+    the names; names that agree in common trigrams only are not proposed.
     """
-    n = names.select("id", "name", entity_name(F.col("name")).alias("norm"))
-    key = block if block is not None else F.substring("norm", 1, 3)
-    d = n.select("norm", key.alias("block")).where("norm <> ''").distinct()
-    a, b = d.alias("a"), d.alias("b")
-    return a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.norm") < F.col("b.norm"))).select(F.col("a.norm").alias("a"), F.col("b.norm").alias("b")).distinct()
+    d = names.select(entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
+    g = rare_grams(d, d, ["norm"], rare)
+    a, b = g.alias("a"), g.alias("b")
+    return a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.norm") < F.col("b.norm"))).select(F.col("a.norm").alias("a"), F.col("b.norm").alias("b")).distinct()
 
 
 def decide(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -31,9 +42,9 @@ def decide(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     return s.select("a", "b", score.alias("score"), method.alias("method")).where(F.col("score") >= threshold)
 
 
-def resolve(names: DataFrame, threshold: float = 0.85, block: Column | None = None) -> DataFrame:
+def resolve(names: DataFrame, threshold: float = 0.85, rare: int = RARE) -> DataFrame:
     """(id, name, group, canonical): names linked directly or through others; the canonical one is the longest, the first on a tie."""
-    matched = decide(candidates(names, block), threshold)
+    matched = decide(candidates(names, rare), threshold)
     n = names.select("id", "name", entity_name(F.col("name")).alias("norm")).where("norm IS NOT NULL")
     edges = matched.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(n.select(F.col("norm").alias("src"), F.col("norm").alias("dst")).distinct())
     groups = connected_components(edges)
@@ -42,11 +53,13 @@ def resolve(names: DataFrame, threshold: float = 0.85, block: Column | None = No
     return g.join(best, "group").select("id", "name", "group", F.col("m.name").alias("canonical"))
 
 
-def best_matches(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(query, name, score, method) of vocabulary (name) entries sharing the query's first trigram, best first per query."""
-    q = asked.select(F.col("name").alias("query"), entity_name(F.col("name")).alias("qn"))
-    v = vocabulary.select("name", entity_name(F.col("name")).alias("vn"))
-    j = q.join(v, F.substring("qn", 1, 3) == F.substring("vn", 1, 3))
+def best_matches(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.7, rare: int = RARE) -> DataFrame:
+    """(query, name, score, method, rank) of vocabulary (name) entries that share a rare trigram with a query (name), best first."""
+    q = asked.select(F.col("name").alias("query"), entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
+    v = vocabulary.select("name", entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
+    qn, vn = q.select("norm").distinct(), v.select("norm").distinct()
+    pairs = rare_grams(qn, vn, ["norm"], rare).withColumnRenamed("norm", "qn").join(rare_grams(vn, vn, ["norm"], rare).withColumnRenamed("norm", "vn"), "gram").select("qn", "vn").distinct()
     score = F.when(F.col("qn") == F.col("vn"), F.lit(1.0)).otherwise(hybrid_similarity(F.col("qn"), F.col("vn")))
-    out = j.select("query", "name", F.round(score, 6).alias("score"), F.when(F.col("qn") == F.col("vn"), "exact").otherwise("hybrid").alias("method")).where(F.col("score") >= threshold)
+    close = pairs.select("qn", "vn", F.round(score, 6).alias("score"), F.when(F.col("qn") == F.col("vn"), "exact").otherwise("hybrid").alias("method")).where(F.col("score") >= threshold)
+    out = close.join(q.withColumnRenamed("norm", "qn"), "qn").join(v.withColumnRenamed("norm", "vn"), "vn").select("query", "name", "score", "method")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "name")))

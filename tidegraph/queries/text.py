@@ -241,15 +241,16 @@ def names_normalised(spark: SparkSession, d: str) -> DataFrame:
     return o.select("org_id", T.entity_name(F.col("name_en")).alias("norm"))
 
 
-PAIRS = f"(SELECT a.org_id AS a_id, b.org_id AS b_id, a.norm AS a, b.norm AS b FROM (SELECT *, {NORM} AS norm FROM organizations) a JOIN (SELECT *, {NORM} AS norm FROM organizations) b ON a.home_port = b.home_port AND a.founded_year = b.founded_year AND a.org_id < b.org_id WHERE a.norm IS NOT NULL AND b.norm IS NOT NULL)"
+PAIRS = f"(SELECT * FROM (SELECT org_id AS a_id, lead(org_id) OVER w AS b_id, norm AS a, lead(norm) OVER w AS b FROM (SELECT *, {NORM} AS norm FROM organizations) WHERE norm IS NOT NULL WINDOW w AS (PARTITION BY home_port, founded_year ORDER BY org_id)) WHERE b_id IS NOT NULL)"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Organisations of one port and year."""
+    """Each organisation with the next one of its port and year: one pair per row, however large such a group is."""
+    from pyspark.sql import Window
+
     o = spark.read.parquet(f"{d}/organizations.parquet").select("org_id", "home_port", "founded_year", T.entity_name(F.col("name_en")).alias("norm")).where("norm IS NOT NULL")
-    a, b = o.alias("x"), o.alias("y")
-    on = (F.col("x.home_port") == F.col("y.home_port")) & (F.col("x.founded_year") == F.col("y.founded_year")) & (F.col("x.org_id") < F.col("y.org_id"))
-    return a.join(b, on).select(F.col("x.org_id").alias("a_id"), F.col("y.org_id").alias("b_id"), F.col("x.norm").alias("a"), F.col("y.norm").alias("b"))
+    w = Window.partitionBy("home_port", "founded_year").orderBy("org_id")
+    return o.select(F.col("org_id").alias("a_id"), F.lead("org_id").over(w).alias("b_id"), F.col("norm").alias("a"), F.lead("norm").over(w).alias("b")).where("b_id IS NOT NULL")
 
 
 @query(f"SELECT a_id, b_id, round(CASE WHEN a = b THEN 1 WHEN a = '' OR b = '' THEN 0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END + 1e-9, 5) AS score FROM {PAIRS} WHERE regexp_full_match(a || b, '[\\x00-\\x7F]*')")
