@@ -1,50 +1,179 @@
-"""Entity resolution by string similarity: candidates, decisions, groups with a canonical name."""
+"""Entity resolution by string similarity: candidates, decisions, groups with a canonical name.
+
+*Candidates.* Jaro-Winkler allows so much that no prefix or segment is sure to
+be shared, so all pairs of distinct names are looked at, as in the reference,
+block by block and without a cross join of rows: names are put into blocks of
+about ``BLOCK``, a task takes two blocks and bounds all their pairs from above
+by matrix products. Letters in common bound edit distance, Jaro and difflib,
+hashed trigrams the cosine (a collision only raises it). What passes is bounded
+again by the longest common subsequence, and by Jaro-Winkler itself; no pair at
+or above the threshold is left out. The work grows as the square of the names.
+"""
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
-from tidegraph.functions.text import entity_name, fuzzy_similarity, hybrid_similarity, ngram_cosine, ngrams
+from tidegraph.functions.text import entity_name, fuzzy_similarity, jaro_winkler, levenshtein_similarity
 from tidegraph.operators.algorithms import connected_components
-
-
-RARE = 3
-
-
-def rare_grams(names: DataFrame, known: DataFrame, keep: list[str], rare: int = RARE) -> DataFrame:
-    """``keep`` columns and the ``rare`` trigrams of each name (norm) that fewest names of ``known`` (norm) have."""
-    grams = lambda df, cols: df.select(*cols, F.explode(F.array_distinct(F.when(F.length("norm") < 3, F.array("norm")).otherwise(ngrams(F.col("norm"))))).alias("gram"))
-    freq = grams(known, []).groupBy("gram").agg(F.count("*").alias("f"))
-    w = Window.partitionBy("norm").orderBy(F.col("f").asc_nulls_last(), "gram")
-    ranked = grams(names, ["norm", *[c for c in keep if c != "norm"]]).join(freq, "gram", "left").withColumn("_r", F.row_number().over(w))
-    return ranked.where(F.col("_r") <= rare).select(*keep, "gram")
-
-
-def candidates(names: DataFrame, rare: int = RARE) -> DataFrame:
-    """Pairs (a, b) of distinct normalised names (id, name) that share one of the rarest trigrams of both.
-
-    Rare trigrams keep the groups that are joined small, so the pairs grow with
-    the names; names that agree in common trigrams only are not proposed.
-    """
-    d = names.select(entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
-    g = rare_grams(d, d, ["norm"], rare)
-    a, b = g.alias("a"), g.alias("b")
-    return a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.norm") < F.col("b.norm"))).select(F.col("a.norm").alias("a"), F.col("b.norm").alias("b")).distinct()
+from tidegraph.plans.scratch import materialise
+
+#: Names in a block, rows of a block bounded at a time, columns for letters and for trigrams.
+BLOCK, STRIP, LETTERS, GRAMS = 2000, 256, 256, 512
+SLACK = 1e-5
+
+
+class _Block:
+    """Names as vectors: letters with their number of occurrence, trigrams, norms, lengths, first four letters."""
+
+    def __init__(self, names: list[str]):
+        n = len(names)
+        self.names = names
+        self.letters, self.grams = np.zeros((n, LETTERS), np.float32), np.zeros((n, GRAMS), np.float32)
+        self.norm, self.size, self.first = np.zeros(n, np.float32), np.array([len(s) for s in names], np.float32), np.zeros((n, 4), np.int32)
+        for i, s in enumerate(names):
+            seen: dict[str, int] = {}
+            for x in s:
+                k = seen[x] = seen.get(x, 0) + 1
+                self.letters[i, (ord(x) * 31 + k * 7919) % LETTERS] += 1
+            grams = _grams(s)
+            for x, k in grams.items():
+                self.grams[i, zlib.crc32(x.encode("utf-8", "surrogatepass")) % GRAMS] += k
+            self.norm[i] = sum(k * k for k in grams.values()) ** 0.5
+            for j, x in enumerate(s[:4]):
+                self.first[i, j] = ord(x)
+
+    def bounds(self, rows: slice, other: _Block) -> tuple[np.ndarray, np.ndarray]:
+        """Letters in common and trigram cosine of some names with all of the other block, neither too low."""
+        letters = np.minimum(self.letters[rows] @ other.letters.T, np.minimum(self.size[rows, None], other.size))
+        cosine = np.minimum(1, (self.grams[rows] @ other.grams.T) / np.maximum(self.norm[rows, None] * other.norm, np.float32(1e-6)))
+        return letters, cosine
+
+
+def _masks(a: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+def common_subsequence(masks: dict[str, int], size: int, b: str) -> int:
+    """Length of the longest common subsequence of ``b`` and the string of that size behind the masks."""
+    full = v = (1 << size) - 1
+    for x in b:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return size - v.bit_count()
+
+
+def _possible(x: _Block, y: _Block, same: bool, threshold: float, fuzzy: bool, weight: float = 0.6) -> Iterator[tuple[str, str]]:
+    """Pairs that may reach the threshold: by the hybrid similarity, with ``fuzzy`` also by cosine, difflib or Jaro-Winkler."""
+    t = threshold - SLACK
+    for at in range(0, len(x.names), STRIP):
+        rows = slice(at, at + STRIP)
+        letters, cosine = x.bounds(rows, y)
+        la, lb = x.size[rows, None], y.size[None]
+        hit = weight * letters / np.maximum(la, lb) + (1 - weight) * cosine >= t
+        if fuzzy:
+            jaro = (letters / la + letters / lb + 1) / 3
+            prefix, alike = np.zeros(letters.shape, np.float32), np.ones(letters.shape, bool)
+            for k in range(4):
+                alike &= (x.first[rows, None, k] == y.first[None, :, k]) & (x.first[rows, None, k] > 0)
+                prefix += alike
+            winkler = jaro + prefix * np.float32(0.1) * (1 - jaro) >= t
+            hit |= winkler | (cosine >= t) | (2 * letters / (la + lb) >= t)
+        for i in np.flatnonzero(hit.any(axis=1)):
+            a = x.names[at + i]
+            masks = _masks(a)
+            for j in np.flatnonzero(hit[i]):
+                if same and j <= at + i:
+                    continue
+                b = y.names[j]
+                n, c = common_subsequence(masks, len(a), b), float(cosine[i, j])
+                if weight * n / max(len(a), len(b)) + (1 - weight) * c >= t or fuzzy and (c >= t or 2 * n / (len(a) + len(b)) >= t or winkler[i, j] and jaro_winkler(a, b) >= t):
+                    yield a, b
+
+
+def _comparing(threshold: float, fuzzy: bool, alone: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p, q, xs, ys = (batch.column(c)[i].as_py() for c in ("x", "y", "xs", "ys"))
+                found = list(_possible(_Block(xs), _Block(ys), alone and p == q, threshold, fuzzy))
+                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _blocks(names: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """(block, names) of distinct names (norm), and the number of blocks."""
+    names = materialise(names, label)
+    n = names.count()
+    many = max(math.ceil(n / BLOCK), min(8, math.ceil(n / 250)), 1)
+    return names.groupBy(F.pmod(F.xxhash64("norm"), F.lit(many)).alias("block")).agg(F.collect_list("norm").alias("names")), many
+
+
+def _compared(left: tuple[DataFrame, int], right: tuple[DataFrame, int], threshold: float, fuzzy: bool, alone: bool) -> DataFrame:
+    (xs, m), (ys, n) = left, right
+    first = F.col("block") if alone else F.lit(0)
+    pairs = xs.select(F.col("block").alias("x"), F.col("names").alias("xs"), F.explode(F.sequence(first.cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("y"))
+    pairs = pairs.join(ys.select(F.col("block").alias("y"), F.col("names").alias("ys")), "y")
+    return pairs.repartition(min(m * n, 4096)).mapInArrow(_comparing(threshold, fuzzy, alone), "a string, b string")
+
+
+def candidates(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct normalised names (id, name): all that :func:`decide` accepts, and some more."""
+    blocks = _blocks(names.select(entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct(), "names")
+    return _compared(blocks, blocks, threshold, True, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _grams(s: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for j in range(len(s) - 2):
+        out[s[j : j + 3]] = out.get(s[j : j + 3], 0) + 1
+    return out
+
+
+def _cosine(a: str, b: str) -> float:
+    x, y = _grams(a), _grams(b)
+    if a == b or not x or not y:
+        return float(a == b)
+    norm = lambda v: sum(n * n for n in v.values()) ** 0.5
+    return sum(n * y.get(g, 0) for g, n in x.items()) / (norm(x) * norm(y))
+
+
+@pandas_udf(DoubleType())
+def trigram_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """As ``functions.text.ngram_cosine``, which takes milliseconds a pair."""
+    return pd.Series([_cosine(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
+def _hybrid(a: str, b: str, grams: str, weight: float = 0.6):
+    return weight * levenshtein_similarity(F.col(a), F.col(b)) + (1 - weight) * F.col(grams)
 
 
 def decide(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Pairs (a, b) of normalised names that match, with score and method."""
-    h = pairs.withColumn("hybrid", hybrid_similarity(F.col("a"), F.col("b")))
-    s = h.withColumn("fuzzy", F.when(F.col("hybrid") >= threshold, F.lit(0.0)).otherwise(fuzzy_similarity("a", "b"))).withColumn("grams", ngram_cosine(F.col("a"), F.col("b")))
+    h = pairs.withColumn("grams", trigram_cosine("a", "b")).withColumn("hybrid", _hybrid("a", "b", "grams"))
+    s = h.withColumn("fuzzy", F.when(F.col("hybrid") >= threshold, F.lit(0.0)).otherwise(fuzzy_similarity("a", "b")))
     method = F.when(F.col("a") == F.col("b"), "exact").when(F.col("hybrid") >= threshold, "hybrid").when(F.col("fuzzy") >= F.col("grams"), "fuzzy").otherwise("embedding")
     score = F.when(F.col("hybrid") >= threshold, F.col("hybrid")).otherwise(F.greatest("fuzzy", "grams"))
     return s.select("a", "b", score.alias("score"), method.alias("method")).where(F.col("score") >= threshold)
 
 
-def resolve(names: DataFrame, threshold: float = 0.85, rare: int = RARE) -> DataFrame:
+def resolve(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, name, group, canonical): names linked directly or through others; the canonical one is the longest, the first on a tie."""
-    matched = decide(candidates(names, rare), threshold)
+    matched = materialise(decide(materialise(candidates(names, threshold), "candidates"), threshold), "matched")
     n = names.select("id", "name", entity_name(F.col("name")).alias("norm")).where("norm IS NOT NULL")
     edges = matched.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(n.select(F.col("norm").alias("src"), F.col("norm").alias("dst")).distinct())
     groups = connected_components(edges)
@@ -53,13 +182,15 @@ def resolve(names: DataFrame, threshold: float = 0.85, rare: int = RARE) -> Data
     return g.join(best, "group").select("id", "name", "group", F.col("m.name").alias("canonical"))
 
 
-def best_matches(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.7, rare: int = RARE) -> DataFrame:
-    """(query, name, score, method, rank) of vocabulary (name) entries that share a rare trigram with a query (name), best first."""
+def best_matches(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(query, name, score, method, rank) of vocabulary (name) entries that reach the threshold for a query (name), best first."""
     q = asked.select(F.col("name").alias("query"), entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
     v = vocabulary.select("name", entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
     qn, vn = q.select("norm").distinct(), v.select("norm").distinct()
-    pairs = rare_grams(qn, vn, ["norm"], rare).withColumnRenamed("norm", "qn").join(rare_grams(vn, vn, ["norm"], rare).withColumnRenamed("norm", "vn"), "gram").select("qn", "vn").distinct()
-    score = F.when(F.col("qn") == F.col("vn"), F.lit(1.0)).otherwise(hybrid_similarity(F.col("qn"), F.col("vn")))
-    close = pairs.select("qn", "vn", F.round(score, 6).alias("score"), F.when(F.col("qn") == F.col("vn"), "exact").otherwise("hybrid").alias("method")).where(F.col("score") >= threshold)
+    pairs = _compared(_blocks(qn, "asked"), _blocks(vn, "vocabulary"), threshold, False, False).select(F.col("a").alias("qn"), F.col("b").alias("vn"))
+    equal = qn.join(vn, "norm").select(F.col("norm").alias("qn"), F.col("norm").alias("vn"))  # equal names too short for trigrams
+    pairs = materialise(pairs.unionByName(equal).distinct(), "candidates")
+    score = F.when(F.col("qn") == F.col("vn"), F.lit(1.0)).otherwise(_hybrid("qn", "vn", "grams"))
+    close = pairs.withColumn("grams", trigram_cosine("qn", "vn")).select("qn", "vn", F.round(score, 6).alias("score"), F.when(F.col("qn") == F.col("vn"), "exact").otherwise("hybrid").alias("method")).where(F.col("score") >= threshold)
     out = close.join(q.withColumnRenamed("norm", "qn"), "qn").join(v.withColumnRenamed("norm", "vn"), "vn").select("query", "name", "score", "method")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "name")))
