@@ -221,6 +221,11 @@ def personal_data_counts(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).join(en, "doc_id", "left_semi").select("doc_id", *T.personal_counts(F.col("text")))
 
 
+@query()  # all documents; the engine at hand takes Hangul for the end of a word
+def personal_data_counts_all(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("doc_id", *T.personal_counts(F.col("text")))
+
+
 @query("SELECT doc_id, right(text, 45) AS tail FROM (SELECT doc_id, regexp_replace(%s, '%s', '[REDACTED]', 'g') AS text FROM documents)" % (SAMPLE, "|".join(f"(?:{rx})" for rx in T.PERSONAL.values())))
 def personal_data_redacted(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).select("doc_id", F.right(T.redact(F.col("text")), F.lit(45)).alias("tail"))
@@ -259,6 +264,11 @@ def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("a_id", "b_id", F.round(T.levenshtein_similarity(F.col("a"), F.col("b")) + 1e-9, 5).alias("score"))
 
 
+@query()  # all names; the engine at hand counts bytes
+def levenshtein_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("a_id", "b_id", F.round(T.levenshtein_similarity(F.col("a"), F.col("b")) + 1e-9, 5).alias("score"))
+
+
 @query(
     f"WITH p AS {PAIRS}, g AS (SELECT a_id, b_id, side, gram, count(*) AS n FROM (SELECT a_id, b_id, 1 AS side, unnest([substr(a, i, 3) for i in range(1, length(a) - 1)]) AS gram FROM p UNION ALL SELECT a_id, b_id, 2, unnest([substr(b, i, 3) for i in range(1, length(b) - 1)]) FROM p) GROUP BY ALL), "
     "dot AS (SELECT x.a_id, x.b_id, sum(x.n * y.n) AS dot FROM g x JOIN g y ON x.a_id = y.a_id AND x.b_id = y.b_id AND x.gram = y.gram AND x.side = 1 AND y.side = 2 GROUP BY 1, 2), "
@@ -271,7 +281,7 @@ def trigram_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()  # the engine at hand floors half transpositions, so tests compare with a plain computation
 def jaro_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where("a <> '' AND b <> ''").where(F.concat("a", "b").rlike("^[\\x00-\\x7F]*$"))
+    p = _pairs(spark, d)
     jaro = F.pandas_udf(lambda x, y: __import__("pandas").Series([T.jaro(u, v) for u, v in zip(x, y)], dtype="float64"), "double")
     return p.select("a_id", "b_id", F.round(jaro("a", "b") + 1e-9, 4).alias("score"))
 
@@ -331,6 +341,12 @@ def dictionary_tags(spark: SparkSession, d: str) -> DataFrame:
     return language.tag(docs_, entries, longest=False).groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
+@query()  # all documents; the engine at hand folds other letters than ASCII too
+def dictionary_tags_all(spark: SparkSession, d: str) -> DataFrame:
+    entries = spark.createDataFrame(WORDS, "term string, kind string")
+    return language.tag(_docs(spark, d), entries, longest=False).groupBy("id", "term").agg(F.count("*").alias("n"))
+
+
 @query()
 def dictionary_tags_longest(spark: SparkSession, d: str) -> DataFrame:
     return language.tag(_docs(spark, d), spark.createDataFrame(WORDS, "term string, kind string"))
@@ -353,6 +369,15 @@ def mentions_verified(spark: SparkSession, d: str) -> DataFrame:
     return language.verify_mentions(m, v).select("id", "mentioned", "known")
 
 
+@query()
+def mentions_verified_all(spark: SparkSession, d: str) -> DataFrame:
+    """All mentions, Hangul names among them, held against both names of the organisations."""
+    m = spark.read.parquet(f"{d}/extracted_relations.parquet").where("target_type = 'Organization' AND source_id IS NOT NULL AND target_name IS NOT NULL")
+    o = spark.read.parquet(f"{d}/organizations.parquet")
+    v = o.select(F.explode(F.array("name", "name_en")).alias("name")).where("name IS NOT NULL")
+    return language.verify_mentions(m.select(F.col("source_id").alias("id"), F.col("target_name").alias("name")), v).select("id", "mentioned", "known")
+
+
 TERMS = language.Terms(
     labels={"customer": "Customer", "고객": "Customer", "nation": "Nation", "supplier": "Supplier"},
     links={"orders": ("PLACED", "Order", "outgoing"), "in a nation": ("IN_NATION", "Nation", "outgoing")},
