@@ -238,13 +238,13 @@ def _asks(words: tuple[str, ...], hangul: bool) -> list[str]:
     return []
 
 
-_READ = "rec bigint, org boolean, hint string, kind string, unit string, core string, words array<string>, signs array<string>, asks array<string>"
+_READ = "rec bigint, org boolean, hint string, typed string, kind string, unit string, core string, words array<string>, signs array<string>, asks array<string>"
 
 
 def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: list[list] = [[] for _ in range(9)]
-        for rec, org, hint, names in zip(*[b.column(c).to_pylist() for c in ("rec", "org", "hint", "names")]):
+        out: list[list] = [[] for _ in range(10)]
+        for rec, org, hint, typed, names in zip(*[b.column(c).to_pylist() for c in ("rec", "org", "hint", "typed", "names")]):
             seen = set()
             for r in [r for n in names for r in read(n)]:
                 if r in seen:
@@ -252,11 +252,11 @@ def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(r)
                 asks = _asks(r.words, r.hangul)
                 full = len(r.words) == 2 and not r.hangul and not (asks and asks[0][0] in "ic")
-                row = (rec, org, hint, r.kind, r.unit, r.core, list(r.words), _signs(r.words) if full else [], asks)
+                row = (rec, org, hint, typed, r.kind, r.unit, r.core, list(r.words), _signs(r.words) if full else [], asks)
                 for col, v in zip(out, row):
                     col.append(v)
         text, many = pa.string(), pa.list_(pa.string())
-        yield _rows(out, ["rec", "org", "hint", "kind", "unit", "core", "words", "signs", "asks"], [pa.int64(), pa.bool_(), text, text, text, text, many, many, many])
+        yield _rows(out, ["rec", "org", "hint", "typed", "kind", "unit", "core", "words", "signs", "asks"], [pa.int64(), pa.bool_(), text, text, text, text, text, many, many, many])
 
 
 #: Kinds of business behind the types of organisations.
@@ -269,9 +269,10 @@ TYPE_KINDS = {
 def plausible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """Pairs that are slips of each other rather than two short names.
 
-    A slip is rare beside the right spelling. Two short spellings that are both
-    typed more than once stay apart unless one is ten times as common; trade
-    names, shorter than others, may differ by one edit only.
+    Short spellings one edit or one transposition of neighbours apart are slips.
+    Two edits apart they are different organisations unless one is rare beside
+    the other: typed once, or a tenth as often; trade names, shorter than others,
+    may differ by one edit only. ``n`` counts typings, not extractions of them.
     """
     k = lambda x: keys.select(F.col("key").alias(x), F.col("core").alias(f"core_{x}"), F.col("kind").alias(f"kind_{x}"), F.col("n").alias(f"n_{x}"))
     j = pairs.join(k("a"), "a").join(k("b"), "b")
@@ -279,9 +280,11 @@ def plausible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     long = F.least(F.length("core_a"), F.length("core_b")) >= SHORT
     edit = F.levenshtein("core_a", "core_b")
     letters = lambda c: F.array_sort(F.split(c, ""))
-    one = (edit <= 1) | ((edit == 2) & (letters(F.col("core_a")) == letters(F.col("core_b"))))
+    moved = (edit == 2) & (letters(F.col("core_a")) == letters(F.col("core_b")))
+    off = F.filter(F.sequence(F.lit(1), F.length("core_a")), lambda i: F.substr(F.col("core_a"), i, F.lit(1)) != F.substr(F.col("core_b"), i, F.lit(1)))
+    slip = (edit <= 1) | (moved & (F.size(off) == 2) & (F.array_max(off) - F.array_min(off) == 1))
     trade = F.col("kind_a").isin(*TRADE_KINDS)
-    return j.where(long | (((low == 1) | (high >= 10 * low)) & (~trade | one))).select("a", "b")
+    return j.where(long | slip | (((low == 1) | (high >= 10 * low)) & (~trade | (edit <= 1) | moved))).select("a", "b")
 
 
 def _strings(keys: DataFrame, block) -> DataFrame:
@@ -291,9 +294,12 @@ def _strings(keys: DataFrame, block) -> DataFrame:
 
 
 def organisation_groups(records: DataFrame) -> DataFrame:
-    """(rec, org, group_id) of the records (rec bigint, org boolean, hint string, names array<string>) that could be read."""
+    """(rec, org, group_id) of the records (rec bigint, org boolean, hint string, typed string, names array<string>) that could be read.
+
+    ``typed`` is the same for records of one typing, as a finding that was extracted twice.
+    """
     read_ = materialise(records.repartition("rec").mapInArrow(_readings, _READ).withColumn("key", F.concat_ws("|", "kind", "unit", "core")), "readings")
-    keys = materialise(read_.groupBy("key", "kind", "unit", "core").agg(F.max(F.struct(F.size("signs").alias("n"), "words", "signs")).alias("w"), F.max("asks").alias("asks"), F.countDistinct("rec").alias("n")).select("key", "kind", "unit", "core", "w.words", "w.signs", "asks", "n"), "keys")
+    keys = materialise(read_.groupBy("key", "kind", "unit", "core").agg(F.max(F.struct(F.size("signs").alias("n"), "words", "signs")).alias("w"), F.max("asks").alias("asks"), F.countDistinct("typed").alias("n")).select("key", "kind", "unit", "core", "w.words", "w.signs", "asks", "n"), "keys")
     initial = F.size(F.filter("asks", lambda a: a.startswith("i:"))) > 0
     named = keys.where((F.col("kind") != "") & ~initial)
     block = F.concat_ws("|", "kind", "unit")
@@ -350,6 +356,10 @@ def organisation_pairs(records: DataFrame, hot_rows: int = skew.HOT_ROWS) -> Dat
 def records(orgs: DataFrame, findings: DataFrame) -> DataFrame:
     """Records of organizations and of extracted_relations that name one."""
     kind = F.create_map(*[F.lit(x) for pair in TYPE_KINDS.items() for x in pair])
-    a = orgs.select(F.col("org_id").alias("rec"), F.lit(True).alias("org"), kind[F.col("org_type")].alias("hint"), F.array("name", "name_en").alias("names"))
-    b = findings.where("target_type = 'Organization' AND target_name IS NOT NULL").select(F.col("relation_id").alias("rec"), F.lit(False).alias("org"), F.lit(None).cast("string").alias("hint"), F.array("target_name").alias("names"))
+    own = lambda c: F.concat(F.lit("r:"), F.col(c).cast("string"))
+    typed = own("relation_id")
+    if "source_id" in findings.columns:
+        typed = F.when(F.col("source_id").isNotNull(), F.to_json(F.struct("source_id", "target_name"))).otherwise(typed)
+    a = orgs.select(F.col("org_id").alias("rec"), F.lit(True).alias("org"), kind[F.col("org_type")].alias("hint"), own("org_id").alias("typed"), F.array("name", "name_en").alias("names"))
+    b = findings.where("target_type = 'Organization' AND target_name IS NOT NULL").select(F.col("relation_id").alias("rec"), F.lit(False).alias("org"), F.lit(None).cast("string").alias("hint"), typed.alias("typed"), F.array("target_name").alias("names"))
     return a.unionByName(b).where("rec IS NOT NULL")
