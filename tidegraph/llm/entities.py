@@ -4,8 +4,12 @@ Names are read (:mod:`tidegraph.llm.orgnames`) into keys: kind of business,
 number of a unit, letters of the proper part. Only distinct keys are compared.
 
 *Pigeonhole segment join.* Two strings within ``k`` edits share one of ``k + 1``
-segments of the shorter one, moved by at most ``k`` places. Each key is put
-into an inverted index under its segments; every key looks up the substrings
+segments of the shorter one, moved by at most ``k`` places, unless a
+transposition lies across a border and spoils two. So the first and the last
+segment are indexed a second time with the letter beyond their border in place
+of their own: with the transposition undone that segment is whole, or the one
+at the other end is. Each key is put into an inverted index under its
+segments; every key looks up the substrings
 that could be such a segment of a partner, position shifts included, and the
 pairs found are verified by a banded edit distance (transpositions count one;
 two neighbouring syllables may change places). A segment that more than
@@ -115,9 +119,27 @@ def _whole(s: str) -> tuple[str, int]:
     return f"{len(s)}.s.{'.'.join(sorted(syllables(s)))}", WHOLE
 
 
+TURNED = 10  #: added to the number of a segment whose outer letter was exchanged across the border
+
+
+def turned(s: str, k: int) -> list[tuple[int, str]]:
+    """(segment, string): the string with the letters at the first segment's end, or before the last one, exchanged."""
+    cut = segments(len(s), k)
+    out = []
+    for i, at in {0: cut[0][1], k: cut[k][0]}.items() if k else ():
+        if 0 < at < len(s) and s[at - 1] != s[at] and cut[i][1]:
+            out.append((i, s[: at - 1] + s[at] + s[at - 1] + s[at + 1 :]))
+    return out
+
+
 def index_rows(s: str) -> list[tuple[str, int]]:
     k = edits(len(s))
-    return [(f"{len(s)}.{i}.{s[p : p + n]}", i) for i, (p, n) in enumerate(segments(len(s), k))] + [_whole(s)]
+    cut = segments(len(s), k)
+    out = [(f"{len(s)}.{i}.{s[p : p + n]}", i) for i, (p, n) in enumerate(cut)]
+    for i, t in turned(s, k):
+        p, n = cut[i]
+        out.append((f"{len(s)}.{i}.{t[p : p + n]}", i + TURNED))
+    return [*out, _whole(s)]
 
 
 def lookup_rows(s: str, both: bool) -> list[tuple[str, int, int, int]]:
@@ -166,10 +188,13 @@ def _indexed_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         out: list[list] = [[], [], []]
         for seg, key, s, i in zip(*[b.column(c).to_pylist() for c in ("seg", "key", "s", "i")]):
             k = edits(len(s))
-            p, n = (0, 0) if i == WHOLE else segments(len(s), k)[i]
-            rest = s[:p] + s[p + n :]
-            for j, (q, m) in enumerate(segments(len(rest), k)):
-                for col, v in zip(out, (f"{seg}.{j}.{rest[q : q + m]}", key, s)):
+            t = dict(turned(s, k))[i - TURNED] if i >= TURNED else s
+            p, n = (0, 0) if i == WHOLE else segments(len(s), k)[i % TURNED]
+            rest = t[:p] + t[p + n :]
+            cut = segments(len(rest), k)
+            parts = [(j, rest[q : q + m]) for j, (q, m) in enumerate(cut)] + [(j, u[cut[j][0] : sum(cut[j])]) for j, u in turned(rest, k)]
+            for j, part in parts:
+                for col, v in zip(out, (f"{seg}.{j}.{part}", key, s)):
                     col.append(v)
         yield _rows(out, ["seg", "key", "s"], [pa.string()] * 3)
 
