@@ -7,6 +7,7 @@ one round and a lost executor costs one round at most.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -215,12 +216,15 @@ def node_similarity(edges: DataFrame, cutoff: float = 0.5, top_k: int = 10) -> D
     return out.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_k).select("node1", "node2", "similarity")
 
 
-def louvain(edges: DataFrame, levels: int = 10, rounds: int = 12) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 10, rounds: int | None = None) -> DataFrame:
     """(id, community): modularity by local moves and contraction; a community is named by its smallest member.
 
     In a round the vertices of one hash class may move to the neighbouring community
     with the greatest gain, if it beats staying; classes take turns, so neighbours
-    seldom swap. A level ends when a turn of all classes moves nothing.
+    seldom swap. A level ends when a turn of all classes moves nothing, or after
+    ``rounds``, if given. Classes are drawn anew each turn and their number doubles
+    every fifth turn: in the end vertices move alone, each move raises modularity,
+    and the level must end.
     """
     e = _clean(edges)
     w = F.col("weight").cast("double") if "weight" in e.columns else F.lit(1.0)
@@ -235,24 +239,28 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int = 12) -> DataFrame:
         loops = links.where("a = b").select(F.col("a").alias("u"), (2 * F.col("w")).alias("k"))
         degree = materialise(both.select("u", F.col("w").alias("k")).unionByName(loops).groupBy("u").agg(F.sum("k").alias("k")), f"degree-{level}")
         at = materialise(degree.select("u", F.col("u").alias("c")), f"at-{level}")
-        any_move, quiet = False, 0
-        for r in range(rounds):
+        any_move, quiet, turn_no, step, classes = False, True, 0, 0, 3
+        for r in itertools.count() if rounds is None else range(rounds):
             tot = at.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot"))
             near = both.join(at.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("kin"))
             near = near.unionByName(at.select("u", "c", F.lit(0.0).alias("kin"))).groupBy("u", "c").agg(F.sum("kin").alias("kin"))
             cand = near.join(tot, "c").join(degree, "u").join(at.select("u", F.col("c").alias("own")), "u")
             others = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
             gain = F.round(F.col("kin") - F.col("k") * others / (2 * total), 9)
-            turn = F.pmod(F.xxhash64("u", F.lit(level)), F.lit(3)) == r % 3
+            turn = F.pmod(F.xxhash64("u", F.lit(level), F.lit(turn_no)), F.lit(classes)) == step
             best = cand.withColumn("g", gain).groupBy("u", "own").agg(F.max(F.struct("g", (F.col("c") == F.col("own")).alias("stay"))).alias("m"), F.min(F.struct(-F.col("g"), "c")).alias("b"))
             new = best.select("u", F.when(turn & ~F.col("m.stay"), F.col("b.c")).otherwise(F.col("own")).alias("c"), "own")
             new = materialise(new, f"moves-{level}-{r}")
             moved = not new.where("c <> own").isEmpty()
             at = new.select("u", "c")
             any_move |= moved
-            quiet = 0 if moved else quiet + 1
-            if quiet == 3:
-                break
+            quiet &= not moved
+            step += 1
+            if step == classes:
+                if quiet:
+                    break
+                quiet, turn_no, step = True, turn_no + 1, 0
+                classes = 3 * 2 ** (turn_no // 5)
         if not any_move:
             break
         names = at.groupBy("c").agg(F.min("u").alias("name"))

@@ -73,6 +73,11 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return A.label_propagation(_match(spark, d), iterations=4)
 
 
+@query()
+def label_propagation_full(spark: SparkSession, d: str) -> DataFrame:
+    return A.label_propagation(_match(spark, d))
+
+
 @query(
     f"""WITH RECURSIVE e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM graph_edges WHERE {MATCH} AND source_id IS NOT NULL AND target_id IS NOT NULL),
 w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(a, b) AS (SELECT a, b FROM w UNION SELECT r.a, w.b FROM r JOIN w ON r.b = w.a)
@@ -113,7 +118,7 @@ def dijkstra_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def louvain_communities(spark: SparkSession, d: str) -> DataFrame:
-    return A.louvain(_match(spark, d), levels=3, rounds=6)
+    return A.louvain(_match(spark, d))
 
 
 @query()
