@@ -67,3 +67,12 @@ def test_frame(spark):
     node = next(r for r in good if r["labels"])
     assert node["labels"] == ["Vessel", "Tanker"] and node["moment"] == dt.datetime(2024, 2, 29)
     assert badrows.parse_records(df.limit(0), "record_kind", "raw_line", ["line_id"]).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["\u2028", "\u2029", "\u0085", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e"])
+@pytest.mark.parametrize("end", ["", "\n", "\r\n", "\r"])
+def test_only_line_feeds_and_returns_end_lines(mark, end):
+    name = f"foo{mark}bar"
+    assert badrows.parse("node", NODE.replace("Blue", name) + end)["name"] == name
+    assert badrows.parse("node", NODE.replace("Blue", f'"{name}\nx"') + end)["name"] == f"{name}\nx"
+    assert badrows.assemble(f"a{mark}b\r\nc\rd\n") == [f"a{mark}b\r\n", "c\r", "d\n"]

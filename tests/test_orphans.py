@@ -34,7 +34,7 @@ def test_hot_keys_against_brute_force(spark):
     alive = lambda k, t: any(k == q and b <= t and (e is None or e > t) for q, b, e in lives)
     want = {(i, "not_alive" if any(k == q for q, _, _ in lives) else "missing") for i, k, t in refs if not alive(k, t)}
     assert run(spark, refs, lives) == want
-    assert run(spark, refs, lives, hot_rows=20, salts=4) == want
+    assert run(spark, refs, lives, hot_rows=20) == want
 
 
 def test_references_drop_nulls_only(spark):

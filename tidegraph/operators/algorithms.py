@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.operators.traverse import both_ways
+from tidegraph.operators.unionfind import star_forest
+from tidegraph.plans import skew
 from tidegraph.plans.graph import PropertyGraph
-from tidegraph.plans.scratch import materialise
+from tidegraph.plans.scratch import drop_scratch, materialise
 
 
 @dataclass
@@ -95,44 +97,64 @@ def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
     return labels
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """(id, component): the smallest id reachable, by alternating large-star and small-star steps.
 
-    A large star links a vertex's larger neighbours to its smallest neighbour, a
-    small star its smaller ones; the number of rounds grows with the logarithm of
-    the longest chain. A round is two shuffles of the remaining edges; a hub's
-    edges meet only as a minimum.
+    Every task first replaces its own edges by stars (union-find), which leaves at
+    most one row per vertex and task. A large star then links a vertex's larger
+    neighbours to its smallest neighbour, a small star its smaller ones, until a
+    round changes nothing; the number of rounds grows with the logarithm of the
+    longest chain. A hub's rows are salted before they meet its minimum.
     """
     e = _clean(edges)
-    alone = e.where("src = dst").select(F.col("src").alias("id")).distinct()
-    now = materialise(e.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars-0")
-    for i in range(1, rounds + 1):
+    alone = e.where("src = dst").select(F.col("src").cast("string").alias("id")).distinct()
+    pairs = e.where("src <> dst").select(F.col("src").cast("string").alias("u"), F.col("dst").cast("string").alias("v"))
+    now = materialise(pairs.mapInArrow(star_forest(), "u string, v string").distinct(), "stars-0")
+
+    def state(df: DataFrame) -> tuple:
+        r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
+        return r["n"], r["s"]
+
+    def with_least(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        """(rows with their u's least v, that minimum per u)."""
+        least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hot = skew.hot_keys(least, ["u"], "n", hot_rows) if 2 * n >= hot_rows else None
+        return skew.spread(rows, hot, ["u"], F.col("v")).join(skew.repeat(least.drop("n"), hot, ["u"]), ["u", "_salt"]), least.select("u", "m")
+
+    before = state(now)
+    while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(least, "u")
+        near, _ = with_least(both, before[0])
+        large = near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        near, least = with_least(large, before[0])
         small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = materialise(small, f"stars-{i}")
-        if new.join(now, ["u", "v"], "left_anti").isEmpty() and now.join(new, ["u", "v"], "left_anti").isEmpty():
-            break
+        new = materialise(small, "stars")
+        after = state(new)
+        drop_scratch(now)
         now = new
+        if after == before:
+            break
+        before = after
     members = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("id")).distinct().unionByName(alone).distinct().join(members.select("id"), "id", "left_anti")
     return members.unionByName(roots.withColumn("component", F.col("id")))
 
 
-def bfs_tree(edges: DataFrame, source: str, target: str | None = None, direction: str = "outgoing", limit: int = 100) -> DataFrame:
-    """(id, parent, cost): fewest hops from the source; of equally good parents the smallest."""
+def bfs_tree(edges: DataFrame, source: str, target: str | None = None, direction: str = "outgoing", limit: int | None = None) -> DataFrame:
+    """(id, parent, cost, path): fewest hops from the source, at most ``limit`` of them if given; of equally good parents the smallest.
+
+    ``path`` leads from the source to the vertex; it is null without a target.
+    """
     from tidegraph.operators.traverse import directed
 
     e = directed(_clean(edges), direction).distinct()
     spark = edges.sparkSession
-    seen = materialise(spark.createDataFrame([(source, None, 0)], "id string, parent string, cost int"), "tree-0")
-    front = seen
-    for d in range(1, limit + 1):
-        new = front.select(F.col("id").alias("src")).join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")).join(seen.select("id"), "id", "left_anti")
-        front = materialise(new.withColumn("cost", F.lit(d)), f"tree-{d}")
+    seen = materialise(spark.createDataFrame([(source, None, 0, [source] if target is not None else None)], "id string, parent string, cost int, path array<string>"), "tree-0")
+    front, d = seen, 0
+    while limit is None or d < limit:
+        d += 1
+        new = front.select(F.col("id").alias("src"), "path").join(e, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "path")).alias("p")).join(seen.select("id"), "id", "left_anti")
+        front = materialise(new.select("id", F.col("p.src").alias("parent"), F.lit(d).alias("cost"), F.concat("p.path", F.array("id")).alias("path")), f"tree-{d}")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -141,47 +163,37 @@ def bfs_tree(edges: DataFrame, source: str, target: str | None = None, direction
     return seen
 
 
-def _walk(tree: DataFrame, source: str, target: str) -> DataFrame:
-    """(source, target, total_cost, node_ids, costs) by following parents; no row if the target isn't reached."""
-    spark = tree.sparkSession
-    tree = materialise(tree, "tree")
-    steps, at = [], target
-    while True:
-        row = tree.where(F.col("id") == at).first()  # one row per step of one path
-        if row is None:
-            return spark.createDataFrame([], "source string, target string, total_cost double, node_ids array<string>, costs array<double>")
-        steps.append((row["id"], float(row["cost"])))
-        if row["parent"] is None:
-            break
-        at = row["parent"]
-    steps.reverse()
-    return spark.createDataFrame([(source, target, steps[-1][1], [s[0] for s in steps], [s[1] for s in steps])], "source string, target string, total_cost double, node_ids array<string>, costs array<double>")
+def _path_to(tree: DataFrame, source: str, target: str, costs) -> DataFrame:
+    """(source, target, total_cost, node_ids, costs) of the target's row; no row if it isn't reached."""
+    return tree.where(F.col("id") == target).select(F.lit(source).alias("source"), F.lit(target).alias("target"), F.col("cost").cast("double").alias("total_cost"), F.col("path").alias("node_ids"), costs.alias("costs"))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, direction: str = "outgoing", most: int = 100) -> DataFrame:
-    return _walk(bfs_tree(edges, source, target, direction, most), source, target)
+def shortest_path(edges: DataFrame, source: str, target: str, direction: str = "outgoing", most: int | None = None) -> DataFrame:
+    steps = F.transform(F.sequence(F.lit(0), F.col("cost")), lambda x: x.cast("double"))
+    return _path_to(bfs_tree(edges, source, target, direction, most), source, target, steps)
 
 
-def dijkstra(edges: DataFrame, source: str, target: str, weight: str = "weight", rounds: int = 1000) -> DataFrame:
+def dijkstra(edges: DataFrame, source: str, target: str, weight: str = "weight") -> DataFrame:
     """The cheapest path by relaxing all edges at the vertices that changed, until none does.
 
-    Weights must not be negative; a null weight is no edge.
+    Weights must not be negative; a null weight is no edge. Each row carries its
+    path, so the path is read off at the end.
     """
     e = materialise(_clean(edges).select("src", "dst", F.col(weight).cast("double").alias("w")).where("w IS NOT NULL").groupBy("src", "dst").agg(F.min("w").alias("w")), "weighted")
     if not e.where("w < 0").isEmpty():
         raise ValueError("weights must not be negative")
     spark = edges.sparkSession
-    best = materialise(spark.createDataFrame([(source, None, 0.0)], "id string, parent string, cost double"), "best-0")
+    best = materialise(spark.createDataFrame([(source, 0.0, [source], [0.0])], "id string, cost double, path array<string>, costs array<double>"), "best-0")
     changed = best
-    for i in range(1, rounds + 1):
-        offers = changed.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(F.col("cost") + F.col("w"), "src")).alias("o"))
-        offers = offers.select("id", F.col("o.src").alias("parent"), F.col("o.col1").alias("cost"))
+    while True:
+        offers = changed.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), "src", "path", "costs")).alias("o"))
+        offers = offers.select("id", "o.cost", F.concat("o.path", F.array("id")).alias("path"), F.concat("o.costs", F.array("o.cost")).alias("costs"))
         old = best.select("id", F.col("cost").alias("old"))
-        changed = materialise(offers.join(old, "id", "left").where("old IS NULL OR cost < old").drop("old"), f"changed-{i}")
+        changed = materialise(offers.join(old, "id", "left").where("old IS NULL OR cost < old").drop("old"), "changed")
         if changed.isEmpty():
             break
-        best = materialise(best.join(changed.select("id"), "id", "left_anti").unionByName(changed), f"best-{i}")
-    return _walk(best, source, target)
+        best = materialise(best.join(changed.select("id"), "id", "left_anti").unionByName(changed), "best")
+    return _path_to(best, source, target, F.col("costs"))
 
 
 def node_similarity(edges: DataFrame, cutoff: float = 0.5, top_k: int = 10) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t"
+#: A line with its end; other separators of Unicode are text.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r)|[^\r\n]+")
 NODE_ID = re.compile(r"n[0-9]{12}")
 EDGE_ID = re.compile(r"e[0-9]{12}")
 END_ID = re.compile(r"n[0-9]{12}|port-[A-Z]{5}")
@@ -40,7 +42,7 @@ class BadRow(ValueError):
 def assemble(text: str) -> list[str]:
     """Logical records of a text: a line break inside an open quote continues the record."""
     records, held = [], ""
-    for line in text.splitlines(keepends=True) if "\n" in text or "\r" in text else [text]:
+    for line in _LINE.findall(text):
         held += line
         if held.count('"') % 2 == 0:
             records.append(held)

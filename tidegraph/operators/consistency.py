@@ -98,12 +98,12 @@ def orphan_rate(vertices: DataFrame, edges: DataFrame, most: float = 0.1) -> Dat
     return one.withColumn("rate", F.round(rate, 6)).withColumn("passed", rate <= most)
 
 
-def edge_profile(edges: DataFrame, labels: DataFrame, limit: int = 500) -> DataFrame:
-    """(type, source_label, target_label, edges): the ``limit`` commonest kinds of links; labels is (id, label)."""
+def edge_profile(edges: DataFrame, labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """(type, source_label, target_label, edges): kinds of links, all or the ``limit`` commonest; labels is (id, label)."""
     a = labels.select(F.col("id").alias("src"), F.col("label").alias("source_label"))
     b = labels.select(F.col("id").alias("dst"), F.col("label").alias("target_label"))
     p = edges.join(a, "src", "left").join(b, "dst", "left").groupBy("type", "source_label", "target_label").agg(F.count("*").alias("edges"))
-    return p.orderBy(F.col("edges").desc(), "type", "source_label", "target_label").limit(limit)
+    return p.orderBy(F.col("edges").desc(), "type", "source_label", "target_label").limit(limit) if limit is not None else p
 
 
 def dangling(profile: DataFrame, known: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ def lives(parent: DataFrame, table: str, key: str, born: str | None = None, died
     )
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, hot_rows: int = skew.HOT_ROWS, salts: int = skew.SALTS) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """Distinct (child_table, field_name, record_id, ref_key, at, reason) without a live target.
 
     ``reason`` is ``missing`` where no parent row has the key, else ``not_alive``.
@@ -60,8 +60,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, hot_rows: int = skew.
     suspects = materialise(u.join(p, same & covers, "left_anti").select("u.parent_table", "u.ref_key", "u.n"), "suspect-keys")
 
     hot = skew.hot_keys(suspects, KEY, "n", hot_rows)
-    rows = skew.spread(refs, hot, KEY, F.col("record_id"), salts).join(skew.repeat(suspects.drop("n"), hot, KEY, salts), [*KEY, "_salt"])
-    known = skew.repeat(parents.withColumn("known", F.lit(True)), hot, KEY, salts)
+    rows = skew.spread(refs, hot, KEY, F.col("record_id")).join(skew.repeat(suspects.drop("n"), hot, KEY), [*KEY, "_salt"])
+    known = skew.repeat(parents.withColumn("known", F.lit(True)), hot, KEY)
     # One more exchange is not needed: both joins are on (key, salt).
     r, k = rows.alias("r"), known.alias("k")
     on = (F.col("r.parent_table") == F.col("k.parent_table")) & (F.col("r.ref_key") == F.col("k.ref_key")) & (F.col("r._salt") == F.col("k._salt"))

@@ -1,10 +1,12 @@
 """Joins in which one key may hold a large share of the rows.
 
-A hot key is spread over ``salts`` tasks: the rows of the large side get a salt
-from a hash of a row-unique column, the rows of the small side are repeated
-once per salt. Only hot keys pay for the repetition. The list of hot keys is
-cut to ``MAX_HOT`` entries, so broadcasting it is bounded whatever the data; a
-key beyond the cut is joined without salt, which is slower but not wrong.
+Every key with ``hot_rows`` rows or more is spread over as many salts as it has
+multiples of ``hot_rows``: the rows of the large side get a salt from a hash of a
+row-unique column, the rows of the small side are repeated once per salt. Only
+hot keys pay for the repetition, and no key is left out: there are at most
+``rows / hot_rows`` of them. Their table is written first, so the planner knows
+its size and broadcasts it by its own threshold; beyond that it is joined by a
+shuffle, whose hot partitions adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -12,28 +14,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 1000
+from tidegraph.plans.scratch import drop_scratch, materialise
+
 HOT_ROWS = 200_000
-SALTS = 32
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """At most ``MAX_HOT`` keys with ``hot_rows`` rows or more, largest first."""
-    return (
-        counts.where(F.col(n) >= hot_rows)
-        .orderBy(F.col(n).desc(), *keys)
-        .limit(MAX_HOT)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(keys, _salts) of the keys with ``hot_rows`` rows or more; None if there is none."""
+    hot = materialise(counts.where(F.col(n) >= hot_rows).select(*keys, F.ceil(F.col(n) / hot_rows + 1).cast("int").alias("_salts")), "hot-keys")
+    if hot.isEmpty():
+        drop_scratch(hot)
+        return None
+    return hot
 
 
-def spread(df: DataFrame, hot: DataFrame, keys: list[str], by: Column, salts: int = SALTS) -> DataFrame:
+def spread(df: DataFrame, hot: DataFrame | None, keys: list[str], by: Column) -> DataFrame:
     """The large side: ``_salt`` is a hash of ``by`` for hot keys and 0 otherwise."""
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot")
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(by), F.col("_salts")).cast("int")).otherwise(F.lit(0))
+    return df.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
 
 
-def repeat(df: DataFrame, hot: DataFrame, keys: list[str], salts: int = SALTS) -> DataFrame:
+def repeat(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> DataFrame:
     """The small side: one row per salt for hot keys, one row otherwise."""
-    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return df.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    if hot is None:
+        return df.withColumn("_salt", F.lit(0))
+    every = F.when(F.col("_salts").isNotNull(), F.sequence(F.lit(0), F.col("_salts") - 1)).otherwise(F.array(F.lit(0)))
+    return df.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegraph.operators import catalog, consistency, etl, lineage, workflow
 from tidegraph.operators.consistency import Property
 from tidegraph.plans.graph import knowledge_graph, trade_graph
-from tidegraph.plans.scratch import scratch_dir
+from tidegraph.plans.scratch import scratch_path
 from tidegraph.sources import interchange, stores
 from tidegraph.streaming import micro_batch
 
@@ -227,7 +227,7 @@ PROFILE = f"(SELECT edge_type AS type, a.label AS source_label, b.label AS targe
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
     n, e = knowledge_graph(spark, d)
-    return consistency.edge_profile(e, n.groupBy("id").agg(F.min(F.get("labels", F.lit(0))).alias("label")), 100_000)
+    return consistency.edge_profile(e, n.groupBy("id").agg(F.min(F.get("labels", F.lit(0))).alias("label")))
 
 
 @query(f"SELECT * FROM {PROFILE}")
@@ -340,9 +340,7 @@ def export_jsonld_edges(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT id, array_to_string(labels, ';') AS labels, json_extract_string(props, '$.name') AS name FROM {LAST}")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Nodes written as CSV and read again."""
-    import uuid
-
-    path = f"{scratch_dir(spark)}/tidegraph/csv-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "csv")
     interchange.write_csv(interchange.csv_nodes(_exchange(spark, d)[0], ["name"]), path)
     back = interchange.read_csv_nodes(spark, path)
     return back.select("id", F.array_join("labels", ";").alias("labels"), F.col("properties")["name"].alias("name"))
@@ -377,9 +375,7 @@ def window_sessions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS events, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def stream_micro_batches(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream of files, each micro-batch pre-aggregated and appended, then summed."""
-    import uuid
-
-    base = f"{scratch_dir(spark)}/tidegraph/stream-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "stream")
     src = _t(spark, d, "events").select("event_id", "event_type", "value")
     src.repartition(4, "event_id").write.parquet(f"{base}/in")
     stream = micro_batch.subscribe(spark, f"{base}/in", src.schema, files_per_batch=2)
@@ -401,9 +397,7 @@ def stream_records(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT org_id, name_en FROM organizations WHERE name_en IS NOT NULL AND trim(name_en, ' ') <> '' AND country IS NOT NULL AND trim(country, ' ') <> ''")
 def raw_replay(spark: SparkSession, d: str) -> DataFrame:
     """Records put into the raw store as they came, read again by source and run through a pipeline."""
-    import uuid
-
-    path = f"{scratch_dir(spark)}/tidegraph/raw-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "raw")
     o = _t(spark, d, "organizations")
     stores.put_raw(o.select(F.col("org_id").cast("string").alias("id"), F.to_json(F.struct("org_id", "name_en", "country")).alias("payload")), path, "registry", F.lit("2025-01-01"))
     again = stores.raw(spark, path, "registry", dt.date(2024, 12, 31)).select(F.from_json("payload", "org_id bigint, name_en string, country string").alias("r")).select("r.*")
