@@ -1,6 +1,9 @@
+import math
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.llm import encodings, groups, pieces, spam, tokens
 
@@ -134,14 +137,50 @@ def test_garbled_fields(spark):
     assert [(r.doc_id, r.field_name, r.restored) for r in got] == [("a", "title", "ét")] * 2
 
 
+def prose(rng, n):
+    subject, verb, thing = "the a pilot master crew cook diver agent".split(), "checked moved signed asked sketched repaired cleaned".split(), "lamp rope keel bow deck hatch boom mast".split()
+    return [". ".join(f"{rng.choice(subject)} of the ship {rng.choice(verb)} the {rng.choice(thing)} in the {rng.choice(thing)} after a {rng.choice(verb)} day" for _ in range(rng.randint(4, 9))) for _ in range(n)]
+
+
 def test_spam(spark):
     rng = random.Random(3)
-    subject, verb, thing = "the a pilot master crew cook diver agent".split(), "checked moved signed asked sketched repaired cleaned".split(), "lamp rope keel bow deck hatch boom mast".split()
-    prose = [". ".join(f"{rng.choice(subject)} of the ship {rng.choice(verb)} the {rng.choice(thing)} in the {rng.choice(thing)} after a {rng.choice(verb)} day" for _ in range(rng.randint(4, 9))) for _ in range(300)]
+    pages = prose(rng, 300)
     junk = ["hull wax cheap hull wax HULL WAX " * rng.randint(8, 20) for _ in range(8)] + [" ".join(f"https://shop{rng.randrange(99)}.test/hull/wax{i}" for i in range(40)) for _ in range(8)]
-    mixed = prose[0] + ". see https://ok.example/a and hull wax"
-    rows = [(i, t, rng.choice(["en", "EN", "eng", None])) for i, t in enumerate([*prose, *junk, mixed, "", "  ", None, "hi"])]
-    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id int, text string, lang string, score double")
-    got = {r.doc_id for r in spam.spam_pages(df, "doc_id", "text", "lang").collect()}
-    assert got == set(range(300, 316))
+    mixed = pages[0] + ". see https://ok.example/a and hull wax"
+    rows = [(i, t, rng.choice(["en", "EN", "eng", None])) for i, t in enumerate([*pages, *junk, mixed, "", "  ", None, "hi", "12 34"])]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id int, text string, lang string, found double")
+    figures = spam.page_figures(df, "doc_id", "text", "lang").collect()
+    assert {r.doc_id for r in figures if r.found} == set(range(300, 316))
+    assert all(any(r[f"z_{c}"] > limit for c, limit in spam.EXTREME.items()) == r.found for r in figures)
+    assert {r.doc_id for r in figures} == set(range(317)) | {320}
     assert spam.spam_pages(df.limit(0), "doc_id", "text", "lang").count() == 0
+    nowhere = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in spam.spam_pages(nowhere, "doc_id", "text", "lang").collect()} == set(range(300, 316))
+
+
+def test_one_spam_page_is_enough(spark):
+    rows = [(i, t, "en") for i, t in enumerate([*prose(random.Random(4), 60), "cheap hull wax near me best anchor chain buy deck shoes sale " * 6])]
+    df = spark.createDataFrame([*rows, rows[-1]], "doc_id int, text string, lang string")
+    assert [r.doc_id for r in spam.spam_pages(df, "doc_id", "text", "lang").collect()] == [60, 60]
+
+
+def test_divergence_against_a_plain_computation(spark):
+    rng = random.Random(5)
+    texts = [*prose(rng, 40), "cheap wax " * 30, "a ship"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in spam.page_figures(df, "doc_id", "text", "lang").collect()}
+    shares = [{w: n / sum(c.values()) for w, n in c.items()} for c in (Counter(spam.words(t)) for t in texts)]
+    steep = {i for i, r in got.items() if any(r[f"z_{c}"] > spam.EXTREME[c] for c in ("slope", "residual"))}
+    model = Counter()
+    for i, s in enumerate(shares):
+        if i not in steep:
+            model.update({w: p / (len(texts) - len(steep)) for w, p in s.items()})
+
+    def js(p):
+        total = 0.0
+        for w in {*p, *model}:
+            a, b = p.get(w, 0), model.get(w, 0)
+            total += sum(x / 2 * math.log(2 * x / (a + b)) for x in (a, b) if x)
+        return total
+
+    assert all(r.divergence == pytest.approx(js(shares[i]), abs=1e-9) for i, r in got.items())
