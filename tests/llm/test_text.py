@@ -131,6 +131,39 @@ def test_nested_and_two_byte():
     assert encodings.judge("inspecci�n")[0]
 
 
+def test_rare_syllables_are_strange():
+    assert encodings.cost("추진 실험") == 0 < encodings.cost("異붿쭊")
+    assert encodings.judge("추진".encode().decode("cp949")) == (True, "추진")
+
+
+@pytest.mark.parametrize("layers", [1, 3, 5, 7])
+def test_any_number_of_layers(layers):
+    text = wrong = "Situación en la región: 사고 조사"
+    for _ in range(layers):
+        wrong = "".join(encodings._char(b, "cp1252") for b in wrong.encode())
+    assert encodings.judge(wrong) == (True, text)
+
+
+def test_lost_bytes():
+    wide = "추진 효율에 관한 연구".encode().decode("cp949", "replace")
+    assert "\ufffd" in wide and encodings.judge(wide) == (True, "추진 \ufffd\ufffd\ufffd \ufffd\ufffd \ufffd\ufffd")
+    assert encodings.judge("푸난호".encode("cp949").decode("utf-8", "replace")) == (True, "푸\ufffd호")
+    assert encodings.judge("inspecci\ufffdn") == (True, "inspecci\ufffdn")
+    assert encodings.explained("l\ufffd-bas") and not encodings.explained("plain")
+
+
+@pytest.mark.parametrize("text", ["선박 사고", "해양"])
+def test_short_two_byte_text(text):
+    assert encodings.judge(text.encode("cp949").decode("latin-1")) == (True, text)
+
+
+def test_quick_look_misses_no_cost():
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(32, 0x100), rng.randrange(0x100, 0x500), rng.randrange(0x2000, 0x2600), rng.randrange(0x3000, 0x3200), rng.randrange(0xAC00, 0xD7A4), 0xFFFD])) for _ in range(3))
+        assert encodings._quick().search(text) or encodings.cost(text) == 0
+
+
 def test_garbled_fields(spark):
     df = spark.createDataFrame([("a", "Ã©t", None, "x"), ("a", "Ã©t", None, "x"), ("b", None, "é" * 50_000, "x")], "doc_id string, title string, content string, field_name string")
     got = encodings.garbled_fields(df, "doc_id", ["title", "content"]).collect()
