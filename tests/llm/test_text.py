@@ -75,7 +75,7 @@ PROSE = "당직 항해사는 등을 확인하였다. The master slept? Yes!\nA l
 @pytest.mark.parametrize("overlap", [0, 50])
 def test_pieces(spark, text, overlap):
     df = spark.createDataFrame([("k", text, 1), ("n", None, 1)], "doc_id string, content string, start int")
-    for span in (pieces.RANGE, 2048):
+    for span in (None, 1024, 65_536):
         got = sorted((r.piece_no, r.start, r.stop, r.piece) for r in pieces.split_texts(df, "doc_id", "content", overlap=overlap, range_chars=span).collect())
         assert [g[0] for g in got] == list(range(len(got)))
         assert all(p == text[s:e] and e - s <= 512 for _, s, e, p in got)
@@ -93,15 +93,43 @@ def test_pieces_end_at_words():
     assert next(pieces.cut(pieces.ends_of(para), 0, len(para), 512, 50)) == (0, 302)
 
 
-def test_pieces_of_files(spark, tmp_path):
-    text = PROSE * 8
+@pytest.mark.parametrize("size", [4096, 5001, 1 << 20])
+def test_pieces_of_files(spark, tmp_path, size):
+    text = PROSE * 8 + "字" * 5000 + "\n" + "é. " * 3000
     (tmp_path / "a.txt").write_text(text, encoding="utf-8", newline="")
     (tmp_path / "b.txt").write_text("tiny")
-    got = pieces.split_files(spark, f"file://{tmp_path}/*.txt", range_bytes=5000)
-    a = sorted((r.piece_no, r.start, r.stop, r.piece) for r in got.collect() if r.path.endswith("a.txt"))
-    assert [x[0] for x in a] == list(range(len(a)))
-    assert all(p == text[s:e] for _, s, e, p in a) and a[0][1] == 0 and a[-1][2] == len(text)
-    assert all(0 <= x[2] - y[1] <= 50 for x, y in zip(a, a[1:]))
+    (tmp_path / "c.txt").write_bytes(b"\xff\x80" * 4000 + b" end \xe2\x82")
+    (tmp_path / "d.txt").write_bytes(b"")
+    table = {(r.item[-5:], r.range_no): r for r in pieces.file_boundaries(spark, f"file://{tmp_path}/*.txt", range_bytes=size).collect()}
+    a = [table[k] for k in sorted(table) if k[0] == "a.txt"]
+    assert a[0].start_chars == a[0].start_bytes == 0 and (a[-1].stop_chars, a[-1].stop_bytes) == (len(text), len(text.encode()))
+    assert all((x.stop_chars, x.stop_bytes) == (y.start_chars, y.start_bytes) and len(text[: x.stop_chars].encode()) == x.stop_bytes for x, y in zip(a, a[1:]))
+    rows = pieces.split_files(spark, f"file://{tmp_path}/*.txt", range_bytes=size).collect()
+    for name, whole in (("a.txt", text), ("b.txt", "tiny"), ("c.txt", "\ufffd" * 8000 + " end \ufffd\ufffd")):
+        got = sorted((r.piece_no, r.start, r.stop, r.piece) for r in rows if r.path.endswith(name))
+        assert [x[0] for x in got] == list(range(len(got)))
+        assert all(p == whole[s:e] and e - s <= 512 for _, s, e, p in got) and got[0][1] == 0 and got[-1][2] == len(whole)
+        assert all(0 <= x[2] - y[1] <= 50 and y[1] > x[1] for x, y in zip(got, got[1:]))
+
+
+def test_stitching_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK", 3)
+    rng = random.Random(1)
+    rows = [(item, i, n := rng.randrange(5, 50), n - rng.randrange(5)) for item in "ab" for i in range(10)]
+    got = sorted((r["item"], r.range_no, r.start_x, r.stop_x) for r in pieces.stitch(spark.createDataFrame(rows, "item string, range_no long, x long, seam_x long"), ["x"]).collect())
+    want, base, stop = [], {}, {}
+    for item, i, n, s in rows:
+        want.append((item, i, stop.get(item, 0), base.get(item, 0) + s))
+        stop[item], base[item] = base.get(item, 0) + s, base.get(item, 0) + n
+    assert got == want
+
+
+def test_ranges_give_what_one_cut_between_the_seams_gives():
+    text = PROSE * 3
+    for size in (1024, 2048, 5000):
+        b = next(pieces._bounds(size, 512)(iter([pieces._batch([["t"], [text]], ["item", "text"], [pieces.pa.string()] * 2)]))).to_pylist()
+        seams = [x["range_no"] * size + x["seam_chars"] for x in b]
+        assert seams[-1] == len(text) and all(s in {e for k in pieces.ends_of(text) for e in k} for s in seams)
 
 
 SOUND = ["Værmelding for ytre strøk", "AVISO À NAVEGAÇÃO N.º 33", "MANUTENÇÃO NO CAIS", "The name «Ладвирь» was painted", "Here ∂η/∂t ≈ 9.8 m²/s and µ ≥ ½", "선장은 38±5.6미터(海圖)", "船長は霧のため。", "LA CÔTÂRE", "“Gone” – ‘x’ …", "", "plain"]

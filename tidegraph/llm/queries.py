@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import encodings, entities, groups, packing, pieces, spam, tokens
+from tidegraph.plans.scratch import scratch_path
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -40,6 +41,16 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """The contents of each document type as one file, split by byte ranges; files are named by their type."""
+    docs = _t(spark, d, "kg_documents").where("content IS NOT NULL")
+    folder = scratch_path(spark, "texts")
+    typed = docs.select(F.coalesce("doc_type", F.lit("none")).alias("type"), "doc_id", F.concat("content", F.lit("\n")).alias("value"))
+    typed.repartition("type").sortWithinPartitions("type", "doc_id").select("type", "value").write.partitionBy("type").text(folder)
+    got = pieces.split_files(spark, f"{folder}/type=*/*.txt", range_bytes=1 << 16)
+    return got.withColumn("path", F.regexp_extract("path", "type=([^/]*)/", 1))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     matches = _t(spark, d, "graph_edges").where(F.col("edge_type").isin("SAME_AS", "ALIAS_OF"))
     return groups.linked_groups(matches, "source_id", "target_id")
@@ -65,7 +76,7 @@ def p9_figures(spark: SparkSession, d: str) -> DataFrame:
     return spam.page_figures(_t(spark, d, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_figures": p9_figures}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_pieces": p4_pieces, "p4_files": p4_files, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_figures": p9_figures}
 
 ORACLES = {
     "p4_found": "SELECT doc_id FROM kg_documents WHERE length(content) > 512",
