@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.llm import entities, orgnames, packing
 
@@ -124,10 +125,49 @@ def test_packing(spark, shard):
     assert packing.pack(df.limit(0)).count() == 0
 
 
-def test_evolution_improves():
-    rng = random.Random(4)
-    sizes = [rng.randrange(20, 51) for _ in range(200)]
-    first = packing.best_fit([], sorted(range(200), key=lambda i: -sizes[i]), sizes, 100)
-    best = packing.evolve(sizes, 100, [], "s")
-    assert sorted(i for b in best for i in b) == list(range(200))
-    assert len(best) <= len(first)
+def triplets(n, seed):
+    """Items of which three always fill a bin of 1,000 exactly."""
+    rng, out = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(190, (1000 - a) // 2)
+        out += [a, b, 1000 - a - b]
+    return out
+
+
+def test_evolution_lowers_the_bins():
+    saved = 0
+    for seed in range(6):
+        sizes = triplets(60, seed)
+        first = packing.best_fit([], sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1000)
+        best, made = packing.evolve(sizes, 1000, [], str(seed))
+        assert sorted(i for b in best for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 1000 for b in best)
+        assert len(first) > packing.least_bins(sizes, 1000) and made and len(best) <= len(first)
+        saved += len(first) - len(best)
+    assert saved > 0
+
+
+def test_islands_better_the_first_packing(spark):
+    sizes = triplets(120, 9)
+    df = spark.createDataFrame([(i, 0, 0, s, i % 2) for i, s in enumerate(sizes)], "key long, piece_no int, start int, size int, shard int")
+    rows = packing.best_packings(df, 1000, 0).collect()
+    first, best = [{s: min(r.bins for r in rows if r.shard == s and (r.island < 0) == f) for s in (0, 1)} for f in (True, False)]
+    assert max(r.crossovers for r in rows) > 0
+    assert all(best[s] <= first[s] for s in (0, 1)) and sum(best.values()) < sum(first.values())
+    easy = df.withColumn("size", F.lit(100))
+    assert {r.island for r in packing.best_packings(easy, 1000, 0).collect()} == {-1}
+
+
+def test_large_items_end_without_a_large_shard(spark, monkeypatch):
+    held, most = packing.materialise, []
+
+    def watched(df, label):
+        out = held(df, label)
+        if label.startswith("shards-"):
+            most.append(out.groupBy("shard").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(packing, "materialise", watched)
+    df = spark.range(3000).select(F.col("id").alias("key"), F.lit(60).alias("size"))
+    assert packing.pack(df, 100, 200).select("container_id").distinct().count() == 3000
+    assert len(most) <= 2 and max(most) < 300

@@ -1,16 +1,20 @@
 """Filling fixed-capacity containers with items (problem 8).
 
 A grouping genetic algorithm on islands. Items are hashed into shards of about
-``SHARD`` items; each shard is packed by several islands that start from
-differently disturbed best-fit-decreasing packings. A crossover copies whole
-well-filled bins of one parent into the other, drops the bins that hold the
-same items twice and best-fits the displaced ones, largest first; a mutation
-empties the worst bins and best-fits their items. After each epoch every
-island's best packing migrates to the next island of its shard.
+``SHARD`` items. Each shard is first packed by best-fit decreasing; where that
+needs no more bins than the sum of sizes demands, it is optimal and stays. The
+other shards go to several islands, whose populations start from differently
+disturbed packings. A crossover copies whole well-filled bins of one parent into
+the other, drops the bins that hold the same items twice and best-fits the
+displaced ones, largest first; a mutation empties the worst bins and best-fits
+their items. After each epoch every island's best packing migrates to the next
+island of its shard.
 
 A shard's bins that are nearly full are final. The items of the others go on to
-the next level, where they are hashed into fewer shards, until one shard is
-left: so all shards together leave the room of about one bin.
+the next level, where they are hashed anew into as many shards as they need, so
+that what one shard lacks another one has. The levels end with one shard, or
+when a level lowers the number of open bins by less than ``GAIN``; shards never
+grow, so no task ever holds much more than ``SHARD`` items.
 
 Defined results: an item larger than the capacity fills bins of its own with
 its leading full parts, and the remainder is packed like any other item; no
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm import tokens
-from tidegraph.plans.scratch import materialise
+from tidegraph.plans.scratch import drop_scratch, materialise
 
 CAPACITY = 2048
 SHARD = 4096
@@ -39,6 +43,8 @@ GENERATIONS = 6
 POPULATION = 6
 #: Bins with at most this share of room are final at once.
 SPARE = 0.01
+#: Share of the open bins that a level must save for another one to follow.
+GAIN = 0.01
 
 
 class Rooms:
@@ -113,18 +119,20 @@ def mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: random.Rand
     return best_fit(kept, sorted(loose, key=lambda i: -sizes[i]), sizes, capacity)
 
 
-def evolve(sizes: list[int], capacity: int, elites: list[list[list[int]]], seed: str) -> list[list[int]]:
-    """The best packing after some generations; ``elites`` come from other islands."""
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """No packing has fewer bins than this."""
+    return max(1, math.ceil(sum(sizes) / capacity))
+
+
+def evolve(sizes: list[int], capacity: int, elites: list[list[list[int]]], seed: str) -> tuple[list[list[int]], int]:
+    """The best packing after some generations, and the crossovers made; ``elites`` come from other islands."""
     rng = random.Random(seed)
-    least = max(1, math.ceil(sum(sizes) / capacity))
+    least = least_bins(sizes, capacity)
     falling = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    pool = [*elites]
-    spread = 0.0
+    pool, made, spread = [*elites], 0, 0.0 if not elites else 0.05
     while len(pool) < POPULATION:
         order = falling if not spread else sorted(falling, key=lambda i: -sizes[i] * (1 + rng.uniform(-spread, spread)))
         pool.append(best_fit([], order, sizes, capacity))
-        if len(pool[-1]) == least:
-            return pool[-1]
         spread += 0.05
     value = lambda p: (-len(p), fitness(p, sizes, capacity))
     pool.sort(key=value, reverse=True)
@@ -135,8 +143,9 @@ def evolve(sizes: list[int], capacity: int, elites: list[list[list[int]]], seed:
         for _ in range(POPULATION // 2):
             a, b = (pool[min(rng.randrange(len(pool)), rng.randrange(len(pool)))] for _ in range(2))
             children.append(mutate(crossover(a, b, sizes, capacity, rng), sizes, capacity, rng))
+            made += 1
         pool = sorted([*pool, *children], key=value, reverse=True)[:POPULATION]
-    return pool[0]
+    return pool[0], made
 
 
 def _as_bins(assigned: list[int]) -> list[list[int]]:
@@ -158,33 +167,62 @@ def _sorted(items: pd.DataFrame) -> pd.DataFrame:
     return items.sort_values(["size", "key", "piece_no"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
 
 
+_PACKING = "shard int, island int, assigned array<int>, bins int, fitness double, crossovers int"
+
+
+def _packing(shard: int, island: int, best: list[list[int]], sizes: list[int], capacity: int, crossovers: int) -> pd.DataFrame:
+    return pd.DataFrame({"shard": [shard], "island": [island], "assigned": [_as_list(best, len(sizes))], "bins": [len(best)], "fitness": [fitness(best, sizes, capacity)], "crossovers": [crossovers]})
+
+
+def _first(capacity: int):
+    """Best-fit decreasing; island -1 says that it can't be bettered, island -2 that it may be."""
+
+    def run(items: pd.DataFrame) -> pd.DataFrame:
+        sizes = _sorted(items)["size"].tolist()
+        best = best_fit([], list(range(len(sizes))), sizes, capacity)
+        return _packing(int(items["shard"].iat[0]), -1 if len(best) == least_bins(sizes, capacity) else -2, best, sizes, capacity, 0)
+
+    return run
+
+
 def _epoch(capacity: int, epoch: int, level: int):
     def run(items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
         if items.empty:
-            return pd.DataFrame({"shard": [], "island": [], "assigned": [], "bins": [], "fitness": []})
+            return pd.DataFrame({c.split()[0]: [] for c in _PACKING.split(", ")})
         items = _sorted(items)
         sizes = items["size"].tolist()
         shard, island = int(items["shard"].iat[0]), int(items["island"].iat[0])
-        best = evolve(sizes, capacity, [_as_bins(list(a)) for a in elites["assigned"]], f"{level}.{shard}.{island}.{epoch}")
-        to = (island + 1) % ISLANDS
-        return pd.DataFrame({"shard": [shard], "island": [to], "assigned": [_as_list(best, len(sizes))], "bins": [len(best)], "fitness": [fitness(best, sizes, capacity)]})
+        best, made = evolve(sizes, capacity, [_as_bins(list(a)) for a in elites["assigned"]], f"{level}.{shard}.{island}.{epoch}")
+        return _packing(shard, (island + 1) % ISLANDS, best, sizes, capacity, made + int(elites["crossovers"].max() if len(elites) else 0))
 
     return run
 
 
-def _settle(capacity: int, level: int, last: bool):
-    def run(items: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+def _settle(capacity: int, level: int):
+    def run(items: pd.DataFrame, packings: pd.DataFrame) -> pd.DataFrame:
         items = _sorted(items)
-        best = elites.sort_values(["bins", "fitness", "island"], ascending=[True, False, True]).iloc[0]
+        best = packings.sort_values(["bins", "fitness", "island"], ascending=[True, False, True]).iloc[0]
         items["bin"] = list(best["assigned"])
-        room = capacity - items.groupby("bin")["size"].transform("sum")
         items["container_id"] = f"{level}-{int(items['shard'].iat[0])}-" + items["bin"].astype(str)
-        items["final"] = last | (room <= SPARE * capacity)
-        return items[["key", "piece_no", "start", "size", "container_id", "final"]]
+        items["room"] = (capacity - items.groupby("bin")["size"].transform("sum")).astype("int32")
+        return items[["key", "piece_no", "start", "size", "container_id", "room"]]
 
     return run
 
 
+def best_packings(placed: DataFrame, capacity: int, level: int) -> DataFrame:
+    """Candidate packings of the shards of ``placed`` (key, piece_no, start, size, shard); the islands work where the first one may be bettered."""
+    first = materialise(placed.groupBy("shard").applyInPandas(_first(capacity), _PACKING), f"first-{level}")
+    hard = first.where("island = -2").select("shard")
+    if hard.isEmpty():
+        return first
+    on_islands = materialise(placed.join(hard, "shard").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))), f"islands-{level}")
+    elites = first.where("island = -2").withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
+    for epoch in range(EPOCHS):
+        elites = on_islands.groupBy("shard", "island").cogroup(elites.groupBy("shard", "island")).applyInPandas(_epoch(capacity, epoch, level), _PACKING)
+    return first.unionByName(materialise(elites, f"elites-{level}"))
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD) -> DataFrame:
     """(key, piece_no, start, size, container_id) of items (key, size)."""
     if capacity < 1:
@@ -196,30 +234,23 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD) -
         "key", F.col("p.no").alias("piece_no"), F.col("p.at").alias("start"), F.least(F.col("size") - F.col("p.at"), F.lit(capacity)).alias("size")
     )
     cut = materialise(cut, "items")
-    full = cut.where(F.col("size") == capacity).select("*", F.concat_ws("-", F.lit("f"), F.coalesce(F.col("key").cast("string"), F.lit("")), "piece_no").alias("container_id"))
-    done, left, level = [full], cut.where(F.col("size") < capacity), 0
-    while True:
-        n = left.count()
-        if not n:
-            break
+    result = cut.where(F.col("size") == capacity).select("*", F.concat_ws("-", F.lit("f"), F.coalesce(F.col("key").cast("string"), F.lit("")), "piece_no").alias("container_id"))
+    left, n = cut.where(F.col("size") < capacity), cut.where(F.col("size") < capacity).count()
+    out = f"key {kind}, piece_no int, start int, size int, container_id string, room int"
+    level, open_bins = 0, None
+    while n:
         shards = -(-n // shard_items)
         placed = materialise(left.withColumn("shard", F.pmod(F.xxhash64("key", "piece_no", F.lit(level)), F.lit(shards)).cast("int")), f"shards-{level}")
-        on_islands = placed.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
-        schema = "shard int, island int, assigned array<int>, bins int, fitness double"
-        elites = placed.sparkSession.createDataFrame([], schema)
-        for epoch in range(EPOCHS):
-            elites = on_islands.groupBy("shard", "island").cogroup(elites.groupBy("shard", "island")).applyInPandas(_epoch(capacity, epoch, level), schema)
-        out = f"key {kind}, piece_no int, start int, size int, container_id string, final boolean"
-        settled = materialise(placed.groupBy("shard").cogroup(elites.groupBy("shard")).applyInPandas(_settle(capacity, level, shards == 1), out), f"packed-{level}")
-        done.append(settled.where("final").drop("final"))
-        if shards == 1:
+        packings = best_packings(placed, capacity, level)
+        settled = materialise(placed.groupBy("shard").cogroup(packings.groupBy("shard")).applyInPandas(_settle(capacity, level), out), f"packed-{level}")
+        drop_scratch(placed)
+        roomy = F.col("room") > SPARE * capacity
+        sums = settled.agg(F.count_distinct(F.when(roomy, F.col("container_id"))).alias("open"), F.count_distinct("container_id").alias("used"), F.count_if(roomy).alias("n")).first()
+        if shards == 1 or (open_bins is not None and sums["used"] > open_bins * (1 - GAIN)):
+            result = result.unionByName(settled.drop("room"))
             break
-        left, level = settled.where("NOT final").select("key", "piece_no", "start", "size"), level + 1
-        # A level that settles almost nothing would never end; larger shards leave fewer bins open.
-        shard_items = shard_items * 2 if left.count() > n // 2 else shard_items
-    result = done[0]
-    for d in done[1:]:
-        result = result.unionByName(d)
+        result = result.unionByName(settled.where(~roomy).drop("room"))
+        left, n, open_bins, level = settled.where(roomy).drop("room", "container_id"), sums["n"], sums["open"], level + 1
     return result
 
 
