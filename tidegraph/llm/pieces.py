@@ -94,7 +94,7 @@ def stitch(bounds: DataFrame, sums: list[str]) -> DataFrame:
     ``<x>`` is the length of a range in some unit, ``seam_<x>`` the place of its seam from the range's beginning;
     the last range of an item has its end for a seam.
     """
-    block = bounds.withColumn("block", F.floor(F.col("range_no") / BLOCK))
+    block = materialise(bounds, "ranges").withColumn("block", F.floor(F.col("range_no") / BLOCK))
     upto = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     per = block.groupBy("item", "block").agg(*[F.sum(x).alias(x) for x in sums])
     per = per.select("item", "block", *[F.coalesce(F.sum(x).over(upto(["item"], "block")), F.lit(0)).alias(f"_{x}") for x in sums])
@@ -247,7 +247,7 @@ def file_boundaries(spark: SparkSession, paths: str, limit: int = LIMIT, range_b
     numbers = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / range_bytes))
     todo = files.select("path", "length", F.explode(numbers).alias("range_no")).repartition("path", "range_no")
     cols = "item string, range_no bigint, chars bigint, seam_chars bigint, bytes bigint, seam_bytes bigint"
-    return stitch(materialise(todo.mapInArrow(_file_bounds(limit, range_bytes), cols), "bounds"), ["chars", "bytes"])
+    return stitch(todo.mapInArrow(_file_bounds(limit, range_bytes), cols), ["chars", "bytes"])
 
 
 def split_files(spark: SparkSession, paths: str, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
