@@ -114,14 +114,20 @@ PERSONAL = {
 }
 
 
+def _bounded(rx: str) -> str:
+    """The pattern with its word borders spelled out, since engines differ on whether Hangul belongs to words."""
+    inner = rx.removeprefix("\\b").removesuffix("\\b")
+    return f"(?<![\\p{{L}}\\p{{N}}_])(?:{inner})(?![\\p{{L}}\\p{{N}}_])"
+
+
 def personal_counts(c: Column) -> list[Column]:
-    """One count per kind of personal data."""
-    return [F.coalesce(F.regexp_count(c, F.lit(rx)), F.lit(0)).alias(kind) for kind, rx in PERSONAL.items()]
+    """One count per kind of personal data; letters of any script and digits end no word."""
+    return [F.coalesce(F.regexp_count(c, F.lit(_bounded(rx))), F.lit(0)).alias(kind) for kind, rx in PERSONAL.items()]
 
 
 def redact(c: Column, placeholder: str = "[REDACTED]") -> Column:
     """The text with personal data replaced; one pass, so overlapping finds can't cut each other."""
-    return F.regexp_replace(c, "|".join(f"(?:{rx})" for rx in PERSONAL.values()), placeholder.replace("$", "\\$"))
+    return F.regexp_replace(c, "|".join(map(_bounded, PERSONAL.values())), placeholder.replace("$", "\\$"))
 
 
 # Types are given as objects: a worker that imports this module has no session to parse a string.
@@ -133,7 +139,8 @@ def personal_spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """All finds with their places, by start."""
     import re
 
-    rx = {k: re.compile(p, re.ASCII) for k, p in PERSONAL.items()}
+    inner = {k: p.removeprefix(r"\b").removesuffix(r"\b").replace(r"\d", "[0-9]") for k, p in PERSONAL.items()}
+    rx = {k: re.compile(rf"(?<!\w)(?:{p})(?!\w)") for k, p in inner.items()}
     for s in texts:
         yield s.map(lambda t: sorted(({"kind": k, "value": m[0], "start": m.start(), "stop": m.end()} for k, r in rx.items() for m in r.finditer(t or "")), key=lambda x: (x["start"], x["kind"])))
 
@@ -171,32 +178,48 @@ def similarity_score(raw: Column, distance: str) -> Column:
     raise ValueError(f"unknown distance {distance!r}")
 
 
+def merged(text: str, separator: str, size: int) -> list[str]:
+    out: list[list[str]] = []
+    held = 0
+    for part in text.split(separator):
+        if not part.strip(" "):
+            continue
+        if out and held + len(separator) + len(part) <= size:
+            out[-1].append(part)
+            held += len(separator) + len(part)
+        else:
+            out.append([part])
+            held = len(part)
+    return [separator.join(x) for x in out]
+
+
+def overlapped(chunks: list[str], size: int, overlap: int) -> list[str]:
+    out: list[str] = []
+    for chunk in chunks:
+        tail = out[-1][max(0, len(out[-1]) - overlap) :] if out else ""
+        out.append(tail + chunk if len(tail) + len(chunk) <= size else chunk)
+    return out
+
+
 def chunk_merge(c: Column, separator: str = "\n\n", size: int = 512) -> Column:
-    """Parts between separators, joined greedily up to ``size`` characters; a longer part is never cut."""
+    """Parts between separators, joined greedily up to ``size`` characters; a longer part is never cut. Linear in the text."""
     if size <= 0:
         raise ValueError("the size must be positive")
-    parts = F.filter(F.split(c, f"\\Q{separator}\\E"), lambda p: F.trim(p) != "")
-    empty = F.array().cast("array<string>")
-
-    def step(acc, p):
-        last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(F.try_element_at(acc, F.lit(-1))) + len(separator) + F.length(p) <= size)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.try_element_at(acc, F.lit(-1)), F.lit(separator), p)))
-        del last
-        return F.when(fits, joined).otherwise(F.concat(acc, F.array(p)))
-
-    return F.aggregate(parts, empty, step)
+    run = pandas_udf(lambda s: s.map(lambda t: None if t is None else merged(t, separator, size)), ArrayType(StringType()))
+    return run(c)
 
 
 def chunk_overlap(chunks: Column, size: int = 512, overlap: int = 50) -> Column:
     """Each chunk behind the last ``overlap`` characters of the chunk before it, where both fit into ``size``."""
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be less than the size")
-    empty = F.array().cast("array<string>")
+    run = pandas_udf(lambda s: s.map(lambda x: None if x is None else overlapped(list(x), size, overlap)), ArrayType(StringType()))
+    return run(chunks)
 
-    def step(acc, p):
-        tail = F.right(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")), F.lit(overlap))
-        fits = (F.size(acc) > 0) & (F.length(tail) + F.length(p) <= size)
-        return F.concat(acc, F.array(F.when(fits, F.concat(tail, p)).otherwise(p)))
 
-    return F.aggregate(chunks, empty, step)
+def point_id(c: Column, namespace: str = "6ba7b810-9dad-11d1-80b4-00c04fd430c8") -> Column:
+    """The name-based id (version 5) of a text in a namespace, by default that of domain names; null for null."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(c, "UTF-8")))
+    at = lambda i, n: F.substr(digest, F.lit(i), F.lit(n))
+    variant = F.substr(F.lit("89ab"), F.conv(at(17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.concat(at(1, 8), F.lit("-"), at(9, 4), F.lit("-5"), at(14, 3), F.lit("-"), variant, at(18, 3), F.lit("-"), at(21, 12))

@@ -72,11 +72,13 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, ever
     """
     pairs = _clean(edges).groupBy("src", "dst").agg(F.count("*").alias("n"))
     out = pairs.groupBy("src").agg(F.sum("n").alias("deg"))
-    share = materialise(pairs.join(out, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("share")), "shares")
+    share = pairs.join(out, "src").select("src", "dst", (F.col("n") / F.col("deg")).alias("share"))
+    hot = skew.hot_keys(pairs.groupBy("src").agg(F.count("*").alias("n")), ["src"])
+    share = materialise(skew.spread(share, hot, ["src"], F.col("dst")), "shares")  # a hub's rows are salted once for all rounds
     vertices = materialise(share.select(F.col("src").alias("id")).unionByName(share.select(F.col("dst").alias("id"))).distinct(), "vertices")
     ranks = vertices.withColumn("score", F.lit(1.0))
     for i in range(1, iterations + 1):
-        given = share.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
+        given = share.join(skew.repeat(ranks.withColumnRenamed("id", "src"), hot, ["src"]), ["src", "_salt"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("in"))
         ranks = vertices.join(given, "id", "left").select("id", (F.lit(1 - damping) + damping * F.coalesce("in", F.lit(0.0))).alias("score"))
         if i % every == 0 and i < iterations:
             ranks = materialise(ranks, f"ranks-{i}")
@@ -85,10 +87,12 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, ever
 
 def label_propagation(edges: DataFrame, iterations: int = 10) -> DataFrame:
     """(id, community): every round all vertices take the commonest label among their neighbours, the smallest on a tie."""
-    e = materialise(both_ways(_clean(edges)), "neighbours")
+    e = both_ways(_clean(edges))
+    hot = skew.hot_keys(e.groupBy("dst").agg(F.count("*").alias("n")), ["dst"])
+    e = materialise(skew.spread(e, hot, ["dst"], F.col("src")), "neighbours")
     labels = materialise(e.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")), "labels-0")
     for i in range(1, iterations + 1):
-        votes = e.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
+        votes = e.join(skew.repeat(labels.withColumnRenamed("id", "dst"), hot, ["dst"]), ["dst", "_salt"]).groupBy("src", "community").agg(F.count("*").alias("n"))
         new = votes.groupBy(F.col("src").alias("id")).agg(F.min(F.struct(-F.col("n"), "community")).alias("m")).select("id", F.col("m.community").alias("community"))
         new = materialise(new, f"labels-{i}")
         if new.join(labels, ["id", "community"], "left_anti").isEmpty():
@@ -247,14 +251,16 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int | None = None) -> Da
     if not total:
         return member
     for level in range(1, levels + 1):
-        both = materialise(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(links.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"), "w")), f"both-{level}")
+        both = links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(links.where("a <> b").select(F.col("b").alias("u"), F.col("a").alias("v"), "w"))
+        hot = skew.hot_keys(both.groupBy("v").agg(F.count("*").alias("n")), ["v"])
+        both = materialise(skew.spread(both, hot, ["v"], F.col("u")), f"both-{level}")
         loops = links.where("a = b").select(F.col("a").alias("u"), (2 * F.col("w")).alias("k"))
         degree = materialise(both.select("u", F.col("w").alias("k")).unionByName(loops).groupBy("u").agg(F.sum("k").alias("k")), f"degree-{level}")
         at = materialise(degree.select("u", F.col("u").alias("c")), f"at-{level}")
         any_move, quiet, turn_no, step, classes = False, True, 0, 0, 3
         for r in itertools.count() if rounds is None else range(rounds):
             tot = at.join(degree, "u").groupBy("c").agg(F.sum("k").alias("tot"))
-            near = both.join(at.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("kin"))
+            near = both.join(skew.repeat(at.select(F.col("u").alias("v"), "c"), hot, ["v"]), ["v", "_salt"]).groupBy("u", "c").agg(F.sum("w").alias("kin"))
             near = near.unionByName(at.select("u", "c", F.lit(0.0).alias("kin"))).groupBy("u", "c").agg(F.sum("kin").alias("kin"))
             cand = near.join(tot, "c").join(degree, "u").join(at.select("u", F.col("c").alias("own")), "u")
             others = F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)

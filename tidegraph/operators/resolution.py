@@ -171,6 +171,62 @@ def decide(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     return s.select("a", "b", score.alias("score"), method.alias("method")).where(F.col("score") >= threshold)
 
 
+def _grams_of(names: DataFrame) -> DataFrame:
+    """(norm, gram, n, f): trigrams of each name with their number in it, and the number of names that have them."""
+    size = F.length("norm") - 2
+    each = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(F.col("norm"), i, F.lit(3)))
+    grams = materialise(names.where(size > 0).select("norm", F.explode(each).alias("gram")).groupBy("norm", "gram").agg(F.count("*").alias("n")), "grams")
+    return grams.join(grams.groupBy("gram").agg(F.count("*").alias("f")), "gram").select("norm", "gram", "n", "f")
+
+
+def _rarest_first() -> Window:
+    return Window.partitionBy("norm").orderBy("f", "gram")
+
+
+def _sharing(prefix: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of names that share a gram of both prefixes."""
+    a, b = prefix.alias("a"), prefix.alias("b")
+    close = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.norm") < F.col("b.norm")) & (F.col("a.least") <= F.col("b.size")) & (F.col("b.least") <= F.col("a.size"))
+    return a.join(b, close).select(F.col("a.norm").alias("a"), F.col("b.norm").alias("b")).distinct()
+
+
+def close_by_edits(names: DataFrame, least: float = 0.85) -> DataFrame:
+    """(a, b, score): all pairs of distinct names (norm) whose Levenshtein similarity is ``least`` or more.
+
+    Names within ``k`` edits share one of the ``3 k + 1`` rarest trigrams of each (an
+    edit spoils three), and ``k`` follows from the threshold and the length, so the
+    join on these is complete for ``least`` from 0.8 on while frequent endings are
+    hardly ever joined on.
+    """
+    if not 0.8 <= least <= 1:
+        raise ValueError("the prefix is complete for similarities from 0.8 on")
+    # The longer name has at most size / least letters, so k is at most this.
+    k = F.floor(F.col("size") * ((1 - least) / least) + 1e-9)
+    grams = _grams_of(names).withColumns({"size": F.length("norm"), "r": F.sum("n").over(_rarest_first().rowsBetween(Window.unboundedPreceding, -1))})
+    prefix = grams.where(F.coalesce("r", F.lit(0)) <= 3 * k).select("norm", "gram", "size", (F.col("size") * least - 1e-9).alias("least"))
+    most = F.floor((1 - least) * F.greatest(F.length("a"), F.length("b")) + 1e-9).cast("int")
+    pairs = _sharing(prefix).withColumn("d", F.levenshtein("a", "b")).where(F.col("d") <= most)
+    return pairs.select("a", "b", (1 - F.col("d") / F.greatest(F.length("a"), F.length("b"))).alias("score"))
+
+
+def close_by_trigrams(names: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, score): all pairs of distinct names (norm) whose trigram cosine is ``least`` or more.
+
+    A name's prefix ends where the trigrams behind it are too light to reach the
+    threshold by themselves; two names that reach it share a gram of both prefixes.
+    """
+    grams = _grams_of(names)
+    whole = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("norm"))
+    behind = F.sum(F.col("n") * F.col("n")).over(_rarest_first().rowsBetween(0, Window.unboundedFollowing))
+    prefix = grams.withColumns({"w": whole, "b": behind}).where(F.col("b") >= F.col("w") * (least * least) * (1 - 1e-12)).select("norm", "gram", F.lit(0).alias("size"), F.lit(0).alias("least"))
+    pairs = materialise(_sharing(prefix), "trigram-pairs")
+    weight = materialise(grams.groupBy("norm").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm2")), "trigram-norms")
+    one = lambda c, n: grams.select(F.col("norm").alias(c), "gram", F.col("n").alias(n))
+    dot = pairs.join(one("a", "x"), "a").join(one("b", "y"), ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    both = dot.join(weight.select(F.col("norm").alias("a"), F.col("norm2").alias("wa")), "a").join(weight.select(F.col("norm").alias("b"), F.col("norm2").alias("wb")), "b")
+    return both.select("a", "b", (F.col("dot") / (F.col("wa") * F.col("wb"))).alias("score")).where(F.col("score") >= least - 1e-9)
+
+
 def resolve(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, name, group, canonical): names linked directly or through others; the canonical one is the longest, the first on a tie."""
     matched = materialise(decide(materialise(candidates(names, threshold), "candidates"), threshold), "matched")

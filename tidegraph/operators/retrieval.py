@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.text import words
+from tidegraph.plans.scratch import materialise
 
 K1, B = 1.5, 0.75
 
@@ -20,27 +22,61 @@ def _ranked(df: DataFrame, k: int | None, score: str = "score") -> DataFrame:
     return out.where(F.col("rank") <= k) if k else out
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top_k: int | None = 10) -> DataFrame:
-    """(query_id, id, score, rank) of docs (id, text) for queries (query_id, text).
+#: Query words that may be written into a plan; more are joined.
+MAX_TERMS = 10_000
+
+
+@dataclass(frozen=True)
+class Occurrences:
+    """What one scan of the documents keeps for the queries: (id, dl, hits) of documents with a query word, and two sums."""
+
+    rows: DataFrame
+    terms: DataFrame  #: (query_id, term, qn)
+    documents: int
+    mean: float
+
+
+def occurrences(docs: DataFrame, queries: DataFrame) -> Occurrences:
+    """Query words in docs (id, text) for queries (query_id, text), read in one scan; lengths are observed on the way."""
+    spark = docs.sparkSession
+    q = queries.select("query_id", F.explode(words("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+    few = [r["term"] for r in q.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    seen = Observation()
+    split = docs.select("id", words("text").alias("w")).where("w IS NOT NULL").observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("w")).alias("total"))
+    if len(few) <= MAX_TERMS:
+        q = spark.createDataFrame(q.toPandas(), q.schema) if few else q
+        hits = split.select("id", F.size("w").alias("dl"), F.filter("w", lambda w: w.isin(few) if few else F.lit(False)).alias("hits"))
+    else:
+        q = materialise(q, "query-terms")
+        each = split.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
+        hits = each.groupBy("id", "dl").agg(F.collect_list("term").alias("hits"))
+    rows = materialise(hits.where(F.size("hits") > 0), "occurrences")
+    n = seen.get["n"]
+    return Occurrences(rows, q, n, max((seen.get["total"] or 0) / n if n else 0.0, 1.0))
+
+
+def bm25(docs: DataFrame | None, queries: DataFrame | None, top_k: int | None = 10, found: Occurrences | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of docs (id, text) for queries (query_id, text), or of what a scan ``found``.
 
     Scores are divided by the query's best; documents without a query word have no
-    row. A word that stands twice in the query counts twice. Only occurrences of
-    query words leave the scan; lengths are summed in the same pass.
+    row. A word that stands twice in the query counts twice.
     """
-    q = queries.select("query_id", F.explode(words("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    split = docs.select("id", words("text").alias("w")).where("w IS NOT NULL")
-    stats = split.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg")).first()  # two numbers
-    n, mean = stats["n"], max(stats["avg"] or 0.0, 1.0)
-    hits = split.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
-    raw = tf.join(df, "term").join(q, "term").groupBy("query_id", "id").agg(F.sum(F.col("qn") * weight).alias("raw")).where("raw > 0")
+    o = found or occurrences(docs, queries)
+    tf = o.rows.select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    df = o.rows.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(o.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / o.mean))
+    raw = tf.join(df, "term").join(o.terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("qn") * weight).alias("raw")).where("raw > 0")
     best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
     return _ranked(raw.join(best, "query_id").select("query_id", "id", (F.col("raw") / F.col("best")).alias("score")), top_k)
 
 
+def density(found: Occurrences, top_k: int | None = 10) -> DataFrame:
+    """(query_id, id, score, rank): share of a document's words that are words of the query."""
+    hit = found.rows.select("id", "dl", F.explode("hits").alias("term")).join(found.terms.select("query_id", "term"), "term")
+    return _ranked(hit.groupBy("query_id", "id").agg((F.count("*") / F.max("dl")).alias("score")), top_k)
+
+
 def fuse(*lists: DataFrame, k: int = 60, top_k: int | None = 10) -> DataFrame:
     """Reciprocal-rank fusion of (query_id, id, score, rank) lists; ``raw`` is the better of an item's scores."""
     parts = [x.select("query_id", "id", "score", (1 / (k + F.col("rank"))).alias("share")) for x in lists]

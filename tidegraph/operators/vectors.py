@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.text import cosine
+from tidegraph.plans.scratch import materialise
 
-#: Query vectors that one pass over the table carries; bounds what is sent to the tasks.
+#: Query vectors that a task multiplies a batch of rows with at a time.
 BLOCK = 1024
 
 
@@ -33,47 +34,59 @@ def search(vectors: DataFrame, query: list[float], top_k: int = 10, least: float
     return out.orderBy(F.col("score").desc(), "id").limit(top_k)
 
 
-def search_many(vectors: DataFrame, queries: DataFrame, top_k: int = 10) -> DataFrame:
+def _unit(rows: list) -> np.ndarray:
+    v = np.array(rows, dtype=np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def _merge(best: list, ids: np.ndarray, scores: np.ndarray, top_k: int) -> list:
+    """The best ``top_k`` (scores, ids) per query of those held and new ones; equal scores by id."""
+    out = []
+    for (held_s, held_i), s in zip(best, scores):
+        low = np.partition(s, len(s) - top_k)[len(s) - top_k] if len(s) > top_k else -np.inf
+        new = np.flatnonzero(s >= low)
+        all_s, all_i = np.concatenate([held_s, s[new]]), np.concatenate([held_i, ids[new]])
+        order = np.lexsort((all_i, -all_s))[:top_k]
+        out.append((all_s[order], all_i[order]))
+    return out
+
+
+def search_many(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, id, score, rank) of the nearest rows of ``vectors`` for every row of ``queries`` (id, embedding).
 
-    Exact. The queries are taken in blocks of ``BLOCK`` vectors; a pass multiplies
-    each batch of rows with the block and keeps each query's best ``top_k`` of the
-    batch, so what leaves a task is bounded by queries times ``top_k``.
+    Exact, and one plan whatever the number of queries: they are written once in
+    the shared folder, every task reads them from there block by block for each
+    batch of its vectors, and keeps the best ``top_k`` per query.
     """
-    n = queries.count()
-    spark, parts = vectors.sparkSession, []
+    spark = vectors.sparkSession
     schema = f"query_id {queries.schema['id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
-    blocks = max(1, -(-n // BLOCK))
-    numbered = queries.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    for b in range(blocks):
-        rows = numbered.where(F.col("block") == b).select("id", "embedding").toPandas()
-        if rows.empty:
-            continue
-        shared = spark.sparkContext.broadcast((rows["id"].tolist(), np.array(rows["embedding"].tolist(), dtype=np.float64)))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            for f in frames:
-                f = f[f["embedding"].notna()]
-                f = f[f["embedding"].map(len) == q.shape[1]]
-                if f.empty:
+    asked = materialise(queries.where("embedding IS NOT NULL").select("id", F.col("embedding").cast("array<double>").alias("embedding")), "queries")
+    where = asked._scratch_path
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.dataset as ds
+
+        empty = (np.empty(0), np.empty(0, dtype=object))
+        held: dict[int, tuple[list, list]] = {}  # block number -> (query ids, best per query)
+        for f in frames:
+            f = f[f["embedding"].notna()]
+            for size, same in f.groupby(f["embedding"].map(len)):
+                if not size:
                     continue
-                v = np.array(f["embedding"].tolist(), dtype=np.float64)
-                s = q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T
-                k = min(top_k, s.shape[1])
-                # Everything at least as good as the k-th stays, so equal scores are ranked by id later.
-                low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-                where_q, where_v = np.nonzero(s >= low[:, None])
-                names = f["id"].to_numpy()
-                yield pd.DataFrame({"query_id": [ids[i] for i in where_q], "id": names[where_v], "score": s[where_q, where_v]})
-
-        parts.append(vectors.select("id", "embedding").mapInPandas(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema + ", rank int")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                names, v = same["id"].to_numpy(dtype=object), _unit(same["embedding"].tolist())
+                for no, b in enumerate(ds.dataset(where, format="parquet").to_batches(batch_size=block)):
+                    keys, vecs = b.column("id").to_pylist(), b.column("embedding").to_pylist()
+                    ids, best = held.setdefault(no, (keys, [empty] * len(keys)))
+                    fit = [i for i, x in enumerate(vecs) if len(x) == size]
+                    if fit:
+                        for i, got in zip(fit, _merge([best[i] for i in fit], names, _unit([vecs[i] for i in fit]) @ v.T, top_k)):
+                            best[i] = got
+        for ids, best in held.values():
+            for at in range(0, len(ids), block):
+                part = list(zip(ids[at : at + block], best[at : at + block]))
+                yield pd.DataFrame({"query_id": [i for i, (s, _) in part for _ in s], "id": [x for _, (_, n) in part for x in n], "score": [x for _, (s, _) in part for x in s]})
+
+    out = vectors.select("id", "embedding").mapInPandas(run, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 

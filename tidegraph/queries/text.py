@@ -47,14 +47,18 @@ bm AS (SELECT query_id, id, raw / max(raw) OVER (PARTITION BY query_id) AS score
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm)"""
 
 
-def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    found = retrieval.bm25(_docs(spark, d), _asked(spark), None).withColumn("score", F.round("score", 9)).drop("rank")
-    return retrieval._ranked(found, k)
+def _found(spark: SparkSession, d: str) -> retrieval.Occurrences:
+    return retrieval.occurrences(_docs(spark, d), _asked(spark))
+
+
+def _bm25(found: retrieval.Occurrences, k: int) -> DataFrame:
+    scored = retrieval.bm25(None, None, None, found).withColumn("score", F.round("score", 9)).drop("rank")
+    return retrieval._ranked(scored, k)
 
 
 @query(f"WITH {BM25} SELECT query_id, id, round(score, 5) AS score, rank FROM bmr WHERE rank <= 10")
 def bm25_top_k(spark: SparkSession, d: str) -> DataFrame:
-    return _bm25(spark, d, 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
+    return _bm25(_found(spark, d), 10).select("query_id", "id", F.round("score", 5).alias("score"), "rank")
 
 
 VECTORS = "(SELECT vec_id, embedding, label FROM embeddings WHERE embedding IS NOT NULL)"
@@ -117,22 +121,16 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, i
 SECOND = "tf2 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT query_id, id, sum(tf)::DOUBLE / max(dl) AS score FROM tf JOIN q USING (term) GROUP BY 1, 2))"
 
 
-def _density(spark: SparkSession, d: str, k: int) -> DataFrame:
-    q = _asked(spark).select("query_id", F.explode(F.array_distinct(T.words("text"))).alias("term"))
-    w = _docs(spark, d).select("id", T.words("text").alias("w")).where("w IS NOT NULL")
-    hit = w.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(q, "term").groupBy("query_id", "id").agg((F.count("*") / F.max("dl")).alias("score"))
-    return retrieval._ranked(hit, k)
-
-
 @query(f"WITH {BM25}, {SECOND}, {FUSED} SELECT query_id, id, score, rank FROM fr WHERE rank <= 10")
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.hybrid(lambda k: _density(spark, d, k), lambda k: _bm25(spark, d, k), 10)
+    o = _found(spark, d)
+    found = retrieval.hybrid(lambda k: retrieval.density(o, k), lambda k: _bm25(o, k), 10)
     return found.select("query_id", "id", "score", "rank")
 
 
 @query(f"WITH {BM25}, c AS (SELECT *, rank - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM bmr WHERE rank <= 20) SELECT query_id, id, round(least(1.0, round(score, 9) * 1.1 * (1 - 0.5 * i / n)), 5) AS score FROM c WHERE i < 8")
 def rerank_boost(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.boost(_bm25(spark, d, 20), 8).select("query_id", "id", F.round("score", 5).alias("score"))
+    return retrieval.boost(_bm25(_found(spark, d), 20), 8).select("query_id", "id", F.round("score", 5).alias("score"))
 
 
 @query(
@@ -149,8 +147,9 @@ def retrieval_measures(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def compare_retrievers(spark: SparkSession, d: str) -> DataFrame:
     rel = _asked(spark).select("query_id", F.explode(T.words("text")).alias("term")).join(_docs(spark, d).select("id", F.explode(F.array_distinct(T.words("text"))).alias("term")), "term").groupBy("query_id", "id").agg(F.count("*").alias("n")).where("n >= 2")
-    a = retrieval.mean_measures(retrieval.measures(_bm25(spark, d, 10), rel)).withColumn("retriever", F.lit("bm25"))
-    b = retrieval.mean_measures(retrieval.measures(_density(spark, d, 10), rel)).withColumn("retriever", F.lit("density"))
+    o = _found(spark, d)
+    a = retrieval.mean_measures(retrieval.measures(_bm25(o, 10), rel)).withColumn("retriever", F.lit("bm25"))
+    b = retrieval.mean_measures(retrieval.measures(retrieval.density(o, 10), rel)).withColumn("retriever", F.lit("density"))
     return a.unionByName(b)
 
 
