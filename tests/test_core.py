@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tidegraph.functions import terms
 from tidegraph.functions import text as T
 from tidegraph.operators import access, algorithms, catalog, consistency, etl, language, lineage, retrieval, spatial, temporal, traverse, vectors, workflow
 from tidegraph.operators.consistency import Link, Property, Schema
@@ -354,3 +355,85 @@ def test_entry_queries_have_no_stray_sql():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [
+        ("# Head #\n\nSome **bold *nested* text** and `a*b`", "Head\n\nSome bold nested text and a*b"),
+        ("![alt [x](u)](i.png) [![img](a)](b)", "alt x img"),
+        ("> quote\n> > deeper\n\n---\nend", "quote\ndeeper\n\n\nend".replace("\n\n\n", "\n\n")),
+        ("a\n```py\n# no heading\n```\nb", "a\nb"),
+        ("snake_case_word _em_ __str__ 2*3*4", "snake_case_word em str 234"),
+        ("Title\n===\n\n\n\nlast \\*esc\\*", "Title\n\nlast *esc*"),
+        ("***x*** **a*b** a ** b", "x a*b a ** b"),
+        ("[no link] [text](u (x)) `` a`b ``", "[no link] text  a`b "),
+        ("~~~\nnever closed", ""),
+        ("", ""),
+    ],
+)
+def test_plain_markdown(text, plain):
+    assert documents.plain_markdown(text) == plain.strip()
+
+
+def test_turtle_of_others():
+    text = """@prefix : <urn:x#> . # a comment
+PREFIX owl: <http://o#>
+:A a owl:Class ; :label "Ä \\"q\\""@en-GB , '''two
+lines''' ; :n 5 , -1.5e3 , true ; .
+<http://a.b/c> :p [ a :X ; :q "v"^^owl:t ] ; :l ( 1 :two ) .
+[] :p :x.y .
+"""
+    got = interchange.turtle_triples(text)
+    assert (":A", ":label", '"Ä \\"q\\""@en-GB') in got and (":A", ":label", "'''two\nlines'''") in got and (":A", ":n", "-1.5e3") in got
+    assert ("_:b1", ":q", '"v"^^owl:t') in got and ("<http://a.b/c>", ":p", "_:b1") in got and ("_:b3", "rdf:rest", "rdf:nil") in got and ("_:b4", ":p", ":x.y") in got
+    assert interchange.turtle_triples(text, True)[0] == ("<urn:x#A>", "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>", "<http://o#Class>")
+    for bad in (":a :b", "a b c .", ":a :b <x y> ."):
+        with pytest.raises(ValueError):
+            interchange.turtle_triples(bad + " |")
+
+
+def test_point_ids(spark):
+    import uuid
+
+    names = ["a", "문서", "", None]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.point_id(F.col("n")).alias("i")).collect()
+    assert [r.i for r in got] == [None if n is None else str(uuid.uuid5(uuid.NAMESPACE_DNS, n)) for n in names]
+
+
+def test_questions_with_units():
+    t = language.maritime_terms({"위치한": ("LOCATED_AT", "Port", "outgoing")})
+    q = language.parse_question("부두 근처 컨테이너선 5000톤 이상", t).query
+    assert [(f.field, f.op, f.value) for f in q.filters] == [("tonnage", ">=", 5000.0)]
+    q = language.parse_question("선박 길이 3 km 미만 12.5노트", t).query
+    assert [(f.field, f.op, f.value) for f in q.filters] == [("distance", "<", 3000.0), ("speed", "=", 12.5)]
+    assert terms.label_of("자율운항선박들") == "AutonomousVessel" and terms.label_of("없음") is None and terms.label_of("") is None
+    assert terms.entity_of("부산항") == ("Port", "unlocode", "KRPUS") and terms.entity_of("남해")[0] == "SeaArea" and terms.value_of("severity", "심각") == "HIGH"
+
+
+def test_as_of_join_over_buckets(spark):
+    rng = random.Random(8)
+    day = lambda n: None if n is None else dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    left = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(400)])) for i in range(200)]
+    right = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(400)]), i) for i in range(40)]
+    l = spark.createDataFrame([(i, k, day(t)) for i, k, t in left], "i int, k string, t timestamp")  # noqa: E741
+    r = spark.createDataFrame([(k, day(t), v) for k, t, v in right], "k string, s timestamp, v int")
+    got = dict(rows(temporal.as_of_join(l, r, "k", "t", "s", ["v"]), "i", "v"))
+    for i, k, t in left:
+        fit = [(s, v) for key, s, v in right if key == k and k is not None and None not in (s, t) and s <= t]
+        assert (got[i] is None) == (not fit) and (not fit or got[i] in {v for s, v in fit if s == max(fit)[0]})
+
+
+def test_components_of_a_hub(spark):
+    pairs = [("hub", f"s{i:03}") for i in range(300)] + [(f"s{i:03}", f"t{i:03}") for i in range(50)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(70)]
+    random.Random(2).shuffle(pairs)
+    got = dict(rows(algorithms.connected_components(edges(spark, pairs).repartition(4), hot_rows=20), "id", "component"))
+    assert {v: sum(x == v for x in got.values()) for v in set(got.values())} == {"c000": 71, "hub": 351}
+
+
+def test_searches_in_blocks(spark):
+    rng = random.Random(1)
+    v = spark.createDataFrame([(i, [float(rng.randrange(3)) for _ in range(4)]) for i in range(300)], "id int, embedding array<double>").repartition(3)
+    q = v.where("id < 50")
+    want = rows(vectors.search_many(v, q, 5), "query_id", "rank", "id")
+    assert rows(vectors.search_many(v, q, 5, block=7), "query_id", "rank", "id") == want and len(want) == 250

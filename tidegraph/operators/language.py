@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.functions import terms
 from tidegraph.operators.consistency import Schema
 from tidegraph.plans.ir import Aggregate, Filter, Hop, Intent, Sort, StructuredQuery
 
@@ -178,6 +179,13 @@ class Terms:
     links: dict[str, tuple[str, str, str]] = field(default_factory=dict)  #: word -> (link type, target label, direction)
     properties: dict[str, str] = field(default_factory=dict)
     values: dict[str, tuple[str, str]] = field(default_factory=dict)  #: word -> (property, value)
+    units: dict[str, tuple[str, float]] = field(default_factory=dict)  #: unit -> (property, factor)
+
+
+def maritime_terms(links: dict[str, tuple[str, str, str]] | None = None) -> Terms:
+    """The words of :mod:`tidegraph.functions.terms`; ``links`` adds what link words lead to."""
+    values = {w: (p, v) for p, words in terms.VALUES.items() for w, v in words.items() if w not in terms.LABELS}
+    return Terms(terms.LABELS, links or {}, {w: p for w, p in (("톤수", "tonnage"), ("길이", "length"), ("속력", "speed"), ("속도", "speed"))}, values, terms.UNITS)
 
 
 _COUNT = re.compile(r"how many|number of|count|몇|개수|수는", re.I)
@@ -206,26 +214,32 @@ def _found(text: str, words) -> list[tuple[int, str]]:
     return [(s, w) for s, e, w in sorted(out)]
 
 
-def parse_question(text: str, terms: Terms) -> Parsed:
+def parse_question(text: str, known: Terms) -> Parsed:
     """A structured query for a question: labels and links by their words, comparisons by number and comparator."""
     low = text.lower()
-    labels = _found(low, terms.labels)
-    links = _found(low, terms.links)
-    props = _found(low, terms.properties)
+    labels = _found(low, known.labels)
+    links = _found(low, known.links)
+    props = _found(low, known.properties)
     if not labels:
         return Parsed(None, 0.0, (text,), "none")
-    base = terms.labels[labels[0][1]]
-    hops = tuple(Hop(*terms.links[w][:2], direction=terms.links[w][2]) for _, w in links)
-    filters = [Filter(p, "=", v) for _, w in _found(low, terms.values) for p, v in [terms.values[w]]]
+    base = known.labels[labels[0][1]]
+    hops = tuple(Hop(*known.links[w][:2], direction=known.links[w][2]) for _, w in links)
+    filters = [Filter(p, "=", v) for _, w in _found(low, known.values) for p, v in [known.values[w]]]
     unread = []
     for m in re.finditer(r"\d+(?:[.,]\d+)*", low):
         if any(a <= m.start() < b for x in _LIMIT.finditer(low) for a, b in [x.span()]):
             continue
         near = low[max(0, m.start() - 25) : m.start()] + " " + low[m.end() : m.end() + 12]
+        unit = next((u for u in sorted(known.units, key=len, reverse=True) if re.match(rf"\s*{re.escape(u)}(?![a-z])", low[m.end() :])), None)
+        if unit:
+            after = low[m.end() : m.end() + len(unit) + 12]
+            name, factor = known.units[unit]
+            filters.append(Filter(name, next((o for rx, o in _COMPARE if re.search(rx, after)), "="), float(m[0].replace(",", "")) * factor))
+            continue
         op = next((o for rx, o in _COMPARE if re.search(rx, near)), None)
         prop = min(props, key=lambda p: abs(p[0] - m.start()), default=None)
         if op and prop:
-            filters.append(Filter(terms.properties[prop[1]], op, float(m[0].replace(",", ""))))
+            filters.append(Filter(known.properties[prop[1]], op, float(m[0].replace(",", ""))))
         else:
             unread.append(m[0])
     function = next((f for w, f in _FUNCTIONS.items() if w in low), None)
@@ -234,14 +248,11 @@ def parse_question(text: str, terms: Terms) -> Parsed:
     if _COUNT.search(low):
         kw |= {"intent": Intent.COUNT, "limit": None}
     elif function and props and limit is None:
-        kw |= {"intent": Intent.AGGREGATE, "aggregates": (Aggregate(function, terms.properties[props[-1][1]], "value"),)}
+        kw |= {"intent": Intent.AGGREGATE, "aggregates": (Aggregate(function, known.properties[props[-1][1]], "value"),)}
     elif limit is not None and props:
-        kw["sorts"] = (Sort(terms.properties[props[-1][1]], "lowest" not in low and "최소" not in low),)
-    kinds = len({terms.labels[w] for _, w in labels})
+        kw["sorts"] = (Sort(known.properties[props[-1][1]], "lowest" not in low and "최소" not in low),)
+    kinds = len({known.labels[w] for _, w in labels})
     reasoning = "composition" if len(hops) > 1 else "bridge" if hops else "comparison" if re.search(r"\bthan\b.*\b(?:or|and)\b|비교", low) else "intersection" if kinds > 1 else "direct"
     known = 0.5 + 0.15 * bool(hops or kinds == 1) + 0.15 * bool(filters) + 0.2 * (not unread)
     return Parsed(StructuredQuery(base, **kw), round(min(1.0, known), 2), tuple(unread), reasoning)
 
-
-def lower_name(c: str) -> Column:
-    return F.lower(F.trim(c))

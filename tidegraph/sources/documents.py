@@ -70,22 +70,120 @@ def paper(c: Column) -> Column:
     )
 
 
-def markdown_text(c: Column) -> Column:
-    """Markdown without its marks: fenced code, headings, emphasis, code, images, links, quotes, rules."""
-    for rx, by in (
-        ("(?s)```[^\\n]*\\n.*?```", ""),
-        ("(?m)^[-*_]{3,}\\s*$", ""),
-        ("(?m)^#{1,6}\\s+", ""),
-        ("!\\[([^\\]]*)\\]\\([^)]+\\)", "$1"),
-        ("\\[([^\\]]+)\\]\\([^)]+\\)", "$1"),
-        ("\\*{1,2}([^*\\n]+)\\*{1,2}", "$1"),
-        ("(?<!\\w)_{1,2}([^_\\n]+)_{1,2}(?!\\w)", "$1"),
-        ("`([^`]+)`", "$1"),
-        ("(?m)^>\\s?", ""),
-        ("\\n{3,}", "\n\n"),
-    ):
-        c = F.regexp_replace(c, rx, by)
-    return F.regexp_replace(c, "^\\s+|\\s+$", "")
+_FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
+_RULE = re.compile(r" {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
+_UNDERLINE = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
+_HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]+|$)")
+_QUOTE = re.compile(r"(?: {0,3}> ?)+")
+_CLOSING = re.compile(r"(?:^|[ \t]+)#+[ \t]*$")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """Lines of a document without what marks its blocks: fenced code, headings, quotes, rules."""
+    fence, paragraph = "", False
+    for line in text.split("\n"):
+        line = _QUOTE.sub("", line.rstrip("\r"), count=1) if _QUOTE.match(line) else line.rstrip("\r")
+        m = _FENCE.match(line)
+        if fence:
+            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line[m.end() :].strip():
+                fence = ""
+            continue
+        if m:
+            fence, paragraph = m[1], False
+        elif paragraph and _UNDERLINE.match(line):
+            paragraph = False
+        elif _RULE.match(line):
+            paragraph = False
+            yield ""
+        elif h := _HEADING.match(line):
+            paragraph = False
+            yield _CLOSING.sub("", line[h.end() :])
+        else:
+            paragraph = bool(line.strip())
+            yield line
+
+
+def _bracket(text: str, at: int, opening: str, closing: str) -> int:
+    """Where the bracket that opens at ``at`` closes; -1 if it doesn't."""
+    depth, i = 0, at
+    while i < len(text):
+        if text[i] == "\\":
+            i += 1
+        elif text[i] == opening:
+            depth += 1
+        elif text[i] == closing:
+            depth -= 1
+            if not depth:
+                return i
+        i += 1
+    return -1
+
+
+def _inline(text: str) -> str:
+    """Text of a paragraph: code spans, images and links give their text, emphasis its words."""
+    out: list[str] = []
+    marks: list[tuple[int, str, int, bool, bool]] = []  # place in out, mark, length, opens, closes
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if c == "\\" and i + 1 < len(text) and text[i + 1] in _PUNCTUATION:
+            out.append(text[i + 1])
+            i += 2
+            continue
+        if c == "`":
+            run = len(text) - i - len(text[i:].lstrip("`"))
+            end = re.compile(rf"(?<!`)`{{{run}}}(?!`)").search(text, i + run)
+            out.append(text[i + run : end.start()] if end else "`" * run)
+            i = end.end() if end else i + run
+            continue
+        label = i + 1 if c == "!" and text[i + 1 : i + 2] == "[" else i if c == "[" else -1
+        if label >= 0 and (close := _bracket(text, label, "[", "]")) > 0 and text[close + 1 : close + 2] == "(" and (end := _bracket(text, close + 1, "(", ")")) > 0:
+            out.append(_inline(text[label + 1 : close]))
+            i = end + 1
+            continue
+        if c in "*_":
+            run = len(text) - i - len(text[i:].lstrip(c))
+            before, after = text[i - 1 : i] or " ", text[i + run : i + run + 1] or " "
+            left = not after.isspace() and (after.isalnum() or not before.isalnum())
+            right = not before.isspace() and (before.isalnum() or not after.isalnum())
+            opens, closes = (left, right) if c == "*" else (left and not (right and before.isalnum()), right and not (left and after.isalnum()))
+            marks.append((len(out), c, run, opens, closes))
+            out.append(c * run)
+            i += run
+            continue
+        out.append(c)
+        i += 1
+    open_: list[list] = []  # place, mark, marks left, length of the run, whether it may close too
+    fit = lambda o, c, run, both: o[1] == c and not ((o[4] or both) and (o[3] + run) % 3 == 0 and (o[3] % 3 or run % 3))
+    for place, c, run, opens, closes in marks:
+        left = run
+        while closes and left:
+            k = next((k for k in range(len(open_) - 1, -1, -1) if fit(open_[k], c, run, opens and closes)), -1)
+            if k < 0:
+                break
+            used = min(2, left, open_[k][2])
+            left -= used
+            open_[k][2] -= used
+            del open_[k + 1 :]
+            out[open_[k][0]] = c * open_[k][2]
+            if not open_[k][2]:
+                del open_[k]
+        out[place] = c * left
+        if opens and left:
+            open_.append([place, c, left, run, closes])
+    return "".join(out)
+
+
+def plain_markdown(text: str) -> str:
+    """Markdown without its marks, read by the rules of CommonMark; fenced code is left out, list marks stay."""
+    paragraphs = re.split(r"\n[ \t]*\n", "\n".join(_blocks(text)))
+    return re.sub("\n{3,}", "\n\n", "\n\n".join(map(_inline, paragraphs))).strip()
+
+
+@pandas_udf(StringType())
+def markdown_text(c: pd.Series) -> pd.Series:
+    return c.map(lambda t: None if t is None else plain_markdown(t))
 
 
 def markdown_title(c: Column) -> Column:
@@ -97,13 +195,14 @@ def links(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(F.regexp_extract_all(F.col(text), F.lit("https?://[A-Za-z0-9./?=&_-]+"), 0)).alias("link"))
 
 
-def page_parts(df: DataFrame, html: str, mode: str = "all", text_limit: int = 50_000, html_limit: int = 200_000) -> DataFrame:
-    """Text, source and links of crawled pages, cut to the stated sizes (a limit of the operator, not of its input)."""
+def page_parts(df: DataFrame, html: str, mode: str = "all", text_limit: int | None = None, html_limit: int | None = None) -> DataFrame:
+    """Text, source and links of crawled pages, whole unless the caller asks for at most so many characters."""
+    cut = lambda c, n: c if n is None else F.substring(c, 1, n)
     out = df
     if mode in ("text", "all"):
-        out = out.withColumn("text", F.substring(F.regexp_replace(html_text(F.col(html)), "\\s+", " "), 1, text_limit))
+        out = out.withColumn("text", cut(F.regexp_replace(html_text(F.col(html)), "\\s+", " "), text_limit))
     if mode in ("html", "all"):
-        out = out.withColumn("source", F.substring(html, 1, html_limit))
+        out = out.withColumn("source", cut(F.col(html), html_limit))
     if mode in ("links", "all"):
         out = out.withColumn("links", html_links(F.col(html)))
     return out

@@ -6,8 +6,11 @@ names, the schema) is made on the driver.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from html import escape
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,13 +109,128 @@ def turtle(schema: Schema, base: str = "urn:kg:ontology#") -> str:
     return "\n".join(out) + "\n"
 
 
-def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """(subject, predicate, object) of Turtle with one statement group per line, as :func:`turtle` writes it."""
-    lines = spark.read.text(path).where(~F.col("value").rlike("^\\s*(@|#|$)"))
-    subject = F.regexp_extract("value", "^\\s*(\\S+)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", "^\\s*\\S+\\s+", ""), "\\s*\\.\\s*$", "")
-    part = lines.select(subject.alias("subject"), F.explode(F.split(body, "\\s*;\\s*")).alias("po"))
-    return part.select("subject", F.regexp_extract("po", "^(\\S+)\\s+", 1).alias("predicate"), F.regexp_replace("po", "^\\S+\\s+", "").alias("object"))
+_TOKEN = re.compile(
+    r"""(?P<skip>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<text>\"\"\"(?:[^"\\]|\\.|"(?!""))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+    r"""|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<type>\^\^)|(?P<number>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<mark>[;,.\[\]()])|(?P<name>(?:_:)?[^\s<>"'\[\](){};,^@]*[^\s<>"'\[\](){};,^@.])"""
+)
+
+
+def turtle_triples(text: str, expand: bool = False) -> list[tuple[str, str, str]]:
+    """(subject, predicate, object) of a Turtle document, names as written or, with ``expand``, as IRIs.
+
+    Prefixes, bases, lists of predicates and objects, literals with language or
+    type, blank nodes in brackets and collections are read; a broken document
+    raises ValueError.
+    """
+    tokens: list[tuple[str, str]] = []
+    at = 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m or m.end() == at:
+            raise ValueError(f"no Turtle at character {at}")
+        if m.lastgroup != "skip":
+            tokens.append((m.lastgroup, m[0]))
+        at = m.end()
+    prefixes: dict[str, str] = {}
+    out: list[tuple[str, str, str]] = []
+    state = {"base": "", "blank": 0, "i": 0}
+
+    def peek() -> tuple[str, str]:
+        return tokens[state["i"]] if state["i"] < len(tokens) else ("end", "")
+
+    def take(want: str | None = None) -> tuple[str, str]:
+        t = peek()
+        if t[0] == "end" or (want and t[1] != want):
+            raise ValueError(f"{want or 'more'} expected at token {state['i']}")
+        state["i"] += 1
+        return t
+
+    def blank() -> str:
+        state["blank"] += 1
+        return f"_:b{state['blank']}"
+
+    def iri(kind: str, word: str) -> str:
+        if not expand:
+            return word
+        if kind == "iri":
+            return word if ":" in word else f"<{state['base']}{word[1:-1]}>"
+        head, colon, rest = word.partition(":")
+        return f"<{prefixes[head]}{rest}>" if colon and head in prefixes else word
+
+    def node() -> str:
+        kind, word = take()
+        if word == "[":
+            name = blank()
+            if peek()[1] != "]":
+                predicates(name)
+            take("]")
+            return name
+        if word == "(":
+            items = []
+            while peek()[1] != ")":
+                items.append(node())
+            take(")")
+            names = [blank() for _ in items]
+            for i, (name, item) in enumerate(zip(names, items)):
+                out.append((name, iri("name", "rdf:first"), item))
+                out.append((name, iri("name", "rdf:rest"), names[i + 1] if i + 1 < len(names) else iri("name", "rdf:nil")))
+            return names[0] if names else iri("name", "rdf:nil")
+        if kind == "text":
+            if peek()[0] == "lang":
+                return word + take()[1]
+            if peek()[0] == "type":
+                take()
+                return f"{word}^^{iri(*take())}"
+            return word
+        if kind in ("mark", "type", "lang"):
+            raise ValueError(f"unexpected {word} at token {state['i']}")
+        return word if kind == "number" or word in ("true", "false") else iri(kind, word)
+
+    def predicates(subject: str) -> None:
+        while True:
+            kind, word = take()
+            if kind not in ("name", "iri"):
+                raise ValueError(f"unexpected {word} at token {state['i']}")
+            verb = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>" if expand and word == "a" else iri(kind, word)
+            while True:
+                out.append((subject, verb, node()))
+                if peek()[1] != ",":
+                    break
+                take()
+            while peek()[1] == ";":
+                take()
+            if peek()[1] in (".", "]") or peek()[0] == "end":
+                return
+
+    while peek()[0] != "end":
+        word = peek()[1]
+        if word.lower() in ("@prefix", "prefix"):
+            take()
+            name, target = take()[1], take()[1]
+            prefixes[name.rstrip(":")] = target[1:-1]
+        elif word.lower() in ("@base", "base"):
+            take()
+            state["base"] = take()[1][1:-1]
+        else:
+            subject = node()
+            if peek()[1] != ".":
+                predicates(subject)
+            take(".")
+            continue
+        if word.startswith("@"):
+            take(".")
+    return out
+
+
+def read_turtle(spark: SparkSession, path: str, expand: bool = False) -> DataFrame:
+    """(subject, predicate, object) of Turtle files, each read whole by one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for text in f["value"]:
+                yield pd.DataFrame(turtle_triples(text, expand), columns=["subject", "predicate", "object"], dtype=object)
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "subject string, predicate string, object string")
 
 
 def map_features(features: DataFrame, mapping: DataFrame) -> DataFrame:
