@@ -1,8 +1,11 @@
+import itertools
+import random
 import re
 
 import pytest
 
 from tidegraph.functions import text as T
+from tidegraph.operators import resolution as R
 from tidegraph.queries import text as Q
 from tests.test_resolution import edit
 
@@ -24,23 +27,44 @@ def folder(spark, tmp_path_factory):
 
 def test_tags_of_all_documents(spark, folder):
     want = {(i, w, t.lower().count(w)) for i, t, _ in DOCS if t for w, _ in Q.WORDS if w in t.lower()}
-    assert {tuple(r) for r in Q.dictionary_tags_all(spark, folder).select("id", "term", "n").collect()} == want
+    assert {tuple(r) for r in Q.dictionary_tags(spark, folder).select("id", "term", "n").collect()} == want
 
 
 def test_personal_data_of_all_documents(spark, folder):
     texts = {r.doc_id: r.text for r in Q._personal(spark, folder).collect()}
     want = {(i, *(len(re.findall(rx, t)) for rx in T.PERSONAL.values())) for i, t in texts.items()}
-    assert {tuple(r) for r in Q.personal_data_counts_all(spark, folder).collect()} == want and len(want) == 5
+    assert {tuple(r) for r in Q.personal_data_counts(spark, folder).collect()} == want and len(want) == 5
 
 
 def test_all_mentions(spark, folder):
-    assert {tuple(r) for r in Q.mentions_verified_all(spark, folder).collect()} == {("s1", 3, 2), ("s2", 1, 1)}
+    assert {tuple(r) for r in Q.mentions_verified(spark, folder).collect()} == {("s1", 3, 2), ("s2", 1, 1)}
 
 
-def test_pairs_of_all_names(spark, folder):
-    got = {(r.a_id, r.b_id): r.score for r in Q.levenshtein_pairs_all(spark, folder).collect()}
-    names = {1: "hanbit shipping", 2: "größe lines", 3: "바다 lines"}
-    similar = lambda a, b: 1 - edit(a, b) / max(len(a), len(b))
-    assert got == {k: pytest.approx(similar(names[k[0]], names[k[1]]), abs=1e-5) for k in ((1, 2), (2, 3))}
-    jaro = {(r.a_id, r.b_id): r.score for r in Q.jaro_pairs(spark, folder).collect()}
-    assert jaro == {k: pytest.approx(T.jaro(names[k[0]], names[k[1]]), abs=1e-4) for k in ((1, 2), (2, 3))}
+def test_joins_of_names_against_all_pairs(spark):
+    rng = random.Random(5)
+    stems = ["gantan shipping", "gantan towage", "bidokasu marine engineering", "größe lines", "바다해운 lines", "ab", "abc", "abcdef"]
+    names = set(stems)
+    for s in stems:
+        for _ in range(25):
+            x = list(s)
+            for _ in range(rng.randint(1, 4)):
+                i = rng.randrange(len(x)) if x else 0
+                x[i : i + rng.choice([0, 1])] = rng.choice(["", "a", "n", "ü", " "])
+            names.add("".join(x))
+    names = sorted(n for n in names if n)
+    df = spark.createDataFrame([(n,) for n in names], "norm string")
+    pairs = list(itertools.combinations(names, 2))
+    near = lambda a, b: 1 - edit(a, b) / max(len(a), len(b))
+    pick = lambda found: {(r.a, r.b): round(r.score, 9) for r in found.collect()}
+    for t in (0.8, 0.85, 0.9):
+        assert pick(R.close_by_edits(df, t)) == {p: round(near(*p), 9) for p in pairs if near(*p) >= t - 1e-12}
+        assert pick(R.close_by_trigrams(df, t)) == {p: round(R._cosine(*p), 9) for p in pairs if min(map(len, p)) > 2 and R._cosine(*p) >= t - 1e-9}
+    both = {p: round(0.6 * near(*p) + 0.4 * R._cosine(*p), 9) for p in pairs}
+    assert pick(R.hybrid_pairs(df)) == {p: s for p, s in both.items() if s >= 0.85 - 1e-9}
+
+
+def test_jaro_of_found_pairs(spark, tmp_path):
+    orgs = [(1, "Hanbit Shipping"), (2, "Hanbit Shiping Ltd."), (3, "Größe Lines"), (4, "Grösse Lines"), (5, None)]
+    spark.createDataFrame(orgs, "org_id long, name_en string").write.parquet(f"{tmp_path}/organizations.parquet")
+    got = {(r.a, r.b): r.score for r in Q.jaro_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("hanbit shiping", "hanbit shipping"): pytest.approx(T.jaro("hanbit shiping", "hanbit shipping"), abs=1e-4)}

@@ -215,7 +215,7 @@ def by_kinds(asked: DataFrame, found: DataFrame, top_k: int = 10) -> DataFrame:
 def _scaled(parts: DataFrame, top_k: int) -> DataFrame:
     total = parts.groupBy("query_id", "id").agg(F.sum("s").alias("s"))
     best = total.groupBy("query_id").agg(F.max("s").alias("best"))
-    return _ranked(total.join(best, "query_id").select("query_id", "id", (F.col("s") / F.col("best")).alias("score")), top_k)
+    return _ranked(total.join(best, "query_id").select("query_id", "id", F.round(F.col("s") / F.col("best"), 9).alias("score")), top_k)
 
 
 def dual(asked_names: DataFrame, asked_kinds: DataFrame, found: DataFrame, links: DataFrame, top_k: int = 10) -> DataFrame:

@@ -153,12 +153,20 @@ def compare_retrievers(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@query()
+def _index_sql(name: str, table: str, text: str, no: int) -> str:
+    """Scores of one index, the best ten per query."""
+    sql = BM25.replace("FROM documents WHERE text IS NOT NULL", f"FROM {table}").replace("lower(text)", f"lower({text})")
+    return f"SELECT query_id, {no} AS \"index\", CAST(id AS VARCHAR) AS id, score FROM (WITH {sql} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(id AS VARCHAR)) AS rank FROM bm) WHERE rank <= 10"
+
+
+@query(
+    f"SELECT query_id, \"index\", id, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ({_index_sql('title', 'kg_documents', chr(39) * 2 + ' || coalesce(title, ' + chr(39) * 2 + ')', 0)} UNION ALL {_index_sql('text', 'documents', 'coalesce(text, ' + chr(39) * 2 + ')', 1)})) WHERE rank <= 30"
+)
 def multi_index_search(spark: SparkSession, d: str) -> DataFrame:
     k = spark.read.parquet(f"{d}/kg_documents.parquet")
     a = retrieval.field_index(k, "doc_id", ["title"], "title")
     b = retrieval.field_index(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", ["text"], "text")
-    return retrieval.multi_index([a, b], _asked(spark)).select("query_id", "index", "id", F.round("score", 5).alias("score"), "rank")
+    return retrieval.multi_index([a, b], _asked(spark)).select("query_id", "index", "id", F.round("score", 5).alias("score"))
 
 
 @query()
@@ -184,17 +192,20 @@ def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", F.transform(F.slice("v", 1, 8), lambda x: F.round(x, 5)).alias("head"))
 
 
-@query(
+MERGED = (
     "WITH RECURSIVE p AS (SELECT doc_id, [x for x in string_split(text, chr(10)) if trim(x, ' ') <> ''] AS parts FROM documents WHERE text IS NOT NULL), "
-    "f(doc_id, parts, i, cur, done) AS (SELECT doc_id, parts, 1, parts[1], 0 FROM p WHERE len(parts) > 0 UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN length(cur) + 1 + length(parts[i + 1]) <= 512 THEN cur || chr(10) || parts[i + 1] ELSE parts[i + 1] END, CASE WHEN length(cur) + 1 + length(parts[i + 1]) <= 512 THEN done ELSE done + 1 END FROM f WHERE i < len(parts)) "
-    "SELECT doc_id AS id, done AS chunk, max(length(cur)) AS size FROM f GROUP BY 1, 2"
+    "f(doc_id, parts, i, cur, done) AS (SELECT doc_id, parts, 1, parts[1], 0 FROM p WHERE len(parts) > 0 UNION ALL SELECT doc_id, parts, i + 1, CASE WHEN length(cur) + 1 + length(parts[i + 1]) <= 512 THEN cur || chr(10) || parts[i + 1] ELSE parts[i + 1] END, CASE WHEN length(cur) + 1 + length(parts[i + 1]) <= 512 THEN done ELSE done + 1 END FROM f WHERE i < len(parts)), "
+    "c AS (SELECT doc_id AS id, done AS chunk, max(length(cur)) AS size FROM f GROUP BY 1, 2)"
 )
+
+
+@query(f"{MERGED} SELECT id, chunk, size FROM c")
 def chunks_merged(spark: SparkSession, d: str) -> DataFrame:
     c = _docs(spark, d).where("text IS NOT NULL").select("id", F.posexplode(T.chunk_merge(F.col("text"), "\n")).alias("chunk", "content"))
     return c.select("id", "chunk", F.length("content").alias("size"))
 
 
-@query()
+@query(f"{MERGED}, o(id, chunk, size) AS (SELECT id, chunk, size FROM c WHERE chunk = 0 UNION ALL SELECT c.id, c.chunk, CASE WHEN least(o.size, 50) + c.size <= 512 THEN least(o.size, 50) + c.size ELSE c.size END FROM o JOIN c ON c.id = o.id AND c.chunk = o.chunk + 1) SELECT id || '_' || chunk AS chunk_id, size FROM o")
 def chunks_with_overlap(spark: SparkSession, d: str) -> DataFrame:
     c = _docs(spark, d).where("text IS NOT NULL").select("id", F.posexplode(T.chunk_overlap(T.chunk_merge(F.col("text"), "\n"))).alias("chunk", "content"))
     return c.select(F.concat_ws("_", "id", "chunk").alias("chunk_id"), F.length("content").alias("size"))
@@ -211,26 +222,28 @@ def _personal(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", added.alias("text"))
 
 
-PII_SQL = ", ".join(f"len(regexp_extract_all({SAMPLE}, '{rx}')) AS {kind}" for kind, rx in T.PERSONAL.items())
+#: Letters and digits of other scripts stand for one word character, since the engine at hand ends words at them.
+PLAIN = f"regexp_replace({SAMPLE}, '[^\\x00-\\x7F\\pP\\pS\\pZ\\pC\\pM]', '_', 'g')"
+PII_SQL = ", ".join(f"len(regexp_extract_all({PLAIN}, '{rx}')) AS {kind}" for kind, rx in T.PERSONAL.items())
 
 
-@query(f"SELECT doc_id, {PII_SQL} FROM documents WHERE lang LIKE 'en%'")
+@query(f"SELECT doc_id, {PII_SQL} FROM documents")
 def personal_data_counts(spark: SparkSession, d: str) -> DataFrame:
-    en = spark.read.parquet(f"{d}/documents.parquet").where("lang LIKE 'en%'").select("doc_id")
-    return _personal(spark, d).join(en, "doc_id", "left_semi").select("doc_id", *T.personal_counts(F.col("text")))
-
-
-@query()  # all documents; the engine at hand takes Hangul for the end of a word
-def personal_data_counts_all(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).select("doc_id", *T.personal_counts(F.col("text")))
 
 
-@query("SELECT doc_id, right(text, 45) AS tail FROM (SELECT doc_id, regexp_replace(%s, '%s', '[REDACTED]', 'g') AS text FROM documents)" % (SAMPLE, "|".join(f"(?:{rx})" for rx in T.PERSONAL.values())))
+@query("SELECT doc_id, regexp_replace(%s, '%s', '[REDACTED]', 'g') AS text FROM documents" % (SAMPLE, "|".join(f"(?:{rx})" for rx in T.PERSONAL.values())))
 def personal_data_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return _personal(spark, d).select("doc_id", F.right(T.redact(F.col("text")), F.lit(45)).alias("tail"))
+    return _personal(spark, d).select("doc_id", T.redact(F.col("text")).alias("text"))
 
 
-@query()
+SPANS_SQL = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, regexp_extract_all(t, '{rx}') AS v, string_split_regex(t, '{rx}') AS p FROM t" for kind, rx in T.PERSONAL.items())
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, {PLAIN} AS t FROM documents), f AS ({SPANS_SQL}), i AS (SELECT doc_id, kind, v, p, unnest(range(1, len(v) + 1)) AS i FROM f), "
+    "g AS (SELECT doc_id, kind, v[i] AS value, CAST(list_sum([length(x) for x in p[1:i]]) + coalesce(list_sum([length(x) for x in v[1:i - 1]]), 0) AS INT) AS start FROM i) SELECT doc_id, kind, value, start, CAST(start + length(value) AS INT) AS stop FROM g"
+)
 def personal_data_spans(spark: SparkSession, d: str) -> DataFrame:
     return _personal(spark, d).select("doc_id", F.explode(T.personal_spans("text")).alias("s")).select("doc_id", "s.*")
 
@@ -245,49 +258,59 @@ def names_normalised(spark: SparkSession, d: str) -> DataFrame:
     return o.select("org_id", T.entity_name(F.col("name_en")).alias("norm"))
 
 
-PAIRS = f"(SELECT * FROM (SELECT org_id AS a_id, lead(org_id) OVER w AS b_id, norm AS a, lead(norm) OVER w AS b FROM (SELECT *, {NORM} AS norm FROM organizations) WHERE norm IS NOT NULL WINDOW w AS (PARTITION BY home_port, founded_year ORDER BY org_id)) WHERE b_id IS NOT NULL)"
-
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct normalised names; ``names_normalised`` tells which organisations bear them."""
+    return spark.read.parquet(f"{d}/organizations.parquet").select(T.entity_name(F.col("name_en")).alias("norm")).where("norm <> ''").distinct()
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each organisation with the next one of its port and year: one pair per row, however large such a group is."""
-    from pyspark.sql import Window
 
-    o = spark.read.parquet(f"{d}/organizations.parquet").select("org_id", "home_port", "founded_year", T.entity_name(F.col("name_en")).alias("norm")).where("norm IS NOT NULL")
-    w = Window.partitionBy("home_port", "founded_year").orderBy("org_id")
-    return o.select(F.col("org_id").alias("a_id"), F.lead("org_id").over(w).alias("b_id"), F.col("norm").alias("a"), F.lead("norm").over(w).alias("b")).where("b_id IS NOT NULL")
+NAMES = f"n AS (SELECT DISTINCT {NORM} AS norm FROM organizations WHERE name_en IS NOT NULL AND {NORM} <> '')"
+#: The engine at hand compares bytes, so letters beyond ASCII stand as capitals and control characters, which the names don't have.
+SPARE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || " + " || ".join(f"chr({i})" for i in range(1, 32))
+ONE_BYTE = f"f AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS c FROM (SELECT unnest(string_split(norm, '')) AS c FROM n) WHERE NOT regexp_full_match(c, '[\\x00-\\x7F]')), m AS (SELECT norm, translate(norm, f.c, {SPARE}) AS t FROM n, f)"
+LEVENSHTEIN = "1 - levenshtein(x.t, y.t)::DOUBLE / greatest(length(x.t), length(y.t))"
 
 
-@query(f"SELECT a_id, b_id, round(CASE WHEN a = b THEN 1 WHEN a = '' OR b = '' THEN 0 ELSE 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) END + 1e-9, 5) AS score FROM {PAIRS} WHERE regexp_full_match(a || b, '[\\x00-\\x7F]*')")
+@query(f"WITH {NAMES}, {ONE_BYTE} SELECT x.norm AS a, y.norm AS b, round({LEVENSHTEIN} + 1e-9, 5) AS score FROM m x JOIN m y ON x.norm < y.norm WHERE {LEVENSHTEIN} >= 0.85::DOUBLE - 1e-9")
 def levenshtein_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d).where(F.concat("a", "b").rlike("^[\\x00-\\x7F]*$"))
-    return p.select("a_id", "b_id", F.round(T.levenshtein_similarity(F.col("a"), F.col("b")) + 1e-9, 5).alias("score"))
+    """All pairs of distinct names whose similarity is 0.85 or more."""
+    return resolution.close_by_edits(_names(spark, d), 0.85).select("a", "b", F.round(F.col("score") + 1e-9, 5).alias("score"))
 
 
-@query()  # all names; the engine at hand counts bytes
-def levenshtein_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a_id", "b_id", F.round(T.levenshtein_similarity(F.col("a"), F.col("b")) + 1e-9, 5).alias("score"))
+GRAMS = (
+    "g AS (SELECT norm, gram, count(*) AS n FROM (SELECT norm, unnest([substr(norm, i, 3) for i in range(1, length(norm) - 1)]) AS gram FROM n) GROUP BY ALL), w AS (SELECT norm, sqrt(sum(n * n)) AS w FROM g GROUP BY 1), "
+    "c AS (SELECT x.norm AS a, y.norm AS b, sum(x.n * y.n) / (any_value(v.w) * any_value(u.w)) AS score FROM g x JOIN g y ON x.gram = y.gram AND x.norm < y.norm JOIN w v ON v.norm = x.norm JOIN w u ON u.norm = y.norm GROUP BY 1, 2)"
+)
 
 
-@query(
-    f"WITH p AS {PAIRS}, g AS (SELECT a_id, b_id, side, gram, count(*) AS n FROM (SELECT a_id, b_id, 1 AS side, unnest([substr(a, i, 3) for i in range(1, length(a) - 1)]) AS gram FROM p UNION ALL SELECT a_id, b_id, 2, unnest([substr(b, i, 3) for i in range(1, length(b) - 1)]) FROM p) GROUP BY ALL), "
-    "dot AS (SELECT x.a_id, x.b_id, sum(x.n * y.n) AS dot FROM g x JOIN g y ON x.a_id = y.a_id AND x.b_id = y.b_id AND x.gram = y.gram AND x.side = 1 AND y.side = 2 GROUP BY 1, 2), "
-    "nrm AS (SELECT a_id, b_id, side, sqrt(sum(n * n)) AS nrm FROM g GROUP BY 1, 2, 3) "
-    "SELECT p.a_id, p.b_id, round(CASE WHEN a = b THEN 1 WHEN length(a) < 3 OR length(b) < 3 THEN 0 ELSE coalesce(dot, 0) / (m.nrm * n.nrm) END + 1e-9, 5) AS score FROM p LEFT JOIN dot USING (a_id, b_id) LEFT JOIN nrm m ON m.a_id = p.a_id AND m.b_id = p.b_id AND m.side = 1 LEFT JOIN nrm n ON n.a_id = p.a_id AND n.b_id = p.b_id AND n.side = 2"
-)
+@query(f"WITH {NAMES}, {GRAMS} SELECT a, b, round(score + 1e-9, 5) AS score FROM c WHERE score >= 0.8 - 1e-9")
 def trigram_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a_id", "b_id", F.round(T.ngram_cosine(F.col("a"), F.col("b")) + 1e-9, 5).alias("score"))
+    """All pairs of distinct names whose trigram cosine is 0.8 or more."""
+    return resolution.close_by_trigrams(_names(spark, d), 0.8).select("a", "b", F.round(F.col("score") + 1e-9, 5).alias("score"))
+
+
+def _close(spark: SparkSession, d: str) -> DataFrame:
+    n = _names(spark, d)
+    return resolution.close_by_edits(n, 0.85).select("a", "b").unionByName(resolution.close_by_trigrams(n, 0.8).select("a", "b")).distinct()
 
 
 @query()  # the engine at hand floors half transpositions, so tests compare with a plain computation
 def jaro_pairs(spark: SparkSession, d: str) -> DataFrame:
-    p = _pairs(spark, d)
+    """Jaro similarity of all pairs that edits or trigrams find."""
     jaro = F.pandas_udf(lambda x, y: __import__("pandas").Series([T.jaro(u, v) for u, v in zip(x, y)], dtype="float64"), "double")
-    return p.select("a_id", "b_id", F.round(jaro("a", "b") + 1e-9, 4).alias("score"))
+    return _close(spark, d).select("a", "b", F.round(jaro("a", "b") + 1e-9, 4).alias("score"))
 
 
 @query()
 def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).select("a_id", "b_id", F.round(T.fuzzy_similarity("a", "b"), 5).alias("fuzzy"), F.round(T.jaro_winkler_similarity("a", "b"), 5).alias("jaro_winkler"), F.round(T.hybrid_similarity(F.col("a"), F.col("b")), 5).alias("hybrid"))
+    return _close(spark, d).select("a", "b", F.round(T.fuzzy_similarity("a", "b"), 5).alias("fuzzy"), F.round(T.jaro_winkler_similarity("a", "b"), 5).alias("jaro_winkler"), F.round(T.hybrid_similarity(F.col("a"), F.col("b")), 5).alias("hybrid"))
+
+
+@query(f"WITH {NAMES}, {ONE_BYTE}, {GRAMS}, h AS (SELECT x.norm AS a, y.norm AS b, 0.6::DOUBLE * ({LEVENSHTEIN}) + 0.4::DOUBLE * coalesce(c.score, 0) AS score FROM m x JOIN m y ON x.norm < y.norm LEFT JOIN c ON c.a = x.norm AND c.b = y.norm) SELECT a, b, round(score + 1e-9, 5) AS score FROM h WHERE score >= 0.85::DOUBLE - 1e-9")
+def hybrid_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of distinct names whose weighted similarity is 0.85 or more."""
+    n = _names(spark, d)
+    found = resolution.hybrid_pairs(n, 0.85)
+    return found.select("a", "b", F.round(F.col("score") + 1e-9, 5).alias("score"))
 
 
 @query()
@@ -316,11 +339,16 @@ def document_types(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/kg_documents.parquet").select("doc_id", docs.kind_of(F.col("source")).alias("kind"))
 
 
-@query("SELECT doc_id, '<b>' || title || '</b>' AS html, title AS text FROM kg_documents WHERE title IS NOT NULL AND NOT regexp_matches(title, '[<>&\\n\\r\\t]|  |^ | $') AND title <> '' AND NOT regexp_matches(title, '^%s|%s$')" % (SP, SP))
+HTML = "'<h1>' || replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</h1>' || coalesce(content, '')"
+STRIP = f"regexp_replace(regexp_replace(regexp_replace({HTML}, '(?is)<(?:script|style)\\b[^>]*>.*?</(?:script|style)\\s*>', '', 'g'), '(?i)</(?:p|div|br|li|tr|h[1-6]|table|section|article|ul|ol)\\s*>|<br\\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(html_unescape, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\t\\n\\v\\f\\r ]+|[\\t\\n\\v\\f\\r ]+$', '', 'g') AS text FROM (SELECT doc_id, replace(replace(replace({STRIP}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS html_unescape FROM kg_documents WHERE title IS NOT NULL)")
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    k = spark.read.parquet(f"{d}/kg_documents.parquet").where("title IS NOT NULL AND title <> ''").where(~F.col("title").rlike("[<>&\\n\\r\\t]|  |^ | $")).where(~F.col("title").rlike(f"^{T.SPACES}+|{T.SPACES}+$"))
-    html = F.concat(F.lit("<b>"), "title", F.lit("</b>"))
-    return k.select("doc_id", html.alias("html"), docs.html_text(F.concat(F.lit("<html><script>x < 1</script><p>"), html, F.lit("</p></html>"))).alias("text"))
+    """Pages made of all titles, escaped, and contents, as they are."""
+    k = spark.read.parquet(f"{d}/kg_documents.parquet").where("title IS NOT NULL")
+    title = F.replace(F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return k.select("doc_id", docs.html_text(F.concat(F.lit("<h1>"), title, F.lit("</h1>"), F.coalesce("content", F.lit("")))).alias("text"))
 
 
 # Names, relations and questions ----------------------------------------------------------------------
@@ -333,15 +361,11 @@ WORDS = [("radar", "equipment"), ("fire pump", "equipment"), ("harbour master",
 WORDS_SQL = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in WORDS) + ") t(term, kind)"
 
 
-@query(f"SELECT doc_id AS id, term, (length(text) - length(replace(lower(text), term, ''))) // length(term) AS n FROM documents, {WORDS_SQL} WHERE regexp_full_match(text, '(?s)[\\x00-\\x7F–’“”±°é]*') AND contains(lower(text), term)")
-def dictionary_tags(spark: SparkSession, d: str) -> DataFrame:
-    docs_ = _docs(spark, d).where(F.col("text").rlike("^(?s)[\\x00-\\x7F–’“”±°é]*$"))
-    entries = spark.createDataFrame(WORDS, "term string, kind string")
-    return language.tag(docs_, entries, longest=False).groupBy("id", "term").agg(F.count("*").alias("n"))
+FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
-@query()  # all documents; the engine at hand folds other letters than ASCII too
-def dictionary_tags_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"SELECT doc_id AS id, term, (length(text) - length(replace({FOLDED}, term, ''))) // length(term) AS n FROM documents, {WORDS_SQL} WHERE contains({FOLDED}, term)")
+def dictionary_tags(spark: SparkSession, d: str) -> DataFrame:
     entries = spark.createDataFrame(WORDS, "term string, kind string")
     return language.tag(_docs(spark, d), entries, longest=False).groupBy("id", "term").agg(F.count("*").alias("n"))
 
@@ -360,20 +384,11 @@ def keyword_relations(spark: SparkSession, d: str) -> DataFrame:
     return language.keyword_relations(_docs(spark, d), k).select("id", "target", "relation", "confidence")
 
 
-@query("SELECT source_id AS id, count(DISTINCT target_name) AS mentioned, count(DISTINCT target_name) FILTER (lower(target_name) IN (SELECT lower(name_en) FROM organizations WHERE name_en IS NOT NULL)) AS known FROM extracted_relations WHERE target_type = 'Organization' AND source_id IS NOT NULL AND target_name IS NOT NULL AND regexp_full_match(target_name, '[\\x00-\\x7F]*') GROUP BY 1")
+@query("SELECT source_id AS id, count(DISTINCT target_name) AS mentioned, count(DISTINCT target_name) FILTER (lower(target_name) IN (SELECT lower(x) FROM (SELECT unnest([name, name_en]) AS x FROM organizations) WHERE x IS NOT NULL)) AS known FROM extracted_relations WHERE target_type = 'Organization' AND source_id IS NOT NULL AND target_name IS NOT NULL GROUP BY 1")
 def mentions_verified(spark: SparkSession, d: str) -> DataFrame:
+    """All mentions held against both names of the organisations."""
     m = spark.read.parquet(f"{d}/extracted_relations.parquet").where("target_type = 'Organization' AND source_id IS NOT NULL AND target_name IS NOT NULL")
-    m = m.where(F.col("target_name").rlike("^[\\x00-\\x7F]*$")).select(F.col("source_id").alias("id"), F.col("target_name").alias("name"))
-    v = spark.read.parquet(f"{d}/organizations.parquet").where("name_en IS NOT NULL").select(F.col("name_en").alias("name"))
-    return language.verify_mentions(m, v).select("id", "mentioned", "known")
-
-
-@query()
-def mentions_verified_all(spark: SparkSession, d: str) -> DataFrame:
-    """All mentions, Hangul names among them, held against both names of the organisations."""
-    m = spark.read.parquet(f"{d}/extracted_relations.parquet").where("target_type = 'Organization' AND source_id IS NOT NULL AND target_name IS NOT NULL")
-    o = spark.read.parquet(f"{d}/organizations.parquet")
-    v = o.select(F.explode(F.array("name", "name_en")).alias("name")).where("name IS NOT NULL")
+    v = spark.read.parquet(f"{d}/organizations.parquet").select(F.explode(F.array("name", "name_en")).alias("name")).where("name IS NOT NULL")
     return language.verify_mentions(m.select(F.col("source_id").alias("id"), F.col("target_name").alias("name")), v).select("id", "mentioned", "known")
 
 
