@@ -93,7 +93,7 @@ def etl_latest_per_key(spark: SparkSession, d: str) -> DataFrame:
     return etl.latest(_t(spark, d, "graph_nodes"), ["node_id"], ["created_at", "ingested_at"]).select("node_id", "created_at")
 
 
-@query()
+@query(f"SELECT 'organizations' AS source, {ERRORS_SQL} AS errors, 1 AS retries FROM organizations WHERE len({ERRORS_SQL}) > 0")
 def etl_dead_letter_table(spark: SparkSession, d: str) -> DataFrame:
     bad = PIPE.plan(_t(spark, d, "organizations"))[1]
     return etl.retryable(etl.retried(etl.dead_letters(bad, F.lit(dt.datetime(2025, 1, 1)), "organizations"))).select("source", "errors", "retries")
@@ -119,6 +119,20 @@ def runs_history(spark: SparkSession, d: str) -> DataFrame:
     return e.withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
 
 
+@query(
+    "SELECT doc_id, title, total FROM (SELECT doc_id, title, count(*) OVER () AS total, row_number() OVER (ORDER BY created_at DESC NULLS LAST, doc_id) AS r FROM kg_documents WHERE doc_type = 'pdf' AND contains(lower(coalesce(title, '')), 'a')) WHERE r > 20 AND r <= 40"
+)
+def documents_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of the documents of a type that match a search, with their total."""
+    found = _t(spark, d, "kg_documents").where((F.col("doc_type") == "pdf") & F.lower(F.coalesce("title", F.lit(""))).contains("a"))
+    return stores.page(found, [F.col("created_at").desc_nulls_last(), F.col("doc_id")], 20, 20).select("doc_id", "title", "total")
+
+
+@query("SELECT doc_type, count(*) AS documents, count_if(title IS NULL) AS untitled, max(created_at) AS last FROM kg_documents GROUP BY 1")
+def documents_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "kg_documents").groupBy("doc_type").agg(F.count("*").alias("documents"), F.count_if(F.col("title").isNull()).alias("untitled"), F.max("created_at").alias("last"))
+
+
 # Lineage --------------------------------------------------------------------------------------------
 
 #: Findings derive from documents, requests from nodes; the tables keep no event log, so both sides derive one.
@@ -240,20 +254,51 @@ def dangling_links(spark: SparkSession, d: str) -> DataFrame:
     return consistency.dangling(_profile(spark, d), ["Vessel", "Port", "Organization"])
 
 
-@query()
-def consistency_report(spark: SparkSession, d: str) -> DataFrame:
-    n, e = knowledge_graph(spark, d)
-    ids = n.select("id").distinct()
+def _verdict(bad: str, severity: str, message: str) -> str:
+    return f"CASE WHEN {bad} = 0 THEN 'PASSED' WHEN '{severity}' = 'WARNING' THEN 'WARNING' ELSE 'FAILED' END AS status, '{severity}' AS severity, {bad} || ' {message}' AS message"
 
-    def orphan_check() -> tuple[str, str, str]:
-        r = consistency.orphan_rate(ids, e).first()
-        return ("PASSED" if r["passed"] else "WARNING", "WARNING", f"{r['orphans']} of {r['vertices']} vertices have no edge")
 
-    def null_check() -> tuple[str, str, str]:
-        m = consistency.required_nulls(_t(spark, d, "organizations"), ORG).agg(F.sum("missing")).first()[0]
-        return ("PASSED" if not m else "FAILED", "ERROR", f"{m} required values are missing")
+KNOWN = "('Vessel', 'Port', 'Organization')"
 
-    return consistency.run(spark, {"orphans": orphan_check, "required": null_check})
+
+@query(
+    f"SELECT 'cardinality' AS name, {_verdict('n', 'WARNING', 'vertices have too few or too many edges')} FROM (SELECT count(*) AS n FROM (SELECT n.id, count(e.id) AS degree FROM {NODES} n LEFT JOIN {ENDS} e ON n.id = e.id GROUP BY 1) WHERE degree < 1 OR degree > 10) "
+    f"UNION ALL SELECT 'dangling', {_verdict('n', 'ERROR', 'kinds of links end outside the schema')} FROM (SELECT count(*) AS n FROM {PROFILE} WHERE source_label IS NULL OR target_label IS NULL OR source_label NOT IN {KNOWN} OR target_label NOT IN {KNOWN}) "
+    f"UNION ALL SELECT 'enums', {_verdict('n', 'ERROR', 'values are not among the listed ones')} FROM (SELECT (SELECT count(*) FROM organizations WHERE country NOT IN ('KR', 'JP', 'NO', 'ES', 'PT', 'NL')) + (SELECT count(*) FROM organizations WHERE org_type NOT IN ('Shipyard', 'TugOperator')) AS n) "
+    f"UNION ALL SELECT 'labels', {_verdict('n', 'WARNING', 'labels differ between schema and graph')} FROM (SELECT count(*) AS n FROM (SELECT label FROM (VALUES ('Vessel'), ('Port'), ('Organization')) v(label) EXCEPT SELECT unnest(labels) FROM graph_nodes)) "
+    f"UNION ALL SELECT 'orphans', {_verdict('n', 'WARNING', 'vertices have no edge')} FROM (SELECT count_if(id NOT IN (SELECT id FROM {ENDS} WHERE id IS NOT NULL)) AS n FROM {NODES}) "
+    f"UNION ALL SELECT 'required', {_verdict('n', 'ERROR', 'required values are missing')} FROM (SELECT count_if(org_id IS NULL) + count_if(name IS NULL) + count_if(name_en IS NULL) + count_if(country IS NULL) AS n FROM organizations) "
+    f"UNION ALL SELECT 'types', {_verdict('n', 'ERROR', 'values are of another type')} FROM (SELECT count_if(name IS NOT NULL AND try_cast(name AS INT) IS NULL) AS n FROM organizations)"
+)
+def consistency_report(spark: SparkSession, d: str) -> DataFrame:
+    """All checks in one report."""
+    n, e = knowledge_graph(spark, d)
+    ids, orgs, known = n.select("id").distinct(), _t(spark, d, "organizations"), ["Vessel", "Port", "Organization"]
+
+    def check(severity: str, message: str, count) -> consistency.Check:
+        def run() -> tuple[str, str, str]:
+            bad = int(count() or 0)
+            return ("PASSED" if not bad else "WARNING" if severity == "WARNING" else "FAILED", severity, f"{bad} {message}")
+
+        return run
+
+    def missing_labels() -> int:
+        present = [r["label"] for r in n.select(F.explode("labels").alias("label")).distinct().collect()]
+        return len(consistency.schema_alignment(consistency.Schema({k: {} for k in known}), present)[0])
+
+    total = lambda df, c: df.agg(F.sum(c)).first()[0]
+    return consistency.run(
+        spark,
+        {
+            "cardinality": check("WARNING", "vertices have too few or too many edges", lambda: consistency.cardinality(ids, e, 1, 10).count()),
+            "dangling": check("ERROR", "kinds of links end outside the schema", lambda: consistency.dangling(_profile(spark, d), known).count()),
+            "enums": check("ERROR", "values are not among the listed ones", lambda: total(consistency.enum_violations(orgs, ORG), "violations")),
+            "labels": check("WARNING", "labels differ between schema and graph", missing_labels),
+            "orphans": check("WARNING", "vertices have no edge", lambda: consistency.orphan_rate(ids, e).first()["orphans"]),
+            "required": check("ERROR", "required values are missing", lambda: total(consistency.required_nulls(orgs, ORG), "missing")),
+            "types": check("ERROR", "values are of another type", lambda: total(consistency.wrong_types(orgs, {"name": Property("int")}), "wrong")),
+        },
+    )
 
 
 NOW = dt.date(2025, 6, 1)
@@ -327,9 +372,17 @@ def export_csv_edges(spark: SparkSession, d: str) -> DataFrame:
     return interchange.csv_edges(_exchange(spark, d)[1], ["score"])
 
 
-@query("SELECT count(*) AS elements FROM (SELECT DISTINCT node_id FROM graph_nodes UNION ALL SELECT edge_id FROM graph_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL)")
+ESCAPED = "replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+DATA = "array_to_string(list_transform(list_sort(json_keys({0})), lambda k: '<data key=\"' || k || '\">' || " + ESCAPED.format("json_extract_string({0}, '$.\"' || k || '\"')").replace("{{", "{") + " || '</data>'), '')"
+
+
+@query(
+    f"SELECT '<node id=\"' || id || '\"><data key=\"labels\">' || array_to_string(labels, ';') || '</data>' || coalesce({DATA.format('props')}, '') || '</node>' AS value FROM {LAST} UNION ALL "
+    f"SELECT '<edge id=\"' || edge_id || '\" source=\"' || source_id || '\" target=\"' || target_id || '\"><data key=\"type\">' || edge_type || '</data>' || coalesce({DATA.format('properties')}, '') || '</edge>' FROM graph_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL"
+)
 def export_graphml(spark: SparkSession, d: str) -> DataFrame:
-    return interchange.graphml(*_exchange(spark, d))[1].where(F.col("value").rlike("^<(node|edge) id=")).agg(F.count("*").alias("elements"))
+    """Every node and edge as its element, with all properties."""
+    return interchange.graphml(*_exchange(spark, d))[1]
 
 
 @query("SELECT edge_id AS id, '{\"@id\":\"urn:kg:edge:' || edge_id || '\",\"@type\":\"' || edge_type || '\",\"source\":{\"@id\":\"urn:kg:node:' || source_id || '\"},\"target\":{\"@id\":\"urn:kg:node:' || target_id || '\"}}' AS value FROM graph_edges WHERE source_id IS NOT NULL AND target_id IS NOT NULL")
@@ -346,7 +399,10 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select("id", F.array_join("labels", ";").alias("labels"), F.col("properties")["name"].alias("name"))
 
 
-@query()
+PLAIN = "array_to_string(list_transform(json_keys(props), lambda k: to_json(k)::VARCHAR || ':' || coalesce(to_json(json_extract_string(props, '$.\"' || k || '\"'))::VARCHAR, 'null')), ',')"
+
+
+@query(f"SELECT id, '{{\"@id\":\"urn:kg:node:' || id || '\",\"@type\":' || to_json(labels)::VARCHAR || CASE WHEN props IS NULL OR len(json_keys(props)) = 0 THEN '' ELSE ',' || {PLAIN} END || '}}' AS value FROM {LAST}")
 def export_jsonld_nodes(spark: SparkSession, d: str) -> DataFrame:
     return interchange.jsonld_nodes(_exchange(spark, d)[0])
 

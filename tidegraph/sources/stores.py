@@ -45,3 +45,8 @@ def append_letters(letters: DataFrame, path: str) -> None:
 def letters(spark: SparkSession, path: str) -> DataFrame:
     """Stored dead letters; lines that can't be read are left out."""
     return spark.read.schema("source string, payload string, errors array<string>, failed_at timestamp, retries int").option("mode", "DROPMALFORMED").json(path)
+
+
+def page(rows: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:
+    """``size`` rows behind the first ``skip`` in order, each with the ``total`` of all; only that many rows are sorted out."""
+    return rows.orderBy(*order).offset(skip).limit(size).withColumn("total", F.lit(rows.count()))
