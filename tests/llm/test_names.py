@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.llm import entities, orgnames, packing
+from tidegraph.llm import entities, kinds, orgnames, packing
 
 
 def plain_distance(a, b):
@@ -24,32 +24,42 @@ def test_banded_distance():
             assert entities.distance(a, b, k) == min(plain_distance(a, b), k + 1)
 
 
+READER = orgnames.Reader(
+    orgnames.Kinds(
+        phrases=(("shipping",), ("shipbuilding",), ("towage",), ("port", "authority"), ("terminal", "operations"), ("classification", "society"), ("sea",)),
+        endings=(("해운", "shipping"),),
+        words=(("ops", "operations"), ("class", "classification"), ("soc", "society")),
+    )
+)
+
+
 @pytest.mark.parametrize(
     ("name", "core", "kind", "unit"),
     [
         ("Hyondan Muran Shipping Co., Ltd.", "hyondanmuran", "shipping", ""),
         ("(주)무란쿠순헨로단해운 제7", "murankusunhenrodan", "shipping", "7"),
         ("c/o Bogun Rase Ship-building Inc.", "bogunrase", "shipbuilding", ""),
-        ("BOGUN RASE P. Authority", "bogunrase", "port", ""),
-        ("Bogun Rase Terminal Ops. No. 2 Ltd", "bogunrase", "terminal", "2"),
-        ("Ｂ０gun　Räse　Class Soc", "bogunrase", "classification", ""),
+        ("BOGUN RASE P. Authority", "bogunrase", "port_authority", ""),
+        ("Bogun Rase Terminal Ops. No. 2 Ltd", "bogunrase", "terminal_operations", "2"),
+        ("Ｂ０gun　Räse　Class Soc", "bogunrase", "classification_society", ""),
         ("보군라세", "bogunrase", "", ""),
     ],
 )
 def test_reading(name, core, kind, unit):
-    r = orgnames.read(name)[0]
+    r = READER.read(name)[0]
     assert (r.core, r.kind, r.unit) == (core, kind, unit)
 
 
 def test_no_reading():
-    assert orgnames.read(None) == orgnames.read("  ") == orgnames.read("GKTO") == orgnames.read("Co., Ltd.") == []
+    assert READER.read(None) == READER.read("  ") == READER.read("GKTO") == READER.read("Co., Ltd.") == []
+    assert orgnames.Reader(orgnames.Kinds()).read("Bogun Rase Towage")[0] == orgnames.Reading(("bogun", "rase", "towage"), "", "", False)
 
 
 def test_trade_name():
-    assert [r.core for r in orgnames.read("Bogun Rase Towage t/a Terosin Sea")] == ["bogunrase", "terosin"]
+    assert [r.core for r in READER.read("Bogun Rase Towage t/a Terosin Sea")] == ["bogunrase", "terosin"]
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
+@pytest.mark.parametrize("hot", [1, 4, 1000])
 def test_segment_join_against_brute_force(spark, hot):
     rng = random.Random(hot)
     stems = ["gantanhen", "gantanhon", "munsunkogan", "bidokasu"]
@@ -79,6 +89,16 @@ def test_segment_join_against_brute_force(spark, hot):
     assert sure <= got <= possible
 
 
+def others(start):
+    """Organisations of other names, from which kinds can be learnt."""
+    rows = []
+    for kind, hangul, type_ in (("Towage", "예선", "TugOperator"), ("Shipping", "해운", "ShippingCompany"), ("Port Authority", "항만공사", "GovernmentAgency"), ("Classification Society", "선급", "ClassificationSociety")):
+        for name, letters in (("Kumaro", "쿠마로"), ("Peditan", "페디탄"), ("Chowesu", "초웨수"), ("Nagihop", "나기홉"), ("Turobek", "투로벡")):
+            rows.append((start + len(rows), f"{letters}{hangul}", f"{name}{kind.lower()[:2]} {kind} Ltd.", type_))
+    rows += [(start + 100 + i, None, f"{n} Sea", None) for i, n in enumerate(("Wolkara", "Dipusan", "Gorbeti", "Famulin"))]
+    return rows
+
+
 ORGS = [
     (1, "보군라세예선", "Bogunra Senhin Towage Ltd.", "TugOperator"),
     (2, None, "Bogunra Senhin Towage", "TugOperator"),
@@ -95,15 +115,39 @@ ORGS = [
 
 
 def test_pairs(spark):
-    orgs = spark.createDataFrame([(*o, "x") for o in ORGS], "org_id long, name string, name_en string, org_type string, id_a string")
-    found = spark.createDataFrame([(100, "Organization", "Bogunra S. Towage"), (101, "Organization", "BogunSen Towage"), (102, "Port", "Terosin Sea"), (103, "Organization", None), (104, "Organization", "Bogunra Senhin")], "relation_id long, target_type string, target_name string")
-    got = {(r.id_a, r.id_b) for r in entities.organisation_pairs(entities.records(orgs, found), hot_rows=2).collect()}
-    same = [1, 2, 3, 6, 7, 8, 100, 101]
-    want = {(a, b) for a, b in itertools.combinations(same, 2) if a < 100} | {(4, 11)}
-    assert got == want
+    orgs = spark.createDataFrame([(*o, "x") for o in [*ORGS, *others(1000)]], "org_id long, name string, name_en string, org_type string, id_a string")
+    found = spark.createDataFrame([(10000, "Organization", "Bogunra S. Towage"), (10001, "Organization", "BogunSen Towage"), (10002, "Port", "Terosin Sea"), (10003, "Organization", None), (10004, "Organization", "Bogunra Senhin")], "relation_id long, target_type string, target_name string")
+    pairs = lambda hot: {(r.id_a, r.id_b) for r in entities.organisation_pairs(entities.records(orgs, found), hot_rows=hot).collect()}
+    same = [1, 2, 3, 6, 7, 8, 10000, 10001]
+    want = {(a, b) for a, b in itertools.combinations(same, 2) if a < 10000} | {(4, 11)}
+    assert pairs(2) == pairs(200_000) == want
     assert entities.organisation_pairs(entities.records(orgs.limit(0), found.limit(0))).count() == 0
 
 
+def test_names_without_kinds(spark):
+    orgs = spark.createDataFrame([(1, "Bogunra Senhin", None), (2, "Bogunra Senhim", None), (3, "Other Name", None), (4, None, "bogunra senhin ltd")], "org_id long, name string, name_en string").withColumn("org_type", F.lit(None).cast("string"))
+    found = spark.createDataFrame([(9, "Organization", "Bogunra  Senhin")], "relation_id long, target_type string, target_name string")
+    got = {(r.id_a, r.id_b) for r in entities.organisation_pairs(entities.records(orgs, found)).collect()}
+    assert got == set(itertools.combinations((1, 2, 4, 9), 2))
+
+
+def test_learnt_kinds(spark):
+    heads = [f"{a}{b}{c}" for a in ("Wan", "Pol", "Gus", "Mir", "Tok") for b in ("ado", "esi", "ilu", "ora", "uke") for c in ("ban", "dem", "fir", "gol", "hun")]
+    rows = others(1) + [(200 + i, None, f"{n} Towage Ltd.", None) for i, n in enumerate(heads)] + [(400 + i, None, f"{n} Towing Co., Ltd.", None) for i, n in enumerate(heads[:3])]
+    df = spark.createDataFrame(rows, "org_id long, name string, english string, type string")
+    got = kinds.learn(df.select(F.explode(F.array("name", "english")).alias("name")), df.select("name", "english", "type"))
+    assert set(got.phrases) == {("towage",), ("shipping",), ("port", "authority"), ("classification", "society"), ("sea",)} and got.second == ("sea",)
+    assert dict(got.endings) == {"예선": "towage", "해운": "shipping", "항만공사": "port_authority", "선급": "classification_society"}
+    assert dict(got.words) == {"towing": "towage"}
+    assert dict(got.types) == {"TugOperator": "towage", "ShippingCompany": "shipping", "GovernmentAgency": "port_authority", "ClassificationSociety": "classification_society"}
+    assert kinds.learn(df.limit(0).select("name"), df.limit(0).select("name", "english", "type")) == orgnames.Kinds()
+
+
+@pytest.mark.parametrize(("word", "full"), [("shpg", "shipping"), ("lgstcs", "logistics"), ("shipbldg", "shipbuilding"), ("auth", "authority"), ("authy", "authority"), ("ops", "operations"), ("towgae", "towage"), ("salvag", "salvage")])
+def test_near_words(word, full):
+    assert orgnames.near(word, full) and not orgnames.near(word, "terminal")
+
+
 def test_rooms_find_the_tightest():
     sizes = [5, 3, 2]
     assert packing.best_fit([[0], [1]], [2], sizes, 7) == [[0, 2], [1]]

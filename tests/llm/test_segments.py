@@ -6,7 +6,7 @@ import pytest
 from tidegraph.llm import entities
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
+@pytest.mark.parametrize("hot", [1, 5, 1000])
 def test_transpositions_across_borders_are_looked_up(spark, hot):
     rng = random.Random(hot)
     words = {"jcehotichoknenandu", "jechotichokennandu", "nonmcihanrihissin", "nonmichanrihisin", "kanod", "kaond"}

@@ -1,7 +1,8 @@
 """Linking of the spellings under which an organisation was typed (problem 1).
 
-Names are read (:mod:`tidegraph.llm.orgnames`) into keys: kind of business,
-number of a unit, letters of the proper part. Only distinct keys are compared.
+Distinct names are read once (:mod:`tidegraph.llm.orgnames`) into keys: kind of
+business, number of a unit, letters of the proper part. Only distinct keys are
+compared. What tells the kind is learnt from the names (:mod:`tidegraph.llm.kinds`).
 
 *Pigeonhole segment join.* Two strings within ``k`` edits share one of ``k + 1``
 segments of the shorter one, moved by at most ``k`` places, unless a
@@ -9,13 +10,13 @@ transposition lies across a border and spoils two. So the first and the last
 segment are indexed a second time with the letter beyond their border in place
 of their own: with the transposition undone that segment is whole, or the one
 at the other end is. Each key is put into an inverted index under its
-segments; every key looks up the substrings
-that could be such a segment of a partner, position shifts included, and the
-pairs found are verified by a banded edit distance (transpositions count one;
-two neighbouring syllables may change places). A segment that more than
-``HOT`` index strings share is not paired out: what remains of the strings once
-the segment is taken off is itself cut into ``k + 1`` segments, one of which
-must agree too, so nothing is lost and no pair is capped.
+segments; every key looks up the substrings that could be such a segment of a
+partner, position shifts included, and itself with two neighbouring syllables
+exchanged. The pairs found are verified by a banded edit distance
+(transpositions count one). A segment that more than ``HOT`` index strings share
+is not paired out: what remains of the strings once the segment is taken off is
+itself cut into ``k + 1`` segments, one of which must agree too, and so on until
+no segment is shared by so many, so nothing is lost and no pair is capped.
 
 Keys of different kinds or unit numbers are never compared: sister companies
 and numbered units are different organisations. A name without its kind, with
@@ -39,14 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.groups import linked_groups
-from tidegraph.llm.orgnames import read
+from tidegraph.llm.kinds import learn
+from tidegraph.llm.orgnames import Kinds, Reader
 from tidegraph.plans import skew
-from tidegraph.plans.scratch import materialise
+from tidegraph.plans.scratch import drop_scratch, materialise
 
 HOT = 32
 #: Below this length names of different organisations may lie two edits apart.
 SHORT = 12
-TRADE_KINDS = ("group", "lines", "line", "sea")
+#: Times that the commoner of two short spellings two edits apart must be typed for each time of the other.
+TIMES = 4
 _SYLLABLE = re.compile(r"[^aeiou]*[aeiou](?:n(?![aeiou]))?")
 _VOWELS = re.compile("[aeiou]")
 
@@ -112,16 +115,6 @@ def segments(size: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-WHOLE = -1  #: number of the row that holds all syllables in order of the alphabet, for syllables that changed places
-
-
-def _whole(s: str) -> tuple[str, int]:
-    return f"{len(s)}.s.{'.'.join(sorted(syllables(s)))}", WHOLE
-
-
-TURNED = 10  #: added to the number of a segment whose outer letter was exchanged across the border
-
-
 def turned(s: str, k: int) -> list[tuple[int, str]]:
     """(segment, string): the string with the letters at the first segment's end, or before the last one, exchanged."""
     cut = segments(len(s), k)
@@ -132,52 +125,79 @@ def turned(s: str, k: int) -> list[tuple[int, str]]:
     return out
 
 
-def index_rows(s: str) -> list[tuple[str, int]]:
-    k = edits(len(s))
+def index_segments(s: str, k: int) -> Iterator[tuple[str, str]]:
+    """(segment, rest): each segment of ``s`` by number and letters, and what remains without it; a string of ``k`` letters or less isn't cut."""
+    if len(s) <= k:
+        yield "", ""
+        return
     cut = segments(len(s), k)
-    out = [(f"{len(s)}.{i}.{s[p : p + n]}", i) for i, (p, n) in enumerate(cut)]
-    for i, t in turned(s, k):
+    for i, t in [*((i, s) for i in range(k + 1)), *turned(s, k)]:
         p, n = cut[i]
-        out.append((f"{len(s)}.{i}.{t[p : p + n]}", i + TURNED))
-    return [*out, _whole(s)]
+        yield f"{i}.{t[p : p + n]}", t[:p] + t[p + n :]
+
 
+def lookup_segments(s: str, size: int, k: int) -> Iterator[tuple[str, str, int]]:
+    """(segment, rest, partner's rest): substrings of ``s`` that may be a segment of a partner of that size."""
+    if size <= k:
+        yield "", "", 0
+        return
+    delta = len(s) - size
+    for i, (p, n) in enumerate(segments(size, k)):
+        for q in range(max(0, p - (k - delta) // 2), min(len(s) - n, p + (k + delta) // 2) + 1):
+            yield f"{i}.{s[q : q + n]}", s[:q] + s[q + n :], size - n
 
-def lookup_rows(s: str, both: bool) -> list[tuple[str, int, int, int]]:
-    """(segment, its number, partner's length, place in ``s``) for partners no longer than ``s``, or of either length."""
-    out = [(*_whole(s), len(s), 0)]
+
+def exchanged(s: str) -> Iterator[str]:
+    """The string with two neighbouring syllables in each other's place."""
+    x = syllables(s)
+    for i in range(len(x) - 1 if len(s) >= 8 else 0):
+        if x[i] != x[i + 1] and syllables(t := "".join([*x[:i], x[i + 1], x[i], *x[i + 2 :]])) == [*x[:i], x[i + 1], x[i], *x[i + 2 :]]:
+            yield t
+
+
+def index_rows(s: str) -> Iterator[tuple[str, str]]:
+    """(segment, rest) of a key's string; the whole string stands for itself."""
+    k = edits(len(s))
+    for seg, rest in index_segments(s, k):
+        yield f"{len(s)}.{seg}", rest
+    yield f"w.{s}", ""
+
+
+def lookup_rows(s: str, both: bool) -> Iterator[tuple[str, str, int, int]]:
+    """(segment, rest, partner's rest, edits) for partners no longer than ``s``, or of either length."""
     for size in range(max(1, len(s) - 2), len(s) + (2 if both else 0) + 1):
-        k, delta = edits(size), len(s) - size
-        if abs(delta) > k:
-            continue
-        for i, (p, n) in enumerate(segments(size, k)):
-            for q in range(max(0, p - (k - delta) // 2), min(len(s) - n, p + (k + delta) // 2) + 1):
-                out.append((f"{size}.{i}.{s[q : q + n]}", i, size, q))
-    return out
+        k = edits(size)
+        if abs(len(s) - size) <= k:
+            for seg, rest, other in lookup_segments(s, size, k):
+                yield f"{size}.{seg}", rest, other, k
+    for t in exchanged(s):
+        yield f"w.{t}", "", 0, 0
 
 
 def _rows(columns: list[list], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+_TEXT, _INT = pa.string(), pa.int32()
+_INDEX, _LOOK = "seg string, key string, s string, rest string", "seg string, key string, s string, rest string, other int, k int"
+
+
+def _filled(rows: Iterator[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = [list(c) for c in zip(*rows)] or [[] for _ in names]
+    return _rows(columns, names, [_TEXT] * 4 + [_INT] * (len(names) - 4))
+
+
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: list[list] = [[], [], [], []]
-        for block, key, s in zip(*[b.column(c).to_pylist() for c in ("block", "key", "s")]):
-            for seg, i in index_rows(s):
-                for col, v in zip(out, (f"{block}.{seg}", key, s, i)):
-                    col.append(v)
-        yield _rows(out, ["seg", "key", "s", "i"], [pa.string(), pa.string(), pa.string(), pa.int32()])
+        keys = zip(*[b.column(c).to_pylist() for c in ("block", "key", "s")])
+        yield _filled(((f"{block}.{seg}", key, s, rest) for block, key, s in keys for seg, rest in index_rows(s)), ["seg", "key", "s", "rest"])
 
 
 def _looking(both: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for block, key, s in zip(*[b.column(c).to_pylist() for c in ("block", "key", "s")]):
-                for seg, i, size, q in lookup_rows(s, both):
-                    for col, v in zip(out, (f"{block}.{seg}", key, s, i, size, q)):
-                        col.append(v)
-            yield _rows(out, ["seg", "key", "s", "i", "size", "q"], [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()])
+            keys = zip(*[b.column(c).to_pylist() for c in ("block", "key", "s")])
+            yield _filled(((f"{block}.{seg}", key, s, rest, other, k) for block, key, s in keys for seg, rest, other, k in lookup_rows(s, both)), ["seg", "key", "s", "rest", "other", "k"])
 
     return run
 
@@ -185,32 +205,14 @@ def _looking(both: bool):
 def _indexed_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Index rows of hot segments, by the segments of what remains."""
     for b in batches:
-        out: list[list] = [[], [], []]
-        for seg, key, s, i in zip(*[b.column(c).to_pylist() for c in ("seg", "key", "s", "i")]):
-            k = edits(len(s))
-            t = dict(turned(s, k))[i - TURNED] if i >= TURNED else s
-            p, n = (0, 0) if i == WHOLE else segments(len(s), k)[i % TURNED]
-            rest = t[:p] + t[p + n :]
-            cut = segments(len(rest), k)
-            parts = [(j, rest[q : q + m]) for j, (q, m) in enumerate(cut)] + [(j, u[cut[j][0] : sum(cut[j])]) for j, u in turned(rest, k)]
-            for j, part in parts:
-                for col, v in zip(out, (f"{seg}.{j}.{part}", key, s)):
-                    col.append(v)
-        yield _rows(out, ["seg", "key", "s"], [pa.string()] * 3)
+        rows = zip(*[b.column(c).to_pylist() for c in ("seg", "key", "s", "rest")])
+        yield _filled(((f"{seg}/{part}", key, s, left) for seg, key, s, rest in rows for part, left in index_segments(rest, edits(len(s)))), ["seg", "key", "s", "rest"])
 
 
 def _looking_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out: list[list] = [[], [], []]
-        for seg, key, s, i, size, q in zip(*[b.column(c).to_pylist() for c in ("seg", "key", "s", "i", "size", "q")]):
-            k, delta = edits(size), len(s) - size
-            n = 0 if i == WHOLE else segments(size, k)[i][1]
-            rest = s[:q] + s[q + n :]
-            for j, (p, m) in enumerate(segments(size - n, k)):
-                for at in range(max(0, p - (k - delta) // 2), min(len(rest) - m, p + (k + delta) // 2) + 1):
-                    for col, v in zip(out, (f"{seg}.{j}.{rest[at : at + m]}", key, s)):
-                        col.append(v)
-        yield _rows(out, ["seg", "key", "s"], [pa.string()] * 3)
+        rows = zip(*[b.column(c).to_pylist() for c in ("seg", "key", "s", "rest", "other", "k")])
+        yield _filled(((f"{seg}/{part}", key, s, left, less, k) for seg, key, s, rest, other, k in rows for part, left, less in lookup_segments(rest, other, k)), ["seg", "key", "s", "rest", "other", "k"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,19 +226,22 @@ def segment_join(left: DataFrame, right: DataFrame, both: bool, hot_size: int =
 
     With ``both`` false only partners no longer than the left string are looked for, as in a self-join.
     """
-    index = materialise(right.mapInArrow(_indexed, "seg string, key string, s string, i int"), "segments")
-    looks = left.mapInArrow(_looking(both), "seg string, key string, s string, i int, size int, q int")
-    hot = index.groupBy("seg").agg(F.count("*").alias("n")).where(F.col("n") > hot_size).select("seg")
-    hot = materialise(hot, "hot-segments")
+    index = materialise(right.mapInArrow(_indexed, _INDEX), "segments")
+    looks = left.mapInArrow(_looking(both), _LOOK)
     pair = [F.col("l.key").alias("a"), F.col("r.key").alias("b"), F.col("l.s").alias("sa"), F.col("r.s").alias("sb")]
-
-    def joined(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.select("seg", "key", "s").alias("l").join(y.select("seg", "key", "s").alias("r"), "seg").where("l.key <> r.key").select(*pair)
-
-    plain = joined(looks, index.join(hot, "seg", "left_anti"))
-    three = "seg string, key string, s string"
-    finer = joined(looks.join(hot, "seg", "left_semi").mapInArrow(_looking_rest, three), index.join(hot, "seg", "left_semi").mapInArrow(_indexed_rest, three))
-    return plain.unionByName(finer).distinct().mapInArrow(_verified, "a string, b string").distinct()
+    found = None
+    while True:
+        # A segment whose strings have nothing left can't be cut further; they are spellings of one string.
+        shared = index.groupBy("seg").agg(F.count("*").alias("n"), F.max(F.length("rest")).alias("left")).where((F.col("n") > hot_size) & (F.col("left") > 0)).select("seg")
+        hot = materialise(shared, "hot-segments")
+        done = hot.isEmpty()
+        x, y = (looks, index) if done else (looks.join(hot, "seg", "left_anti"), index.join(hot, "seg", "left_anti"))
+        part = x.select("seg", "key", "s").alias("l").join(y.select("seg", "key", "s").alias("r"), "seg").where("l.key <> r.key").select(*pair)
+        found = part if found is None else found.unionByName(part)
+        if done:
+            return found.distinct().mapInArrow(_verified, "a string, b string").distinct()
+        looks = materialise(looks.join(hot, "seg", "left_semi").mapInArrow(_looking_rest, _LOOK), "hot-looks")
+        index = materialise(index.join(hot, "seg", "left_semi").mapInArrow(_indexed_rest, _INDEX), "hot-index")
 
 
 def _blend(words: tuple[str, ...]) -> str:
@@ -263,41 +268,34 @@ def _asks(words: tuple[str, ...], hangul: bool) -> list[str]:
     return []
 
 
-_READ = "rec bigint, org boolean, hint string, typed string, kind string, unit string, core string, words array<string>, signs array<string>, asks array<string>"
+_READ = "name string, kind string, unit string, core string, words array<string>, signs array<string>, asks array<string>"
 
 
-def _readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out: list[list] = [[] for _ in range(10)]
-        for rec, org, hint, typed, names in zip(*[b.column(c).to_pylist() for c in ("rec", "org", "hint", "typed", "names")]):
-            seen = set()
-            for r in [r for n in names for r in read(n)]:
-                if r in seen:
-                    continue
-                seen.add(r)
-                asks = _asks(r.words, r.hangul)
-                full = len(r.words) == 2 and not r.hangul and not (asks and asks[0][0] in "ic")
-                row = (rec, org, hint, typed, r.kind, r.unit, r.core, list(r.words), _signs(r.words) if full else [], asks)
-                for col, v in zip(out, row):
-                    col.append(v)
-        text, many = pa.string(), pa.list_(pa.string())
-        yield _rows(out, ["rec", "org", "hint", "typed", "kind", "unit", "core", "words", "signs", "asks"], [pa.int64(), pa.bool_(), text, text, text, text, text, many, many, many])
-
-
-#: Kinds of business behind the types of organisations.
-TYPE_KINDS = {
-    "ShippingCompany": "shipping", "Shipyard": "shipbuilding", "TugOperator": "towage", "SalvageCompany": "salvage", "LogisticsCompany": "logistics", "TerminalOperator": "terminal",
-    "ClassificationSociety": "classification", "GovernmentAgency": "port", "EngineeringCompany": "marine", "ResearchInstitute": "ocean",
-}
-
-
-def plausible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+def _readings(kinds: Kinds):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(kinds)
+        for b in batches:
+            out: list[list] = [[] for _ in range(7)]
+            for name in b.column("name").to_pylist():
+                for r in dict.fromkeys(reader.read(name)):
+                    asks = _asks(r.words, r.hangul)
+                    full = len(r.words) == 2 and not r.hangul and not (asks and asks[0][0] in "ic")
+                    for col, v in zip(out, (name, r.kind, r.unit, r.core, list(r.words), _signs(r.words) if full else [], asks)):
+                        col.append(v)
+            many = pa.list_(_TEXT)
+            yield _rows(out, ["name", "kind", "unit", "core", "words", "signs", "asks"], [_TEXT] * 4 + [many] * 3)
+
+    return run
+
+
+def plausible(pairs: DataFrame, keys: DataFrame, second: tuple[str, ...] = ()) -> DataFrame:
     """Pairs that are slips of each other rather than two short names.
 
     Short spellings one edit or one transposition of neighbours apart are slips.
-    Two edits apart they are different organisations unless one is rare beside
-    the other: typed once, or a tenth as often; trade names, shorter than others,
-    may differ by one edit only. ``n`` counts typings, not extractions of them.
+    Two edits apart they are different organisations unless one is typed ``TIMES``
+    times as often as the other, a ratio that doesn't depend on how many rows there
+    are; trade names (kinds of the second rank), shorter than others, may differ by
+    one edit only. ``n`` counts typings, not extractions of them.
     """
     k = lambda x: keys.select(F.col("key").alias(x), F.col("core").alias(f"core_{x}"), F.col("kind").alias(f"kind_{x}"), F.col("n").alias(f"n_{x}"))
     j = pairs.join(k("a"), "a").join(k("b"), "b")
@@ -308,8 +306,8 @@ def plausible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     moved = (edit == 2) & (letters(F.col("core_a")) == letters(F.col("core_b")))
     off = F.filter(F.sequence(F.lit(1), F.length("core_a")), lambda i: F.substr(F.col("core_a"), i, F.lit(1)) != F.substr(F.col("core_b"), i, F.lit(1)))
     slip = (edit <= 1) | (moved & (F.size(off) == 2) & (F.array_max(off) - F.array_min(off) == 1))
-    trade = F.col("kind_a").isin(*TRADE_KINDS)
-    return j.where(long | slip | (((low == 1) | (high >= 10 * low)) & (~trade | (edit <= 1) | moved))).select("a", "b")
+    trade = F.col("kind_a").isin(*second) if second else F.lit(False)
+    return j.where(long | slip | ((high >= TIMES * low) & (~trade | moved))).select("a", "b")
 
 
 def _strings(keys: DataFrame, block) -> DataFrame:
@@ -319,17 +317,29 @@ def _strings(keys: DataFrame, block) -> DataFrame:
 
 
 def organisation_groups(records: DataFrame) -> DataFrame:
-    """(rec, org, group_id) of the records (rec bigint, org boolean, hint string, typed string, names array<string>) that could be read.
+    """(rec, org, group_id) of the records (rec bigint, org boolean, type string, typed string, names array<string>) that could be read.
 
     ``typed`` is the same for records of one typing, as a finding that was extracted twice.
     """
-    read_ = materialise(records.repartition("rec").mapInArrow(_readings, _READ).withColumn("key", F.concat_ws("|", "kind", "unit", "core")), "readings")
-    keys = materialise(read_.groupBy("key", "kind", "unit", "core").agg(F.max(F.struct(F.size("signs").alias("n"), "words", "signs")).alias("w"), F.max("asks").alias("asks"), F.countDistinct("typed").alias("n")).select("key", "kind", "unit", "core", "w.words", "w.signs", "asks", "n"), "keys")
+    named_by = materialise(records.select("rec", "type", "typed", F.explode(F.array_distinct(F.filter("names", lambda n: n.isNotNull()))).alias("name")), "names")
+    counted = materialise(named_by.groupBy("name").agg(F.count("*").alias("n")), "distinct-names")
+    both = records.where("type IS NOT NULL OR size(names) > 1").select(F.element_at("names", 1).alias("name"), F.element_at("names", -1).alias("english"), "type")
+    kinds = learn(counted, both)
+    hints = F.create_map(*[F.lit(x) for pair in kinds.types for x in pair])[F.col("type")] if kinds.types else F.lit(None).cast("string")
+    hot = skew.hot_keys(counted, ["name"])
+    # Each distinct name is read once, in as many tasks as there are cores.
+    read_names = materialise(counted.select("name").repartition(counted.sparkSession.sparkContext.defaultParallelism, "name").mapInArrow(_readings(kinds), _READ).withColumn("key", F.concat_ws("|", "kind", "unit", "core")), "read-names")
+    each = skew.spread(named_by.withColumn("hint", hints), hot, ["name"], F.col("rec")).join(skew.repeat(read_names.select("name", "key", "kind"), hot, ["name"]), ["name", "_salt"])
+    read_ = materialise(each.select("rec", "hint", "typed", "kind", "key").distinct(), "readings")
+    typings = read_.groupBy("key").agg(F.count_distinct("typed").alias("n"))
+    keys = read_names.groupBy("key", "kind", "unit", "core").agg(F.max(F.struct(F.size("signs").alias("n"), "words", "signs")).alias("w"), F.max("asks").alias("asks"))
+    keys = materialise(keys.join(typings, "key").select("key", "kind", "unit", "core", "w.words", "w.signs", "asks", "n"), "keys")
     initial = F.size(F.filter("asks", lambda a: a.startswith("i:"))) > 0
-    named = keys.where((F.col("kind") != "") & ~initial)
+    told_kinds = F.col("kind") != "" if kinds.phrases or kinds.endings else F.lit(True)  # without kinds all names are whole
+    named = keys.where(told_kinds & ~initial)
     block = F.concat_ws("|", "kind", "unit")
     alike = segment_join(named.select(block.alias("block"), "key", F.col("core").alias("s")), _strings(named, block), both=False)
-    alike = plausible(alike, named)
+    alike = plausible(alike, named, kinds.second)
     own = named.select(F.col("key").alias("a"), F.col("key").alias("b"))
     spelled = materialise(linked_groups(alike.unionByName(own), "a", "b").select(F.col("record_id").alias("key"), F.col("group_id").alias("family")), "spelled")
 
@@ -345,7 +355,7 @@ def organisation_groups(records: DataFrame) -> DataFrame:
     families = materialise(all_keys.join(merged, F.col("family") == F.col("own"), "left").select("key", F.coalesce("into", "family").alias("family")), "families")
 
     # Names without a kind: one family of their letters and unit, or of the kind their record tells.
-    bare = keys.where("kind = ''").select(F.col("unit").alias("block"), "key", F.col("core").alias("s"))
+    bare = keys.where(~told_kinds).select(F.col("unit").alias("block"), "key", F.col("core").alias("s"))
     fits = segment_join(bare, _strings(named, F.col("unit")), both=True)
     options = materialise(
         fits.unionByName(forms.where("kind_a = ''").select("a", "b"))
@@ -380,11 +390,10 @@ def organisation_pairs(records: DataFrame, hot_rows: int = skew.HOT_ROWS) -> Dat
 
 def records(orgs: DataFrame, findings: DataFrame) -> DataFrame:
     """Records of organizations and of extracted_relations that name one."""
-    kind = F.create_map(*[F.lit(x) for pair in TYPE_KINDS.items() for x in pair])
     own = lambda c: F.concat(F.lit("r:"), F.col(c).cast("string"))
     typed = own("relation_id")
     if "source_id" in findings.columns:
         typed = F.when(F.col("source_id").isNotNull(), F.to_json(F.struct("source_id", "target_name"))).otherwise(typed)
-    a = orgs.select(F.col("org_id").alias("rec"), F.lit(True).alias("org"), kind[F.col("org_type")].alias("hint"), own("org_id").alias("typed"), F.array("name", "name_en").alias("names"))
-    b = findings.where("target_type = 'Organization' AND target_name IS NOT NULL").select(F.col("relation_id").alias("rec"), F.lit(False).alias("org"), F.lit(None).cast("string").alias("hint"), typed.alias("typed"), F.array("target_name").alias("names"))
+    a = orgs.select(F.col("org_id").alias("rec"), F.lit(True).alias("org"), F.col("org_type").alias("type"), own("org_id").alias("typed"), F.array("name", "name_en").alias("names"))
+    b = findings.where("target_type = 'Organization' AND target_name IS NOT NULL").select(F.col("relation_id").alias("rec"), F.lit(False).alias("org"), F.lit(None).cast("string").alias("type"), typed.alias("typed"), F.array("target_name").alias("names"))
     return a.unionByName(b).where("rec IS NOT NULL")
