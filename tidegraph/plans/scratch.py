@@ -60,9 +60,37 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for scope in _OPEN:
+        scope.made.append(out)
     return out
 
 
+class Scope:
+    """Drops at its end the tables made inside it, but for those it keeps.
+
+    What an operator returns may read kept tables only.
+    """
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+        self.kept: set[str] = set()
+
+    def __enter__(self) -> "Scope":
+        _OPEN.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._scratch_path)
+        return df
+
+    def __exit__(self, kind, error, trace) -> None:
+        _OPEN.remove(self)
+        drop_scratch(*[t for t in self.made if t._scratch_path not in self.kept])
+
+
+_OPEN: list[Scope] = []
+
+
 def drop_scratch(*tables: DataFrame) -> None:
     """Delete the files behind tables that :func:`materialise` returned and no result reads any more."""
     for df in tables:
