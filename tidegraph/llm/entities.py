@@ -43,7 +43,7 @@ from tidegraph.llm.groups import linked_groups
 from tidegraph.llm.kinds import learn
 from tidegraph.llm.orgnames import Kinds, Reader
 from tidegraph.plans import skew
-from tidegraph.plans.scratch import drop_scratch, materialise
+from tidegraph.plans.scratch import Scope, materialise
 
 HOT = 32
 #: Below this length names of different organisations may lie two edits apart.
@@ -338,10 +338,10 @@ def organisation_groups(records: DataFrame) -> DataFrame:
     told_kinds = F.col("kind") != "" if kinds.phrases or kinds.endings else F.lit(True)  # without kinds all names are whole
     named = keys.where(told_kinds & ~initial)
     block = F.concat_ws("|", "kind", "unit")
-    alike = segment_join(named.select(block.alias("block"), "key", F.col("core").alias("s")), _strings(named, block), both=False)
-    alike = plausible(alike, named, kinds.second)
     own = named.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    spelled = materialise(linked_groups(alike.unionByName(own), "a", "b").select(F.col("record_id").alias("key"), F.col("group_id").alias("family")), "spelled")
+    with Scope() as scope:
+        alike = plausible(segment_join(named.select(block.alias("block"), "key", F.col("core").alias("s")), _strings(named, block), both=False), named, kinds.second)
+        spelled = scope.keep(materialise(linked_groups(alike.unionByName(own), "a", "b").select(F.col("record_id").alias("key"), F.col("group_id").alias("family")), "spelled"))
 
     # Short forms: attached where their full names belong to one family.
     full = named.select("unit", "kind", "key", F.explode("signs").alias("sign"))
@@ -356,14 +356,10 @@ def organisation_groups(records: DataFrame) -> DataFrame:
 
     # Names without a kind: one family of their letters and unit, or of the kind their record tells.
     bare = keys.where(~told_kinds).select(F.col("unit").alias("block"), "key", F.col("core").alias("s"))
-    fits = segment_join(bare, _strings(named, F.col("unit")), both=True)
-    options = materialise(
-        fits.unionByName(forms.where("kind_a = ''").select("a", "b"))
-        .join(families.select(F.col("key").alias("b"), "family"), "b")
-        .select("a", "family", F.substring_index("family", "|", 1).alias("kind"))
-        .distinct(),
-        "options",
-    )
+    with Scope() as scope:
+        fits = segment_join(bare, _strings(named, F.col("unit")), both=True).unionByName(forms.where("kind_a = ''").select("a", "b"))
+        families_of = families.select(F.col("key").alias("b"), "family")
+        options = scope.keep(materialise(fits.join(families_of, "b").select("a", "family", F.substring_index("family", "|", 1).alias("kind")).distinct(), "options"))
     count = options.groupBy("a").agg(F.count("*").alias("n"), F.min("family").alias("only"))
     one = materialise(count.where("n = 1").select(F.col("a").alias("key"), F.col("only").alias("family")), "attached")
     per_kind = options.join(count.where("n > 1").select("a"), "a").groupBy("a", "kind").agg(F.count("*").alias("n"), F.min("family").alias("family")).where("n = 1")
@@ -380,7 +376,8 @@ def organisation_groups(records: DataFrame) -> DataFrame:
 
 def organisation_pairs(records: DataFrame, hot_rows: int = skew.HOT_ROWS) -> DataFrame:
     """(id_a, id_b): an organisation and a later organisation or a finding that names it."""
-    members = materialise(organisation_groups(records), "members")
+    with Scope() as scope:
+        members = scope.keep(materialise(organisation_groups(records), "members"))
     hot = skew.hot_keys(members.groupBy("group_id").agg(F.count("*").alias("n")), ["group_id"], "n", hot_rows)
     orgs = members.where("org").select("group_id", F.col("rec").alias("id_a"))
     all_ = members.select("group_id", F.col("rec").alias("id_b"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.plans import skew
-from tidegraph.plans.scratch import materialise
+from tidegraph.plans.scratch import Scope, materialise
 
 CELL_EDGES = 100_000
 
@@ -118,18 +118,19 @@ def linked_groups(edges: DataFrame, a: str, b: str, cell_edges: int = CELL_EDGES
     """(group_id, record_id) for every record at an end of an edge whose two ends aren't null."""
     ends = edges.select(edges[a].cast("string").alias("a"), edges[b].cast("string").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     alone = ends.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("m"), F.lit(0).alias("r")).distinct()
-    left = materialise(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges-0")
-    heard, r = alone, 0
-    while n := left.count():
-        r += 1
-        table = materialise(_round(left, n, r, cell_edges), f"cells-{r}")
-        heard = heard.unionByName(table.select("v", "m", F.lit(r).alias("r")).distinct())
-        left = materialise(table.where("rep <> m").select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b")).distinct(), f"edges-{r}")
-    # A vertex's parent in the last round it took part in is its root or takes part in a later round.
-    links = heard.groupBy("v").agg(F.max_by("m", "r").alias("p"))
-    for step in range(math.ceil(math.log2(max(r, 1)))):
-        links = materialise(links, f"parents-{step}")
-        links = _follow(links, links.select(F.col("v").alias("p"), F.col("p").alias("to")), hot_rows)
-    links = materialise(links, "parents")
+    with Scope() as scope:
+        left = materialise(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges-0")
+        heard, r = alone, 0
+        while n := left.count():
+            r += 1
+            table = materialise(_round(left, n, r, cell_edges), f"cells-{r}")
+            heard = heard.unionByName(table.select("v", "m", F.lit(r).alias("r")).distinct())
+            left = materialise(table.where("rep <> m").select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b")).distinct(), f"edges-{r}")
+        # A vertex's parent in the last round it took part in is its root or takes part in a later round.
+        links = heard.groupBy("v").agg(F.max_by("m", "r").alias("p"))
+        for step in range(math.ceil(math.log2(max(r, 1)))):
+            links = materialise(links, f"parents-{step}")
+            links = _follow(links, links.select(F.col("v").alias("p"), F.col("p").alias("to")), hot_rows)
+        links = scope.keep(materialise(links, "parents"))
     smallest = links.groupBy("p").agg(F.min("v").alias("to"))
     return _follow(links, smallest, hot_rows).select(F.col("p").alias("group_id"), F.col("v").alias("record_id"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm import tokens
-from tidegraph.plans.scratch import drop_scratch, materialise
+from tidegraph.plans.scratch import Scope, materialise
 
 CAPACITY = 2048
 SHARD = 4096
@@ -240,10 +240,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD) -
     level, open_bins = 0, None
     while n:
         shards = -(-n // shard_items)
-        placed = materialise(left.withColumn("shard", F.pmod(F.xxhash64("key", "piece_no", F.lit(level)), F.lit(shards)).cast("int")), f"shards-{level}")
-        packings = best_packings(placed, capacity, level)
-        settled = materialise(placed.groupBy("shard").cogroup(packings.groupBy("shard")).applyInPandas(_settle(capacity, level), out), f"packed-{level}")
-        drop_scratch(placed)
+        with Scope() as scope:
+            placed = materialise(left.withColumn("shard", F.pmod(F.xxhash64("key", "piece_no", F.lit(level)), F.lit(shards)).cast("int")), f"shards-{level}")
+            packings = best_packings(placed, capacity, level)
+            settled = scope.keep(materialise(placed.groupBy("shard").cogroup(packings.groupBy("shard")).applyInPandas(_settle(capacity, level), out), f"packed-{level}"))
         roomy = F.col("room") > SPARE * capacity
         sums = settled.agg(F.count_distinct(F.when(roomy, F.col("container_id"))).alias("open"), F.count_distinct("container_id").alias("used"), F.count_if(roomy).alias("n")).first()
         if shards == 1 or (open_bins is not None and sums["used"] > open_bins * (1 - GAIN)):
