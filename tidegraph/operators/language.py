@@ -16,6 +16,8 @@ from tidegraph.plans.ir import Aggregate, Filter, Hop, Intent, Sort, StructuredQ
 
 #: Entries that a dictionary sent to every task may have.
 MAX_DICTIONARY = 1_000_000
+#: Keywords that are tested beside each other in one expression.
+MAX_KEYWORDS = 500
 
 
 def tag(texts: DataFrame, entries: DataFrame, longest: bool = True) -> DataFrame:
@@ -76,9 +78,9 @@ def keyword_relations(texts: DataFrame, keywords: DataFrame, width: int = 30) ->
     confidence. Keywords are a short list, so they are tested beside each other in
     one pass over the texts.
     """
-    rows = [r.asDict() for r in keywords.select("keyword", "target", "relation", "confidence").orderBy("keyword", "target").limit(10_001).collect()]
-    if len(rows) > 10_000:
-        raise ValueError("more than 10,000 keywords; use tag() for dictionaries")
+    rows = [r.asDict() for r in keywords.select("keyword", "target", "relation", "confidence").orderBy("keyword", "target").limit(MAX_KEYWORDS + 1).collect()]
+    if len(rows) > MAX_KEYWORDS:
+        raise ValueError(f"more than {MAX_KEYWORDS} keywords; use tag() for dictionaries")
     place = lambda k: F.locate(k, F.lower("text")) if k.isascii() else F.locate(k, F.col("text"))
     each = [
         F.when(
