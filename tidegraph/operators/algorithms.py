@@ -232,9 +232,99 @@ def node_similarity(edges: DataFrame, cutoff: float = 0.5, top_k: int = 10) -> D
     return out.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_k).select("node1", "node2", "similarity")
 
 
-def louvain(edges: DataFrame, levels: int = 10, rounds: int | None = None) -> DataFrame:
+#: Edges of a connected part up to which one task finds its communities.
+LOCAL_EDGES = 100_000
+
+
+def local_louvain(links: list[tuple[str, str, float]], total: float) -> dict[str, str]:
+    """Communities of (a, b, weight) in a graph of that total weight: vertices move in the order of their ids until none gains, then communities become vertices."""
+    ids = sorted({x for a, b, _ in links for x in (a, b)})
+    place = {v: i for i, v in enumerate(ids)}
+    member = list(range(len(ids)))  # vertex -> its vertex at this level
+    near: list[dict[int, float]] = [{} for _ in ids]
+    for a, b, w in links:
+        i, j = place[a], place[b]
+        near[i][j] = near[i].get(j, 0.0) + w
+        if i != j:
+            near[j][i] = near[j].get(i, 0.0) + w
+    while True:
+        n = len(near)
+        degree = [sum(w * (1 + (v == u)) for v, w in near[u].items()) for u in range(n)]
+        at, whole, any_move, moved = list(range(n)), degree[:], False, True
+        while moved:
+            moved = False
+            for u in range(n):
+                kin: dict[int, float] = {}
+                for v, w in near[u].items():
+                    if v != u:
+                        kin[at[v]] = kin.get(at[v], 0.0) + w
+                own = at[u]
+                whole[own] -= degree[u]
+                gain = lambda c: kin.get(c, 0.0) - degree[u] * whole[c] / (2 * total)  # noqa: B023, E731
+                best = min(kin, key=lambda c: (-round(gain(c), 9), c), default=own)
+                if round(gain(best), 9) > round(gain(own), 9):
+                    at[u], moved, any_move = best, True, True
+                whole[at[u]] += degree[u]
+        if not any_move:
+            break
+        names = {c: i for i, c in enumerate(sorted(set(at)))}
+        member = [names[at[m]] for m in member]
+        next_: list[dict[int, float]] = [{} for _ in names]
+        for u in range(n):
+            for v, w in near[u].items():
+                if u <= v:
+                    x, y = names[at[u]], names[at[v]]
+                    next_[x][y] = next_[x].get(y, 0.0) + w
+                    if x != y:
+                        next_[y][x] = next_[y].get(x, 0.0) + w
+        near = next_
+    first: dict[int, str] = {}
+    for v, m in zip(ids, member):
+        first.setdefault(m, v)
+    return {v: first[m] for v, m in zip(ids, member)}
+
+
+def _communities(total: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[str, str]] = []
+        for _, part in pdf.groupby("part"):
+            out += local_louvain(list(zip(part["a"], part["b"], part["w"])), total).items()
+        return pd.DataFrame(out, columns=["id", "community"])
+
+    return run
+
+
+def louvain(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, community): modularity by local moves and contraction; a community is named by its smallest member.
 
+    No community spans two connected parts, so a part of up to ``local_edges``
+    edges is done by one task, several small parts to a task; larger ones go round
+    by round over all tasks (:func:`distributed_louvain`).
+    """
+    e = _clean(edges)
+    w = F.col("weight").cast("double") if "weight" in e.columns else F.lit(1.0)
+    links = materialise(e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "links")
+    sums = links.agg(F.sum("w").alias("w"), F.count("*").alias("n")).first()
+    if not sums["w"]:
+        return links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct().withColumn("community", F.col("id"))
+    parts = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    of = parts.select(F.col("id").alias("a"), F.col("component").alias("part"))
+    placed = materialise(links.join(of, "a"), "parts")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("edges"))
+    large = materialise(sizes.where(F.col("edges") > local_edges).select("part"), "large-parts")
+    some_large = not large.isEmpty()
+    small = placed.join(large, "part", "left_anti") if some_large else placed
+    tasks = max(1, -(-sums["n"] // local_edges))
+    found = small.groupBy(F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task")).applyInPandas(_communities(sums["w"]), "id string, community string")
+    if not some_large:
+        return found
+    rest = placed.join(large, "part", "left_semi").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight"))
+    return found.unionByName(distributed_louvain(rest, total=sums["w"]))
+
+
+def distributed_louvain(edges: DataFrame, levels: int = 10, rounds: int | None = None, total: float | None = None) -> DataFrame:
+    """(id, community): Louvain over all tasks; ``total`` is the weight of the whole graph if these are only some of its edges.
+
     In a round the vertices of one hash class may move to the neighbouring community
     with the greatest gain, if it beats staying; classes take turns, so neighbours
     seldom swap. A level ends when a turn of all classes moves nothing, or after
@@ -247,7 +337,7 @@ def louvain(edges: DataFrame, levels: int = 10, rounds: int | None = None) -> Da
     sym = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     links = materialise(sym, "louvain-0")
     member = materialise(links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).distinct().withColumn("community", F.col("id")), "members-0")
-    total = links.agg(F.sum("w")).first()[0]
+    total = total or links.agg(F.sum("w")).first()[0]
     if not total:
         return member
     for level in range(1, levels + 1):
