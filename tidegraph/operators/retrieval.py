@@ -28,7 +28,7 @@ MAX_TERMS = 10_000
 
 @dataclass(frozen=True)
 class Occurrences:
-    """What one scan of the documents keeps for the queries: (id, dl, hits) of documents with a query word, and two sums."""
+    """What one scan of the documents keeps for the queries: (id, dl, term, tf) of their query words, and two sums."""
 
     rows: DataFrame
     terms: DataFrame  #: (query_id, term, qn)
@@ -40,17 +40,19 @@ def occurrences(docs: DataFrame, queries: DataFrame) -> Occurrences:
     """Query words in docs (id, text) for queries (query_id, text), read in one scan; lengths are observed on the way."""
     spark = docs.sparkSession
     q = queries.select("query_id", F.explode(words("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    few = [r["term"] for r in q.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    asked = q.limit(MAX_TERMS + 1).collect()
     seen = Observation()
     split = docs.select("id", words("text").alias("w")).where("w IS NOT NULL").observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.size("w")).alias("total"))
-    if len(few) <= MAX_TERMS:
-        q = spark.createDataFrame(q.toPandas(), q.schema) if few else q
-        hits = split.select("id", F.size("w").alias("dl"), F.filter("w", lambda w: w.isin(few) if few else F.lit(False)).alias("hits"))
+    if len(asked) <= MAX_TERMS:
+        q, few = spark.createDataFrame(asked, q.schema), sorted({r["term"] for r in asked})
+        held = split.select("id", F.size("w").alias("dl"), F.filter("w", lambda w: w.isin(few) if few else F.lit(False)).alias("hits")).where(F.size("hits") > 0)
+        each = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("term"), F.size(F.filter("hits", lambda x: x == t)).alias("tf")))
+        hits = held.select("id", "dl", F.inline(each))
     else:
         q = materialise(q, "query-terms")
         each = split.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-        hits = each.groupBy("id", "dl").agg(F.collect_list("term").alias("hits"))
-    rows = materialise(hits.where(F.size("hits") > 0), "occurrences")
+        hits = each.groupBy("id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
+    rows = materialise(hits, "occurrences")
     n = seen.get["n"]
     return Occurrences(rows, q, n, max((seen.get["total"] or 0) / n if n else 0.0, 1.0))
 
@@ -62,19 +64,18 @@ def bm25(docs: DataFrame | None, queries: DataFrame | None, top_k: int | None =
     row. A word that stands twice in the query counts twice.
     """
     o = found or occurrences(docs, queries)
-    tf = o.rows.select("id", "dl", F.explode("hits").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = o.rows.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = o.rows.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(o.documents) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / o.mean))
-    raw = tf.join(df, "term").join(o.terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("qn") * weight).alias("raw")).where("raw > 0")
+    raw = o.rows.join(df.join(o.terms, "term"), "term").groupBy("query_id", "id").agg(F.sum(F.col("qn") * weight).alias("raw")).where("raw > 0")
     best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
     return _ranked(raw.join(best, "query_id").select("query_id", "id", (F.col("raw") / F.col("best")).alias("score")), top_k)
 
 
 def density(found: Occurrences, top_k: int | None = 10) -> DataFrame:
     """(query_id, id, score, rank): share of a document's words that are words of the query."""
-    hit = found.rows.select("id", "dl", F.explode("hits").alias("term")).join(found.terms.select("query_id", "term"), "term")
-    return _ranked(hit.groupBy("query_id", "id").agg((F.count("*") / F.max("dl")).alias("score")), top_k)
+    hit = found.rows.join(found.terms.select("query_id", "term"), "term")
+    return _ranked(hit.groupBy("query_id", "id").agg((F.sum("tf") / F.max("dl")).alias("score")), top_k)
 
 
 def fuse(*lists: DataFrame, k: int = 60, top_k: int | None = 10) -> DataFrame:
