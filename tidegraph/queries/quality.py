@@ -72,6 +72,10 @@ def _valid_sql() -> str:
 
 _REAL = "(moment IS NOT NULL AND (moment = '' OR (length(moment) = 10 AND try_strptime(moment, '%Y-%m-%d') IS NOT NULL) OR (length(moment) = 20 AND try_strptime(moment, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL)))"
 
+#: The first fields of a valid row hold no comma and no quote mark of their own.
+_AT = lambda i: f"trim(string_split(raw_line, ',')[{i}], ' \"' || chr(9))"
+_OF = lambda kind, i: f"CASE WHEN record_kind = '{kind}' THEN {_AT(i)} END"
+
 _REFS = """
 refs AS (
   SELECT 'relationship_requests' AS child_table, 'source_id' AS field_name, CAST(request_id AS VARCHAR) AS record_id, source_id AS k, requested_at AS used_at FROM relationship_requests WHERE source_id IS NOT NULL
@@ -92,6 +96,7 @@ QUERIES = {"p2_found": p2_found, "p2_reasons": p2_reasons, "p2_loaded": p2_loade
 
 ORACLES = {
     "p2_found": f"SELECT DISTINCT line_id FROM ({_valid_sql()}) WHERE NOT {_REAL}",
+    "p2_loaded": f"SELECT line_id, {_AT(1)} AS id, {_OF('node', 2)} AS labels, {_OF('edge', 2)} AS type, {_OF('edge', 3)} AS source_id, {_OF('edge', 4)} AS target_id FROM ({_valid_sql()}) WHERE {_REAL}",
     "p5_found": f"WITH {_REFS} SELECT DISTINCT child_table, field_name, record_id FROM dead",
     "p5_counts": f"WITH {_REFS} SELECT child_table, field_name, strftime(used_at, '%Y-%m') AS month, CASE WHEN missing THEN 'missing' ELSE 'not_alive' END AS reason, count(*) AS orphans FROM dead GROUP BY ALL",
 }
