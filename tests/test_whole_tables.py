@@ -56,7 +56,9 @@ def test_joins_of_names_against_all_pairs(spark):
     pairs = list(itertools.combinations(names, 2))
     near = lambda a, b: 1 - edit(a, b) / max(len(a), len(b))
     pick = lambda found: {(r.a, r.b): round(r.score, 9) for r in found.collect()}
-    for t in (0.8, 0.85, 0.9):
+    with pytest.raises(ValueError):
+        R.close_by_edits(df, 0.8)
+    for t in (0.85, 0.9):
         assert pick(R.close_by_edits(df, t)) == {p: round(near(*p), 9) for p in pairs if near(*p) >= t - 1e-12}
         assert pick(R.close_by_trigrams(df, t)) == {p: round(R._cosine(*p), 9) for p in pairs if min(map(len, p)) > 2 and R._cosine(*p) >= t - 1e-9}
     both = {p: round(0.6 * near(*p) + 0.4 * R._cosine(*p), 9) for p in pairs}
