@@ -25,6 +25,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from tidegraph.functions.text import entity_name, fuzzy_similarity, jaro_winkler, levenshtein_similarity
+from tidegraph.operators import alike
 from tidegraph.operators.algorithms import connected_components
 from tidegraph.plans import skew
 from tidegraph.plans.scratch import materialise
@@ -32,6 +33,8 @@ from tidegraph.plans.scratch import materialise
 #: Names in a block, rows of a block bounded at a time, columns for letters and for trigrams.
 BLOCK, STRIP, LETTERS, GRAMS = 2000, 256, 256, 512
 SLACK = 1e-5
+#: Names in a block that is compared as bits.
+NAMES = 8192
 
 
 class _Block:
@@ -138,6 +141,40 @@ def candidates(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     return _compared(blocks, blocks, threshold, True, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _wanting(rule: alike.Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                p, q, xs, ys = (batch.column(c)[r].as_py() for c in ("x", "y", "xs", "ys"))
+                x = alike.Block(xs)
+                y = x if p == q else alike.Block(ys)
+                for i, j, score in alike.wanted(x, y, p == q, rule):
+                    pairs = [sorted((x.names[a], y.names[b])) for a, b in zip(i.tolist(), j.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in pairs], pa.string()), pa.array([v[1] for v in pairs], pa.string()), pa.array(score)], names=["a", "b", "score"])
+
+    return run
+
+
+def _pairs(names: DataFrame, rule: alike.Rule) -> DataFrame:
+    """(a, b, score), a < b: all pairs of distinct names (norm) that the rule wants, found block by block within the tasks.
+
+    Only blocks are shuffled, each as often as there are blocks; no pair is, before it
+    is known to be wanted.
+    """
+    blocks, n = _named_blocks(names.where("norm <> ''"))
+    x = blocks.select(F.col("block").alias("x"), F.col("names").alias("xs"), F.explode(F.sequence("block", F.lit(n - 1).cast("bigint"))).alias("y"))
+    both = x.join(blocks.select(F.col("block").alias("y"), F.col("names").alias("ys")), "y")
+    return both.repartition(min(n * (n + 1) // 2, 4096)).mapInArrow(_wanting(rule), "a string, b string, score double")
+
+
+def _named_blocks(names: DataFrame) -> tuple[DataFrame, int]:
+    """(block, names) of distinct names (norm), and the number of blocks: at least eight where there are names for them."""
+    names = materialise(names, "names")
+    n = names.count()
+    many = max(-(-n // NAMES), min(8, -(-n // 250)), 1)
+    return names.groupBy(F.pmod(F.xxhash64("norm"), F.lit(many)).alias("block")).agg(F.collect_list("norm").alias("names")), many
+
+
 def _grams(s: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for j in range(len(s) - 2):
@@ -233,21 +270,8 @@ def close_by_edits(names: DataFrame, least: float = 0.85) -> DataFrame:
 
 
 def close_by_trigrams(names: DataFrame, least: float = 0.8) -> DataFrame:
-    """(a, b, score): all pairs of distinct names (norm) whose trigram cosine is ``least`` or more.
-
-    A name's prefix ends where the trigrams behind it are too light to reach the
-    threshold by themselves; two names that reach it share a gram of both prefixes.
-    """
-    grams = _grams_of(names)
-    whole = F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("norm"))
-    behind = F.sum(F.col("n") * F.col("n")).over(_rarest_first().rowsBetween(0, Window.unboundedFollowing))
-    prefix = grams.withColumns({"w": whole, "b": behind}).where(F.col("b") >= F.col("w") * (least * least) * (1 - 1e-12)).select("norm", "gram")
-    pairs = materialise(_sharing(prefix, prefix, F.col("a.norm") < F.col("b.norm")).distinct(), "trigram-pairs")
-    weight = materialise(grams.groupBy("norm").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm2")), "trigram-norms")
-    one = lambda c, n: grams.select(F.col("norm").alias(c), "gram", F.col("n").alias(n))
-    dot = pairs.join(one("a", "x"), "a").join(one("b", "y"), ["b", "gram"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    both = dot.join(weight.select(F.col("norm").alias("a"), F.col("norm2").alias("wa")), "a").join(weight.select(F.col("norm").alias("b"), F.col("norm2").alias("wb")), "b")
-    return both.select("a", "b", (F.col("dot") / (F.col("wa") * F.col("wb"))).alias("score")).where(F.col("score") >= least - 1e-9)
+    """(a, b, score): all pairs of distinct names (norm) whose trigram cosine is ``least`` or more."""
+    return _pairs(names, alike.Rule(cosine=least))
 
 
 def hybrid_pairs(names: DataFrame, least: float = 0.85, weight: float = 0.6) -> DataFrame:
