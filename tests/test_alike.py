@@ -71,3 +71,9 @@ def test_trigram_pairs_write_names_only(spark, written):
     df, n = endings(spark)
     R.close_by_trigrams(df, 0.8).collect()
     assert written == [n]
+
+
+def test_edit_pairs_write_names_only(spark, written):
+    df, n = endings(spark)
+    R.close_by_edits(df, 0.85).collect()
+    assert written == [n]

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -27,7 +27,6 @@ from pyspark.sql.types import DoubleType
 from tidegraph.functions.text import entity_name, fuzzy_similarity, jaro_winkler, levenshtein_similarity
 from tidegraph.operators import alike
 from tidegraph.operators.algorithms import connected_components
-from tidegraph.plans import skew
 from tidegraph.plans.scratch import materialise
 
 #: Names in a block, rows of a block bounded at a time, columns for letters and for trigrams.
@@ -209,64 +208,11 @@ def decide(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     return s.select("a", "b", score.alias("score"), method.alias("method")).where(F.col("score") >= threshold)
 
 
-def _grams_of(names: DataFrame) -> DataFrame:
-    """(norm, gram, n, f): trigrams of each name with their number in it, and the number of names that have them."""
-    size = F.length("norm") - 2
-    each = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(F.col("norm"), i, F.lit(3)))
-    grams = materialise(names.where(size > 0).select("norm", F.explode(each).alias("gram")).groupBy("norm", "gram").agg(F.count("*").alias("n")), "grams")
-    return grams.join(grams.groupBy("gram").agg(F.count("*").alias("f")), "gram").select("norm", "gram", "n", "f")
-
-
-def _rarest_first() -> Window:
-    return Window.partitionBy("norm").orderBy("f", "gram")
-
-
-#: Rows of one gram on the left side of a task, and pairs that a task is meant to make.
-GRAM_ROWS, TASK_PAIRS = 2_000, 200_000
-
-
-def _sharing(left: DataFrame, right: DataFrame, close: Column) -> DataFrame:
-    """Pairs (a, b) of names of ``left`` and ``right`` (norm, gram, size) that share a gram, once per gram.
-
-    The tables are small beside the pairs they make, so the number of tasks follows
-    the pairs; a gram of many names is salted.
-    """
-    left, right = materialise(left, "prefixes"), materialise(right, "grams")
-    n = lambda df, c: df.groupBy("gram").agg(F.count("*").alias(c))
-    work = n(left, "n").join(n(right, "m"), "gram").agg(F.sum(F.col("n") * F.col("m")).alias("w")).first()["w"] or 0
-    hot = skew.hot_keys(n(left, "n"), ["gram"], "n", GRAM_ROWS)
-    tasks = max(1, min(100_000, -(-work // TASK_PAIRS)))
-    a = skew.spread(left, hot, ["gram"], F.col("norm")).repartition(tasks, "gram", "_salt").alias("a")
-    b = skew.repeat(right, hot, ["gram"]).repartition(tasks, "gram", "_salt").alias("b")
-    same = (F.col("a.gram") == F.col("b.gram")) & (F.col("a._salt") == F.col("b._salt"))
-    return a.hint("shuffle_merge").join(b, same & close).select(F.col("a.norm").alias("a"), F.col("b.norm").alias("b"))
-
-
 def close_by_edits(names: DataFrame, least: float = 0.85) -> DataFrame:
-    """(a, b, score): all pairs of distinct names (norm) whose Levenshtein similarity is ``least`` or more.
-
-    ``k`` edits spoil at most ``k`` of ``k + 1`` trigrams that don't overlap, so the
-    longer of two names within ``k`` edits has one of the ``k + 1`` rarest that the
-    shorter is cut into. ``k`` follows from the threshold and the length; a threshold
-    at which some length has fewer trigrams than that is refused, so the join is
-    complete, while frequent endings are looked up only where a name has too few rare
-    ones.
-    """
+    """(a, b, score): all pairs of distinct names (norm) whose Levenshtein similarity is ``least`` or more; thresholds below 0.84 are refused."""
     if not least <= 1 or any(size // 3 <= int(size * (1 - least) / least + 1e-9) for size in range(3, 300)):
         raise ValueError("names can't be cut into enough trigrams for this similarity")
-    grams = _grams_of(names)
-    size = F.length("norm")
-    # The longer name has at most size / least letters, so k is at most this.
-    k = F.floor(size * ((1 - least) / least) + 1e-9)
-    cells = F.transform(F.sequence(F.lit(0), F.floor(size / 3).cast("int") - 1), lambda i: F.substr(F.col("norm"), 3 * i + 1, F.lit(3)))
-    cut = names.where(size > 2).select("norm", F.posexplode(cells).alias("i", "gram")).join(grams.select("gram", "f").distinct(), "gram")
-    rarest = Window.partitionBy("norm").orderBy("f", "i")
-    left = cut.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= k + 1).select("norm", "gram", size.alias("size")).distinct()
-    longer = (F.col("b.size") > F.col("a.size")) | (F.col("b.size") == F.col("a.size")) & (F.col("b.norm") > F.col("a.norm"))
-    pairs = _sharing(left, grams.select("norm", "gram", size.alias("size")), longer & (F.col("b.size") * least <= F.col("a.size") + 1e-9))
-    most = F.floor((1 - least) * F.greatest(F.length("a"), F.length("b")) + 1e-9).cast("int")
-    near = pairs.withColumn("d", F.levenshtein("a", "b")).where(F.col("d") <= most)  # verified before pairs are shuffled
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (1 - F.col("d") / F.greatest(F.length("a"), F.length("b"))).alias("score")).distinct()
+    return _pairs(names, alike.Rule(edits=least))
 
 
 def close_by_trigrams(names: DataFrame, least: float = 0.8) -> DataFrame:
