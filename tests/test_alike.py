@@ -77,3 +77,9 @@ def test_edit_pairs_write_names_only(spark, written):
     df, n = endings(spark)
     R.close_by_edits(df, 0.85).collect()
     assert written == [n]
+
+
+def test_hybrid_pairs_write_names_only(spark, written):
+    df, n = endings(spark)
+    R.hybrid_pairs(df, 0.85).collect()
+    assert written == [n]

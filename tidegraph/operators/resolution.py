@@ -221,13 +221,8 @@ def close_by_trigrams(names: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def hybrid_pairs(names: DataFrame, least: float = 0.85, weight: float = 0.6) -> DataFrame:
-    """(a, b, score): all pairs of distinct names (norm) whose weighted Levenshtein and trigram similarity is ``least`` or more.
-
-    One of the two similarities must be ``least`` or more, so the pairs that either
-    join finds are all there are.
-    """
-    near = close_by_edits(names, least).select("a", "b").unionByName(close_by_trigrams(names, least).select("a", "b")).distinct()
-    return near.withColumn("grams", trigram_cosine("a", "b")).select("a", "b", _hybrid("a", "b", "grams", weight).alias("score")).where(F.col("score") >= least - 1e-9)
+    """(a, b, score): all pairs of distinct names (norm) whose weighted Levenshtein and trigram similarity is ``least`` or more."""
+    return _pairs(names, alike.Rule(hybrid=least, weight=weight))
 
 
 def resolve(names: DataFrame, threshold: float = 0.85) -> DataFrame:
