@@ -7,6 +7,7 @@ import pytest
 from tidegraph.functions.text import jaro_winkler
 from tidegraph.operators import alike
 from tidegraph.operators import resolution as R
+from tidegraph.queries import text as Q
 
 
 def spellings(n):
@@ -83,3 +84,10 @@ def test_hybrid_pairs_write_names_only(spark, written):
     df, n = endings(spark)
     R.hybrid_pairs(df, 0.85).collect()
     assert written == [n]
+
+
+def test_jaro_pairs_write_names_only(spark, written, tmp_path):
+    df, n = endings(spark)
+    df.selectExpr("norm AS name_en").write.parquet(f"{tmp_path}/organizations.parquet")
+    Q.jaro_pairs(spark, str(tmp_path)).collect()
+    assert written == [n]

@@ -220,6 +220,11 @@ def close_by_trigrams(names: DataFrame, least: float = 0.8) -> DataFrame:
     return _pairs(names, alike.Rule(cosine=least))
 
 
+def close_by_either(names: DataFrame, edits: float = 0.85, cosine: float = 0.8) -> DataFrame:
+    """(a, b): all pairs of distinct names (norm) that are close by Levenshtein or by trigrams."""
+    return _pairs(names, alike.Rule(edits=edits, cosine=cosine)).select("a", "b")
+
+
 def hybrid_pairs(names: DataFrame, least: float = 0.85, weight: float = 0.6) -> DataFrame:
     """(a, b, score): all pairs of distinct names (norm) whose weighted Levenshtein and trigram similarity is ``least`` or more."""
     return _pairs(names, alike.Rule(hybrid=least, weight=weight))

@@ -289,8 +289,7 @@ def trigram_cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _close(spark: SparkSession, d: str) -> DataFrame:
-    n = _names(spark, d)
-    return resolution.close_by_edits(n, 0.85).select("a", "b").unionByName(resolution.close_by_trigrams(n, 0.8).select("a", "b")).distinct()
+    return resolution.close_by_either(_names(spark, d), 0.85, 0.8)
 
 
 @query()  # the engine at hand floors half transpositions, so tests compare with a plain computation
