@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pytest
 
+from tidegraph.functions import text as T
 from tidegraph.functions.text import jaro_winkler
 from tidegraph.operators import alike
 from tidegraph.operators import resolution as R
@@ -91,3 +92,12 @@ def test_jaro_pairs_write_names_only(spark, written, tmp_path):
     df.selectExpr("norm AS name_en").write.parquet(f"{tmp_path}/organizations.parquet")
     Q.jaro_pairs(spark, str(tmp_path)).collect()
     assert written == [n]
+
+
+def test_fuzzy_pairs_take_the_cosine_of_counted_trigrams(spark, written, tmp_path, monkeypatch):
+    """The column function takes milliseconds a pair."""
+    monkeypatch.setattr(T, "ngram_cosine", None)
+    spark.createDataFrame([("hanbit shipping",), ("hanbit shiping",)], "name_en string").write.parquet(f"{tmp_path}/organizations.parquet")
+    (row,) = Q.fuzzy_pairs(spark, str(tmp_path)).collect()
+    want = 0.6 * (1 - 1 / 15) + 0.4 * R._cosine("hanbit shiping", "hanbit shipping")
+    assert row.hybrid == pytest.approx(want, abs=1e-5)

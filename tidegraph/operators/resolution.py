@@ -195,13 +195,14 @@ def trigram_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([_cosine(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _hybrid(a: str, b: str, grams: str, weight: float = 0.6):
+def hybrid(a: str, b: str, grams: str, weight: float = 0.6):
+    """The weighted similarity of two columns whose trigram cosine is in a third."""
     return weight * levenshtein_similarity(F.col(a), F.col(b)) + (1 - weight) * F.col(grams)
 
 
 def decide(pairs: DataFrame, threshold: float = 0.85) -> DataFrame:
     """Pairs (a, b) of normalised names that match, with score and method."""
-    h = pairs.withColumn("grams", trigram_cosine("a", "b")).withColumn("hybrid", _hybrid("a", "b", "grams"))
+    h = pairs.withColumn("grams", trigram_cosine("a", "b")).withColumn("hybrid", hybrid("a", "b", "grams"))
     s = h.withColumn("fuzzy", F.when(F.col("hybrid") >= threshold, F.lit(0.0)).otherwise(fuzzy_similarity("a", "b")))
     method = F.when(F.col("a") == F.col("b"), "exact").when(F.col("hybrid") >= threshold, "hybrid").when(F.col("fuzzy") >= F.col("grams"), "fuzzy").otherwise("embedding")
     score = F.when(F.col("hybrid") >= threshold, F.col("hybrid")).otherwise(F.greatest("fuzzy", "grams"))
@@ -249,7 +250,7 @@ def best_matches(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.7
     pairs = _compared(_blocks(qn, "asked"), _blocks(vn, "vocabulary"), threshold, False, False).select(F.col("a").alias("qn"), F.col("b").alias("vn"))
     equal = qn.join(vn, "norm").select(F.col("norm").alias("qn"), F.col("norm").alias("vn"))  # equal names too short for trigrams
     pairs = materialise(pairs.unionByName(equal).distinct(), "candidates")
-    score = F.when(F.col("qn") == F.col("vn"), F.lit(1.0)).otherwise(_hybrid("qn", "vn", "grams"))
+    score = F.when(F.col("qn") == F.col("vn"), F.lit(1.0)).otherwise(hybrid("qn", "vn", "grams"))
     close = pairs.withColumn("grams", trigram_cosine("qn", "vn")).select("qn", "vn", F.round(score, 6).alias("score"), F.when(F.col("qn") == F.col("vn"), "exact").otherwise("hybrid").alias("method")).where(F.col("score") >= threshold)
     out = close.join(q.withColumnRenamed("norm", "qn"), "qn").join(v.withColumnRenamed("norm", "vn"), "vn").select("query", "name", "score", "method")
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "name")))

@@ -301,7 +301,8 @@ def jaro_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _close(spark, d).select("a", "b", F.round(T.fuzzy_similarity("a", "b"), 5).alias("fuzzy"), F.round(T.jaro_winkler_similarity("a", "b"), 5).alias("jaro_winkler"), F.round(T.hybrid_similarity(F.col("a"), F.col("b")), 5).alias("hybrid"))
+    scored = _close(spark, d).withColumn("grams", resolution.trigram_cosine("a", "b"))
+    return scored.select("a", "b", F.round(T.fuzzy_similarity("a", "b"), 5).alias("fuzzy"), F.round(T.jaro_winkler_similarity("a", "b"), 5).alias("jaro_winkler"), F.round(resolution.hybrid("a", "b", "grams"), 5).alias("hybrid"))
 
 
 @query(f"WITH {NAMES}, {ONE_BYTE}, {GRAMS}, h AS (SELECT x.norm AS a, y.norm AS b, 0.6::DOUBLE * ({LEVENSHTEIN}) + 0.4::DOUBLE * coalesce(c.score, 0) AS score FROM m x JOIN m y ON x.norm < y.norm LEFT JOIN c ON c.a = x.norm AND c.b = y.norm) SELECT a, b, round(score + 1e-9, 5) AS score FROM h WHERE score >= 0.85::DOUBLE - 1e-9")
