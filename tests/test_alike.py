@@ -101,3 +101,16 @@ def test_fuzzy_pairs_take_the_cosine_of_counted_trigrams(spark, written, tmp_pat
     (row,) = Q.fuzzy_pairs(spark, str(tmp_path)).collect()
     want = 0.6 * (1 - 1 / 15) + 0.4 * R._cosine("hanbit shiping", "hanbit shipping")
     assert row.hybrid == pytest.approx(want, abs=1e-5)
+
+
+def test_retrievers_are_compared_over_one_reading(spark, tmp_path, monkeypatch):
+    rows = [(1, "Harbour tug tug"), (2, "fire drill"), (3, "tug"), (4, "fire fire"), (5, None), (6, "radar mast")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    read, relevant = [], []
+    docs, measures = Q._docs, Q.retrieval.measures
+    monkeypatch.setattr(Q, "_docs", lambda s, d: read.append(d) or docs(s, d))
+    monkeypatch.setattr(Q.retrieval, "measures", lambda found, rel: relevant.append(rel) or measures(found, rel))
+    assert {r.retriever for r in Q.compare_retrievers(spark, str(tmp_path)).collect()} == {"bm25", "density"}
+    assert len(read) == 1
+    # "fire" is asked twice, so it makes a document relevant by itself
+    assert {tuple(r) for r in relevant[0].select("query_id", "id").collect()} == {(1, 1), (2, 2), (2, 4), (3, 6)}

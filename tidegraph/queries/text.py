@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.functions import text as T
 from tidegraph.operators import resolution, retrieval, vectors
+from tidegraph.plans.scratch import materialise
 from tidegraph.sources import documents as docs
 
 QUERIES: dict = {}
@@ -146,8 +147,8 @@ def retrieval_measures(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def compare_retrievers(spark: SparkSession, d: str) -> DataFrame:
-    rel = _asked(spark).select("query_id", F.explode(T.words("text")).alias("term")).join(_docs(spark, d).select("id", F.explode(F.array_distinct(T.words("text"))).alias("term")), "term").groupBy("query_id", "id").agg(F.count("*").alias("n")).where("n >= 2")
     o = _found(spark, d)
+    rel = materialise(o.rows.join(o.terms, "term").groupBy("query_id", "id").agg(F.sum("qn").alias("n")).where("n >= 2").select("query_id", "id"), "relevant")
     a = retrieval.mean_measures(retrieval.measures(_bm25(o, 10), rel)).withColumn("retriever", F.lit("bm25"))
     b = retrieval.mean_measures(retrieval.measures(retrieval.density(o, 10), rel)).withColumn("retriever", F.lit("density"))
     return a.unionByName(b)
