@@ -140,15 +140,17 @@ def candidates(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     return _compared(blocks, blocks, threshold, True, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _wanting(rule: alike.Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _wanting(rule: alike.Rule, alone: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 p, q, xs, ys = (batch.column(c)[r].as_py() for c in ("x", "y", "xs", "ys"))
                 x = alike.Block(xs)
-                y = x if p == q else alike.Block(ys)
-                for i, j, score in alike.wanted(x, y, p == q, rule):
-                    pairs = [sorted((x.names[a], y.names[b])) for a, b in zip(i.tolist(), j.tolist())]
+                same = alone and p == q
+                y = x if same else alike.Block(ys)
+                for i, j, score in alike.wanted(x, y, same, rule):
+                    pairs = [(x.names[a], y.names[b]) for a, b in zip(i.tolist(), j.tolist())]
+                    pairs = [(min(v), max(v)) for v in pairs] if alone else pairs
                     yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in pairs], pa.string()), pa.array([v[1] for v in pairs], pa.string()), pa.array(score)], names=["a", "b", "score"])
 
     return run
@@ -163,7 +165,15 @@ def _pairs(names: DataFrame, rule: alike.Rule) -> DataFrame:
     blocks, n = _named_blocks(names.where("norm <> ''"))
     x = blocks.select(F.col("block").alias("x"), F.col("names").alias("xs"), F.explode(F.sequence("block", F.lit(n - 1).cast("bigint"))).alias("y"))
     both = x.join(blocks.select(F.col("block").alias("y"), F.col("names").alias("ys")), "y")
-    return both.repartition(min(n * (n + 1) // 2, 4096)).mapInArrow(_wanting(rule), "a string, b string, score double")
+    return both.repartition(min(n * (n + 1) // 2, 4096)).mapInArrow(_wanting(rule, True), "a string, b string, score double")
+
+
+def _across(left: DataFrame, right: DataFrame, rule: alike.Rule) -> DataFrame:
+    """(a, b, score): all pairs of distinct names (norm) of two tables that the rule wants."""
+    (xs, m), (ys, n) = _named_blocks(left), _named_blocks(right)
+    x = xs.select(F.col("block").alias("x"), F.col("names").alias("xs"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("y"))
+    both = x.join(ys.select(F.col("block").alias("y"), F.col("names").alias("ys")), "y")
+    return both.repartition(min(m * n, 4096)).mapInArrow(_wanting(rule, False), "a string, b string, score double")
 
 
 def _named_blocks(names: DataFrame) -> tuple[DataFrame, int]:
@@ -247,7 +257,7 @@ def best_matches(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.7
     q = asked.select(F.col("name").alias("query"), entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
     v = vocabulary.select("name", entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
     qn, vn = q.select("norm").distinct(), v.select("norm").distinct()
-    pairs = _compared(_blocks(qn, "asked"), _blocks(vn, "vocabulary"), threshold, False, False).select(F.col("a").alias("qn"), F.col("b").alias("vn"))
+    pairs = _across(qn, vn, alike.Rule(hybrid=threshold - 1e-6)).select(F.col("a").alias("qn"), F.col("b").alias("vn"))  # scores are rounded below
     equal = qn.join(vn, "norm").select(F.col("norm").alias("qn"), F.col("norm").alias("vn"))  # equal names too short for trigrams
     pairs = materialise(pairs.unionByName(equal).distinct(), "candidates")
     score = F.when(F.col("qn") == F.col("vn"), F.lit(1.0)).otherwise(hybrid("qn", "vn", "grams"))
