@@ -49,6 +49,24 @@ def test_all_pairs_at_the_threshold_are_linked(spark):
     assert resolution.resolve(df.limit(0)).count() == 0
 
 
+def test_groups_are_those_of_all_pairs_that_match(spark, monkeypatch):
+    """No pair within a group is decided: neighbours, a sample and what is outside the largest group link all that all pairs link."""
+    ns = [*names(110), "x" * 70 + "y", "x" * 70]
+    df = spark.createDataFrame([*enumerate(ns), (-1, "Ltd."), (-2, None)], "id long, name string")
+    root = {n: n for n in [*ns, ""]}
+    for r in resolution.decide(resolution.candidates(df)).collect():
+        a, b = sorted((root[r.a], root[r.b]))
+        root = {k: a if v == b else v for k, v in root.items()}
+    monkeypatch.setattr(resolution, "decide", None)  # before, every pair that may match was written and decided
+    for sizes, edges in [((64, (16, 32)), 1000), ((64, (8,)), 0)]:
+        monkeypatch.setattr(resolution, "NEIGHBOURS", sizes[0])
+        monkeypatch.setattr(resolution, "SAMPLES", sizes[1])
+        monkeypatch.setattr(resolution, "NAMES", 64)  # several blocks of each kind
+        monkeypatch.setattr(resolution, "EDGES", edges)
+        got = {r.id: r.group for r in resolution.resolve(df).collect()}
+        assert got == {-1: "", **{i: root[n] for i, n in enumerate(ns)}}
+
+
 def test_best_matches_are_complete(spark):
     ns = names(60)
     asked, known = ns[::2], ns[1::3] + ["ab"]

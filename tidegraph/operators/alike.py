@@ -71,6 +71,7 @@ class Rule:
     hybrid: float | None = None
     fuzzy: float | None = None  #: the greater of difflib's ratio and Jaro-Winkler
     weight: float = 0.6
+    slack: float = 1e-9  #: how far edits, cosine and hybrid may fall short, for engines that round otherwise
 
 
 def _runs(rows: np.ndarray) -> np.ndarray:
@@ -384,6 +385,176 @@ def wanted(x: Block, y: Block, same: bool, rule: Rule, linked: bool = False) ->
                 yield got
 
 
+class _Linking:
+    """Pairs of two blocks that may reach the threshold of difflib or Jaro-Winkler, or of edits and trigrams, and have two labels.
+
+    A pair that is left out by the bits is settled by a few machine words. What is left
+    is bounded by the longest common subsequence: letters that Jaro matches but no
+    common subsequence holds stand at other places in the two, and count as transposed.
+    """
+
+    def __init__(self, x: Block, y: Block, rule: Rule):
+        self.x, self.y, self.rule = x, y, rule
+        self.alphabet = np.unique(np.concatenate([np.unique(x.codes), np.unique(y.codes)]))
+        self.cx = np.searchsorted(self.alphabet, x.codes).astype(np.int64)
+        self.cy = np.ascontiguousarray(np.searchsorted(self.alphabet, y.codes).astype(np.int64).T)
+        self.blank = int(self.alphabet[0] == 0)  # the code behind a name's end
+        (mine, x_kind), (others, y_kind) = (np.unique(np.stack([v.size, v.types, v.square]), axis=1, return_inverse=True) for v in (x, y))
+        self.x_kind, self.y_kind = x_kind.ravel(), y_kind.ravel()
+        step = max(1, CELLS // 8 // max(1, others.shape[1]))
+        self.grams_least = np.concatenate([self._grams_least(mine[:, at : at + step, None], others[:, None]) for at in range(0, mine.shape[1], step)] or [np.zeros((0, 0), np.int64)])
+        (sizes, x_size), (other, y_size) = (np.unique(v.size, return_inverse=True) for v in (x, y))
+        self.x_size, self.y_size = x_size.ravel(), y_size.ravel()
+        la, lb, prefix = sizes[:, None, None], other[None, None], np.arange(5)[None, :, None]
+        most = np.minimum(la, lb) + 0 * prefix
+        least = _least(most, lambda c: _by_letters(c, c, la, lb, prefix, rule.fuzzy))
+        self.letters_least = np.where(least <= most, least, 999)
+        order = np.argsort(y.first[:, 0], kind="stable")
+        letters, at = np.unique(y.first[order, 0], return_index=True)
+        self.beginning = {x: (k, y.first[k]) for x, k in zip(letters.tolist(), np.split(order, at[1:]))}
+        self.grams_needed: dict[int, tuple] = {}
+        self.letters_needed: dict[tuple, tuple] = {}
+        n = len(y.names)
+        self.shared, self.count, self.total = np.empty(n, np.uint64), np.empty(n, np.uint8), np.empty(n, np.uint8)
+
+    def _common(self, bits_x: np.ndarray, bits_y: np.ndarray, i: int, lo: int, hi: int) -> np.ndarray:
+        t, c, s = self.total[lo:hi], self.count[lo:hi], self.shared[lo:hi]
+        for w in range(len(bits_x)):
+            np.bitwise_and(bits_y[w, lo:hi], bits_x[w, i], out=s)
+            np.bitwise_count(s, out=c if w else t)
+            if w:
+                t += c
+        return t
+
+    def _grams_least(self, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The least number of common kinds of trigrams of names (size, types, square), 999 where none suffices."""
+        most = np.minimum(mine[1], others[1])
+        least = _least(most, lambda s: _may(self.rule, *_bounds(s, np.minimum(mine[0], others[0]), mine, others)))
+        return np.where(least <= most, least, 999)
+
+    @staticmethod
+    def _needed(least: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """By place in y the common bits that are needed, and the places where so many are possible."""
+        fits = np.flatnonzero((least if least.ndim == 1 else least[-1]) < 999)
+        need = np.where(least == 999, 255, np.clip(least - lost, 0, 254)).astype(np.uint8)
+        return (need, int(fits[0]), int(fits[-1]) + 1) if len(fits) else (need, 0, 0)
+
+    def _grams(self, i: int) -> tuple[np.ndarray, int, int]:
+        kind = int(self.x_kind[i])
+        if kind not in self.grams_needed:
+            self.grams_needed[kind] = self._needed(self.grams_least[kind][self.y_kind], self.y.narrow_rest)
+        return self.grams_needed[kind]
+
+    def _letters(self, i: int) -> tuple[np.ndarray, int, int]:
+        """By the number of equal first letters and place in y."""
+        size, rest = int(self.x_size[i]), int(self.x.letters_rest[i])
+        if (size, rest) not in self.letters_needed:
+            self.letters_needed[size, rest] = self._needed(self.letters_least[size][:, self.y_size], np.minimum(rest, self.y.letters_rest))
+        return self.letters_needed[size, rest]
+
+    def _row(self, i: int, lo: int, other: np.ndarray) -> np.ndarray:
+        """Places in y, from ``lo`` on, that may match name i; ``other``: whether the label is another."""
+        x, y = self.x, self.y
+        hit = np.zeros(len(y.names), bool)
+        need, a, b = self._grams(i)
+        a = max(a, lo)
+        if a < b:
+            np.greater_equal(self._common(x.narrow, y.narrow, i, a, b), need[a:b], out=hit[a:b])
+        need, a, b = self._letters(i)
+        a = max(a, lo)
+        if a < b:
+            t = self._common(x.letters, y.letters, i, a, b)
+            hit[a:b] |= t >= need[0, a:b]
+            near, first = self.beginning.get(int(x.first[i, 0]), (None, None))
+            if near is not None:
+                at, to = np.searchsorted(near, (a, b))
+                near, f = near[at:to], first[at:to] == x.first[i]
+                f &= x.first[i] > 0
+                for k in (1, 2, 3):
+                    f[:, k] &= f[:, k - 1]
+                hit[near] |= t[near - a] >= need[f.sum(axis=1), near]
+        hit &= other
+        return np.flatnonzero(hit)
+
+    def batches(self, same: bool, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Labels may change between batches, which begin small, so that names linked early are compared no more."""
+        shift, n = 0 if same else len(self.x.names), len(self.x.names)
+        held, held_i, held_j, most = 0, [], [], BATCH // 32
+        for i in range(n):
+            js = self._row(i, i + 1 if same else 0, label[shift:] != label[i])
+            if len(js):
+                held += len(js)
+                held_i.append(np.full(len(js), i))
+                held_j.append(js)
+            if held >= most or held and i == n - 1:
+                i_, j_ = np.concatenate(held_i), np.concatenate(held_j)
+                held, held_i, held_j, most = 0, [], [], min(BATCH, 2 * most)
+                for at in range(0, len(i_), BATCH):
+                    a, b = i_[at : at + BATCH], j_[at : at + BATCH]
+                    keep = label[a] != label[b + shift]
+                    yield self._near(a[keep], b[keep])
+
+    def _near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs whose longest common subsequence allows a match; names longer than a word are kept."""
+        x, y = self.x, self.y
+        short = (x.size[i] <= WORD) & (y.size[j] <= WORD)
+        keep, k = ~short, np.flatnonzero(short)
+        if len(k):
+            k = k[np.argsort(y.size[j[k]].astype(np.uint8), kind="stable")]
+            a, b = i[k], j[k]
+            la, lb = x.size[a], y.size[b]
+            common = self._subsequence(a, b)
+            letters = np.minimum(_count(x.letters[:, a] & y.letters[:, b]) + np.minimum(x.letters_rest[a], y.letters_rest[b]), np.minimum(la, lb))
+            prefix = np.logical_and.accumulate((x.first[a] == y.first[b]) & (x.first[a] > 0), axis=1).sum(axis=1)
+            ok = _by_letters(letters, common, la, lb, prefix, self.rule.fuzzy)
+            grams = np.minimum(_count(x.wide[:, a] & y.wide[:, b]) + np.minimum(x.wide_rest[a], y.wide_rest[b]), np.minimum(x.types[a], y.types[b]))
+            edits, cosine = _bounds(grams, common, (la, x.types[a], x.square[a]), (lb, y.types[b], y.square[b]))
+            keep[k] = ok | _may(self.rule, edits, cosine)
+        return i[keep], j[keep]
+
+    def _subsequence(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:  # by length of j
+        names, row = np.unique(i, return_inverse=True)
+        table = np.zeros((len(names), len(self.alphabet)), np.uint64)
+        at = np.arange(len(names))
+        for k in range(self.cx.shape[1]):
+            table[at, self.cx[names, k]] |= _ONE << np.uint64(k)
+        if self.blank:
+            table[:, 0] = 0
+        table, start, lb = table.ravel(), row.ravel() * len(self.alphabet), self.y.size[j]
+        v = np.full(len(i), _ALL[WORD])
+        for t in range(int(lb[-1])):
+            s = slice(int(np.searchsorted(lb, t, "right")), None)
+            w = v[s]
+            u = w & table[start[s] + self.cy[t][j[s]]]
+            v[s] = (w + u) | (w - u)
+        return np.bitwise_count(~v & _ALL[self.x.size[i]]).astype(np.int64)
+
+
+def _by_letters(letters, common, la, lb, prefix, least: float) -> np.ndarray:
+    """Whether difflib's ratio or Jaro-Winkler may reach ``least``, with at most so many common letters and so long a common subsequence.
+
+    Of m letters that Jaro matches, those at the same place in both orders are a common
+    subsequence, so at least m less its length are not. The sum is convex in m: the
+    greatest is at one of the ends.
+    """
+    jaro = lambda m: np.where(m > 0, (m / la + m / lb + 1 - np.maximum(m - common, 0) / 2 / np.maximum(m, 1)) / 3, 0.0)
+    most = np.maximum(jaro(letters), jaro(np.minimum(letters, common)))
+    return (most + 0.1 * prefix * (1 - most) >= least - SLACK) | (2 * common / (la + lb) >= least - SLACK)
+
+
+def linking(x: Block, y: Block, same: bool, rule: Rule, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches (i, j) of pairs that the rule wants and that link all labels which any such pair of the two blocks links.
+
+    ``label`` has those of x and then, unless it is the same block, of y; it is changed.
+    """
+    exact, search, shift = _Pairs(x, y), _Linking(x, y, rule), 0 if same else len(x.names)
+    for i, j in search.batches(same, label):
+        if len(i):
+            got = _spanning(label, _decided(x, y, exact, rule, i, j), shift)
+            if len(got[0]):
+                yield got[:2]
+
+
 def _spanning(label: np.ndarray, got: tuple, shift: int) -> tuple:
     """The pairs that link two labels, which become one."""
     up: dict[int, int] = {}
@@ -419,16 +590,16 @@ def _decided(x: Block, y: Block, exact: _Pairs, rule: Rule, i: np.ndarray, j: np
         k = np.flatnonzero(_may(Rule(rule.edits, None, rule.hybrid, weight=rule.weight), edits, cosine))
         edits[k] = 1 - exact.edits(i[k], j[k]) / np.maximum(la[k], lb[k])
         if rule.edits is not None:
-            score[k] = np.where(edits[k] >= rule.edits - 1e-9, edits[k], np.nan)
+            score[k] = np.where(edits[k] >= rule.edits - rule.slack, edits[k], np.nan)
         open_[k] = np.isnan(score[k]) & _may(rule, edits[k], cosine[k])
     if rule.cosine is not None or rule.hybrid is not None:
         k = np.flatnonzero(open_)
         cosine[k] = exact.cosine(i[k], j[k])
         if rule.hybrid is not None:
             both = rule.weight * edits[k] + (1 - rule.weight) * cosine[k]
-            score[k] = np.where(both >= rule.hybrid - 1e-9, both, np.nan)
+            score[k] = np.where(both >= rule.hybrid - rule.slack, both, np.nan)
         if rule.cosine is not None:
-            score[k] = np.where(np.isnan(score[k]) & (cosine[k] >= rule.cosine - 1e-9), cosine[k], score[k])
+            score[k] = np.where(np.isnan(score[k]) & (cosine[k] >= rule.cosine - rule.slack), cosine[k], score[k])
     if rule.fuzzy is not None:
         k = np.flatnonzero(np.isnan(score))
         near = exact.jaro_winkler(i[k], j[k])

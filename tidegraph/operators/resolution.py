@@ -1,143 +1,45 @@
 """Entity resolution by string similarity: candidates, decisions, groups with a canonical name.
 
 *Candidates.* Jaro-Winkler allows so much that no prefix or segment is sure to
-be shared, so all pairs of distinct names are looked at, as in the reference,
-block by block and without a cross join of rows: names are put into blocks of
-about ``BLOCK``, a task takes two blocks and bounds all their pairs from above
-by matrix products. Letters in common bound edit distance, Jaro and difflib,
-hashed trigrams the cosine (a collision only raises it). What passes is bounded
-again by the longest common subsequence, and by Jaro-Winkler itself; no pair at
-or above the threshold is left out. The work grows as the square of the names.
+be shared, so pairs of distinct names are compared block by block within the
+tasks, as bits (``operators/alike.py``), and none at or above the threshold is
+left out. For groups, only pairs of names that aren't linked yet need that.
 """
 
 from __future__ import annotations
 
-import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from tidegraph.functions.text import entity_name, fuzzy_similarity, jaro_winkler, levenshtein_similarity
+from tidegraph.functions.text import entity_name, fuzzy_similarity, levenshtein_similarity
 from tidegraph.operators import alike
 from tidegraph.operators.algorithms import connected_components
+from tidegraph.operators.unionfind import star_forest
 from tidegraph.plans.scratch import materialise
 
-#: Names in a block, rows of a block bounded at a time, columns for letters and for trigrams.
-BLOCK, STRIP, LETTERS, GRAMS = 2000, 256, 256, 512
-SLACK = 1e-5
-#: Names in a block that is compared as bits.
+#: Names in a block.
 NAMES = 8192
+#: Names that are compared with those beside them, and with a sample, before they are compared with all.
+NEIGHBOURS, SAMPLES = 512, (2048, 8192)
+#: Links whose groups are found within one task; more go over all tasks.
+EDGES = 1_000_000
 
 
-class _Block:
-    """Names as vectors: letters with their number of occurrence, trigrams, norms, lengths, first four letters."""
-
-    def __init__(self, names: list[str]):
-        n = len(names)
-        self.names = names
-        self.letters, self.grams = np.zeros((n, LETTERS), np.float32), np.zeros((n, GRAMS), np.float32)
-        self.norm, self.size, self.first = np.zeros(n, np.float32), np.array([len(s) for s in names], np.float32), np.zeros((n, 4), np.int32)
-        for i, s in enumerate(names):
-            seen: dict[str, int] = {}
-            for x in s:
-                k = seen[x] = seen.get(x, 0) + 1
-                self.letters[i, (ord(x) * 31 + k * 7919) % LETTERS] += 1
-            grams = _grams(s)
-            for x, k in grams.items():
-                self.grams[i, zlib.crc32(x.encode("utf-8", "surrogatepass")) % GRAMS] += k
-            self.norm[i] = sum(k * k for k in grams.values()) ** 0.5
-            for j, x in enumerate(s[:4]):
-                self.first[i, j] = ord(x)
-
-    def bounds(self, rows: slice, other: _Block) -> tuple[np.ndarray, np.ndarray]:
-        """Letters in common and trigram cosine of some names with all of the other block, neither too low."""
-        letters = np.minimum(self.letters[rows] @ other.letters.T, np.minimum(self.size[rows, None], other.size))
-        cosine = np.minimum(1, (self.grams[rows] @ other.grams.T) / np.maximum(self.norm[rows, None] * other.norm, np.float32(1e-6)))
-        return letters, cosine
-
-
-def _masks(a: str) -> dict[str, int]:
-    out: dict[str, int] = {}
-    for i, x in enumerate(a):
-        out[x] = out.get(x, 0) | 1 << i
-    return out
-
-
-def common_subsequence(masks: dict[str, int], size: int, b: str) -> int:
-    """Length of the longest common subsequence of ``b`` and the string of that size behind the masks."""
-    full = v = (1 << size) - 1
-    for x in b:
-        u = v & masks.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    return size - v.bit_count()
-
-
-def _possible(x: _Block, y: _Block, same: bool, threshold: float, fuzzy: bool, weight: float = 0.6) -> Iterator[tuple[str, str]]:
-    """Pairs that may reach the threshold: by the hybrid similarity, with ``fuzzy`` also by cosine, difflib or Jaro-Winkler."""
-    t = threshold - SLACK
-    for at in range(0, len(x.names), STRIP):
-        rows = slice(at, at + STRIP)
-        letters, cosine = x.bounds(rows, y)
-        la, lb = x.size[rows, None], y.size[None]
-        hit = weight * letters / np.maximum(la, lb) + (1 - weight) * cosine >= t
-        if fuzzy:
-            jaro = (letters / la + letters / lb + 1) / 3
-            prefix, alike = np.zeros(letters.shape, np.float32), np.ones(letters.shape, bool)
-            for k in range(4):
-                alike &= (x.first[rows, None, k] == y.first[None, :, k]) & (x.first[rows, None, k] > 0)
-                prefix += alike
-            winkler = jaro + prefix * np.float32(0.1) * (1 - jaro) >= t
-            hit |= winkler | (cosine >= t) | (2 * letters / (la + lb) >= t)
-        for i in np.flatnonzero(hit.any(axis=1)):
-            a = x.names[at + i]
-            masks = _masks(a)
-            for j in np.flatnonzero(hit[i]):
-                if same and j <= at + i:
-                    continue
-                b = y.names[j]
-                n, c = common_subsequence(masks, len(a), b), float(cosine[i, j])
-                if weight * n / max(len(a), len(b)) + (1 - weight) * c >= t or fuzzy and (c >= t or 2 * n / (len(a) + len(b)) >= t or winkler[i, j] and jaro_winkler(a, b) >= t):
-                    yield a, b
-
-
-def _comparing(threshold: float, fuzzy: bool, alone: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                p, q, xs, ys = (batch.column(c)[i].as_py() for c in ("x", "y", "xs", "ys"))
-                found = list(_possible(_Block(xs), _Block(ys), alone and p == q, threshold, fuzzy))
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], names=["a", "b"])
-
-    return run
-
-
-def _blocks(names: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """(block, names) of distinct names (norm), and the number of blocks."""
-    names = materialise(names, label)
-    n = names.count()
-    many = max(math.ceil(n / BLOCK), min(8, math.ceil(n / 250)), 1)
-    return names.groupBy(F.pmod(F.xxhash64("norm"), F.lit(many)).alias("block")).agg(F.collect_list("norm").alias("names")), many
-
-
-def _compared(left: tuple[DataFrame, int], right: tuple[DataFrame, int], threshold: float, fuzzy: bool, alone: bool) -> DataFrame:
-    (xs, m), (ys, n) = left, right
-    first = F.col("block") if alone else F.lit(0)
-    pairs = xs.select(F.col("block").alias("x"), F.col("names").alias("xs"), F.explode(F.sequence(first.cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("y"))
-    pairs = pairs.join(ys.select(F.col("block").alias("y"), F.col("names").alias("ys")), "y")
-    return pairs.repartition(min(m * n, 4096)).mapInArrow(_comparing(threshold, fuzzy, alone), "a string, b string")
+def candidates(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct normalised names (id, name): all that :func:`decide` accepts."""
+    return _pairs(names.select(entity_name(F.col("name")).alias("norm")).distinct(), _matching(threshold, 1e-9)).select("a", "b")
 
 
-def candidates(names: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct normalised names (id, name): all that :func:`decide` accepts, and some more."""
-    blocks = _blocks(names.select(entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct(), "names")
-    return _compared(blocks, blocks, threshold, True, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _matching(threshold: float, slack: float = 0.0) -> alike.Rule:
+    """What :func:`decide` accepts."""
+    return alike.Rule(cosine=threshold, hybrid=threshold, fuzzy=threshold, slack=slack)
 
 
 def _wanting(rule: alike.Rule, alone: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -176,6 +78,106 @@ def _across(left: DataFrame, right: DataFrame, rule: alike.Rule) -> DataFrame:
     return both.repartition(min(m * n, 4096)).mapInArrow(_wanting(rule, False), "a string, b string, score double")
 
 
+_LINK = "src string, dst string"
+
+
+def _linked_batches(xs: list[dict], ys: list[dict] | None, rule: alike.Rule) -> Iterator[pa.RecordBatch]:
+    """(src, dst) that link the groups of names (norm, group) of two lists, or of one, which a match links."""
+    x = alike.Block([v["norm"] for v in xs])
+    y = x if ys is None else alike.Block([v["norm"] for v in ys])
+    group = {v["norm"]: v["group"] for v in xs + (ys or [])}
+    number: dict[str, int] = {}
+    label = np.array([number.setdefault(group[s], len(number)) for s in x.names + ([] if ys is None else y.names)], np.int64)
+    for i, j in alike.linking(x, y, ys is None, rule, label):
+        yield pa.RecordBatch.from_arrays([pa.array([v.names[k] for k in at.tolist()], pa.string()) for v, at in ((x, i), (y, j))], names=["src", "dst"])
+
+
+def _linking(rule: alike.Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                p, q, xs, ys = (batch.column(c)[r].as_py() for c in ("x", "y", "xs", "ys"))
+                yield from _linked_batches(xs, None if p == q else ys, rule)
+
+    return run
+
+
+def _linking_neighbours(rule: alike.Rule) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, NEIGHBOURS):
+                yield from _linked_batches(batch.slice(at, NEIGHBOURS).to_pylist(), None, rule)
+
+    return run
+
+
+def _placed(names: DataFrame, n: int, first: int = 0) -> tuple[DataFrame, int]:
+    """(block, names) of n names (norm, group), blocks counted from ``first`` on, and the number behind the last."""
+    many = max(-(-n // NAMES), min(12, -(-n // 2000)), 1)
+    block = F.pmod(F.xxhash64("norm"), F.lit(many)) + first
+    return names.groupBy(block.alias("block")).agg(F.collect_list(F.struct("norm", "group")).alias("names")), first + many
+
+
+def _crossed(xs: DataFrame, ys: DataFrame, first: Column, last: int, tasks: int, rule: alike.Rule) -> DataFrame:
+    """(src, dst) that link groups, of blocks (block, names) with those numbered from ``first`` to ``last``."""
+    x = xs.select(F.col("block").alias("x"), F.col("names").alias("xs"), F.explode(F.sequence(first.cast("bigint"), F.lit(last).cast("bigint"))).alias("y"))
+    pairs = x.join(ys.select(F.col("block").alias("y"), F.col("names").alias("ys")), "y")
+    return pairs.repartition(min(tasks, 4096)).mapInArrow(_linking(rule), _LINK)
+
+
+def linked(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(norm, group): distinct names (norm) in groups linked by what :func:`decide` accepts, directly or through others; an empty name links nothing.
+
+    Within a group nothing is left to compare. So names that stand together in
+    alphabetical order are linked first, which Jaro-Winkler likes best, then all names
+    with a sample, so that most come into one group. Names outside the largest group
+    are then compared with each other, and those left with all that were in it: every
+    pair of two groups has been looked at.
+    """
+    rule = _matching(threshold)
+    groups = materialise(names.where("norm IS NOT NULL").select("norm", F.col("norm").alias("group")), "groups")
+    n = groups.count()
+
+    def joined(links: DataFrame) -> DataFrame:
+        edges = materialise(links, "links").unionByName(groups.where("norm <> `group`").select(F.col("norm").alias("src"), F.col("group").alias("dst")))
+        if edges.count() <= EDGES:
+            stars = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).coalesce(1).mapInArrow(star_forest(EDGES), "u string, v string")
+        else:
+            stars = connected_components(edges).select(F.col("id").alias("u"), F.col("component").alias("v"))
+        return materialise(groups.select("norm").join(stars.withColumnRenamed("u", "norm"), "norm", "left").select("norm", F.coalesce("v", "norm").alias("group")), "groups")
+
+    def outside(most: str) -> tuple[DataFrame, int]:
+        out = groups.where((F.col("group") != most) & (F.col("norm") != ""))
+        return out, out.count()
+
+    def compared(xs: DataFrame, m: int, ys: DataFrame, k: int) -> DataFrame:
+        xs, r = _placed(xs, m)
+        ys, last = _placed(ys, k, r)  # numbers of their own: equal ones stand for the same block
+        return joined(_crossed(xs, ys, F.lit(r), last - 1, r * (last - r), rule))
+
+    if n > NEIGHBOURS:
+        neighbours = groups.where("norm <> ''").repartitionByRange(max(12, -(-n // NAMES)), "norm").sortWithinPartitions("norm")
+        groups = joined(neighbours.mapInArrow(_linking_neighbours(rule), _LINK))
+    rest, m, known, most = groups.where("norm <> ''"), n, groups, None
+    for size in SAMPLES:
+        if 4 * size < m:
+            sample = known.where("norm <> ''").orderBy(F.xxhash64("norm", F.lit(1))).limit(size)
+            groups = compared(sample, size, rest, m)
+            (most,) = groups.groupBy("group").count().orderBy(F.col("count").desc(), "group").select("group").first()
+            known = groups.where((F.col("group") == most) & (F.col("norm") != ""))
+            rest, m = outside(most)
+    xs, r = _placed(rest, m)
+    groups = joined(_crossed(xs, xs, F.col("block"), r - 1, r * (r + 1) // 2, rule))
+    if most is None:
+        return groups
+    k, part = known.count(), F.pmod(F.xxhash64("norm", F.lit(2)), F.lit(8))
+    for some, share in ((part == 0, 1), (part > 0, 7)):
+        (most,) = groups.where(F.col("norm") == most).select("group").first()  # a group's name is one of its members
+        rest, m = outside(most)
+        groups = compared(rest, m, known.where(some).select("norm", F.lit(most).alias("group")), k * share // 8)
+    return groups
+
+
 def _named_blocks(names: DataFrame) -> tuple[DataFrame, int]:
     """(block, names) of distinct names (norm), and the number of blocks: at least eight where there are names for them."""
     names = materialise(names, "names")
@@ -243,11 +245,8 @@ def hybrid_pairs(names: DataFrame, least: float = 0.85, weight: float = 0.6) ->
 
 def resolve(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, name, group, canonical): names linked directly or through others; the canonical one is the longest, the first on a tie."""
-    matched = materialise(decide(materialise(candidates(names, threshold), "candidates"), threshold), "matched")
     n = names.select("id", "name", entity_name(F.col("name")).alias("norm")).where("norm IS NOT NULL")
-    edges = matched.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(n.select(F.col("norm").alias("src"), F.col("norm").alias("dst")).distinct())
-    groups = connected_components(edges)
-    g = n.join(groups.select(F.col("id").alias("norm"), F.col("component").alias("group")), "norm")
+    g = n.join(linked(n.select("norm").distinct(), threshold), "norm")
     best = g.groupBy("group").agg(F.min(F.struct(-F.length("name"), "id", "name")).alias("m"))
     return g.join(best, "group").select("id", "name", "group", F.col("m.name").alias("canonical"))
 
