@@ -122,3 +122,45 @@ def test_best_matches_write_only_pairs_that_match(spark, written):
     frame = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
     got = R.best_matches(frame(asked), frame(known)).count()
     assert written[-1] == got > 20  # before, pairs that may match were written
+
+
+@pytest.mark.parametrize("looked", [200_000, 50])
+def test_best_few_are_those_of_all_pairs(monkeypatch, looked):
+    monkeypatch.setattr(alike, "LOOKED", looked)
+    monkeypatch.setattr(alike, "HOT", 64)  # most trigrams are looked up, some are bits
+    names = spellings(300)
+    asked, known = names[::2] + ["ab", "x" * 300, "x" * 270 + "y" * 30], names[1::2] + names[::8] + ["ab", "cd", "x" * 300]
+    known = sorted(set(known))
+    mark = {s: str(sum(map(ord, s)) % 7) + s for s in known}
+    best = alike.Best(asked, 3, 0.7)
+    for at in range(0, len(known), 60):
+        best.meet(known[at : at + 60], [mark[s] for s in known[at : at + 60]])
+    got = {}
+    for a, b, score in zip(*best.result()):
+        got.setdefault(a, []).append((-score, mark[b], b))
+    tied = 0
+    for a in asked:
+        scores = {b: 1.0 if a == b else round(0.6 * (1 - alike.edits_of(a, b) / max(len(a), len(b))) + 0.4 * R._cosine(a, b), 6) for b in known}
+        want = sorted((-s, mark[b], b) for b, s in scores.items() if s >= 0.7)
+        tied += len(want) > 3 and want[2][0] == want[3][0]
+        assert sorted(got.get(a, [])) == want[:3], a
+    assert tied > 0 and sum(map(len, got.values())) > 200
+    with pytest.raises(ValueError):
+        alike.Best(asked, 3, 0.6)  # edits alone may reach it
+
+
+def test_best_names_are_found_without_all_pairs_that_match(spark, written, tmp_path, monkeypatch):
+    names = [n for n in spellings(80) if len(n) > 2]
+    asked = [*names[::2], "ab", "Ltd."]
+    known = [*names[1::2], *(n.upper() + " Ltd." for n in names[1::4]), *(n + " Inc." for n in names[1::4]), "AB", "cd", "", None]
+    frame = lambda x: spark.createDataFrame([(n,) for n in x], "name string")
+    want = {tuple(r) for r in R.best_matches(frame(asked), frame([n for n in known if n])).where("rank <= 3").collect()}
+    spark.createDataFrame([(n, "Organization") for n in asked], "target_name string, target_type string").write.parquet(f"{tmp_path}/extracted_relations.parquet")
+    frame(known).withColumnRenamed("name", "name_en").write.parquet(f"{tmp_path}/organizations.parquet")
+    monkeypatch.setattr(R, "_across", None)  # before, all pairs that match were written
+    monkeypatch.setattr(R, "ASKED", 16)
+    monkeypatch.setattr(R, "KNOWN", 16)  # several blocks of each kind
+    written.clear()
+    got = [tuple(r) for r in Q.best_name_matches(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) > 60 and set(got) == want
+    assert len(written) == 2 and max(written) <= len(known)

@@ -7,6 +7,11 @@ is settled by a few machine words. What passes is bounded again by wider sets of
 bits; edit distance, Jaro and the longest common subsequence of what is left are
 computed for many pairs at once, one machine word per name. Names of more than
 64 letters take the plain computations instead.
+
+If only the best few of each name are wanted (``Best``), a name's bar is its last
+of these so far. A pair that reaches it shares so many kinds of trigrams that one
+of the name's rarest is among them, so only names that have one of these are
+compared, as bits and then exactly.
 """
 
 from __future__ import annotations
@@ -611,3 +616,240 @@ def _decided(x: Block, y: Block, exact: _Pairs, rule: Rule, i: np.ndarray, j: np
         score[k] = np.where(ratio >= rule.fuzzy, ratio, np.nan)
     got = ~np.isnan(score)
     return i[got], j[got], score[got]
+
+
+#: Pairs that are bounded at a time, pairs whose edits are counted at a time, and pairs of a name that make its first bar.
+LOOKED, EDITED, TRIED = 200_000, 8192, 8
+#: Frequent trigrams of a block that are bits, and trigrams of a name that are looked up beyond those of which one is in common.
+HOT, MORE = 256, 3
+#: Scores are counted in millionths; the bounds know bars to so many of them.
+MILLION, LEVEL = 1_000_000, 5000
+
+
+def _cells(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, trigram) of all trigrams of each name, and whether it is the first of its kind there; of one name in a row, sorted."""
+    at, k = np.nonzero((b.trigrams > 0) & (b.size <= WORD)[:, None])
+    grams, shift = b.trigrams[at, k], np.uint64(21)
+    for i in np.flatnonzero(b.size > WORD):
+        code = np.array([ord(x) + 1 for x in b.names[i]], np.uint64)
+        more = np.sort((code[:-2] << (shift + shift)) | (code[1:-1] << shift) | code[2:])
+        at, grams = np.concatenate([at, np.full(len(more), i)]), np.concatenate([grams, more])
+    first = np.ones(len(at), bool)
+    first[1:] = (at[1:] != at[:-1]) | (grams[1:] != grams[:-1])
+    return at, grams, first
+
+
+def _kinds(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    kinds, of = np.unique(np.stack([b.size, b.types, b.square]), axis=1, return_inverse=True)
+    return kinds, of.ravel()
+
+
+class _Known(_Pairs):
+    """A block of names with the places of each trigram, and exact measures of pairs (its name, asked name)."""
+
+    def __init__(self, known: Block, asked: Block):
+        self.x, self.y = known, asked
+        seen = np.zeros(int(max(known.codes.max(initial=0), asked.codes.max(initial=0))) + 1, bool)
+        seen[known.codes], seen[0] = True, True
+        place = np.where(seen, np.cumsum(seen, dtype=np.int32) - 1, np.count_nonzero(seen)).astype(np.int32)
+        self.alphabet = np.append(np.flatnonzero(seen), len(seen))  # letters that no known name has are one
+        self.cx, self.cy = place[known.codes], place[asked.codes]
+        at, grams, first = _cells(known)
+        self.grams, of = np.unique(grams, return_inverse=True)
+        self.n = len(known.names)
+        self.keys = np.sort(of.ravel()[first] * self.n + at[first])  # by trigram, then place
+        self.start = np.searchsorted(self.keys, np.arange(len(self.grams) + 1) * self.n)
+        self.places = self.keys % max(self.n, 1)
+        self.kinds, self.kind = _kinds(known)
+        self.of = of.ravel()
+        # the most frequent trigrams as bits
+        often = np.diff(self.start)
+        hot = np.argsort(-often, kind="stable")[:HOT]
+        self.bit = np.full(len(self.grams), -1)
+        self.bit[hot] = np.arange(len(hot))
+        self.bits = np.zeros((self.n, HOT // WORD), np.uint64)
+        for b, g in enumerate(hot.tolist()):
+            self.bits[self.places[self.start[g] : self.start[g + 1]], b // WORD] |= _ONE << np.uint64(b % WORD)
+
+    @cached_property
+    def vocabulary(self) -> np.ndarray:
+        """Trigrams of the known names; others of the asked names count as a cell behind the last."""
+        self.gx = np.zeros(self.x.trigrams.shape, np.int32)
+        self.gx[(self.x.trigrams > 0) & (self.x.size <= WORD)[:, None]] = self.of[: np.count_nonzero(self.x.trigrams[self.x.size <= WORD])] + 1
+        self.gy = np.zeros(self.y.trigrams.shape, np.int32)
+        self.gy[self.y.trigrams > 0] = self.number(self.y.trigrams[self.y.trigrams > 0]) + 1
+        return np.arange(len(self.grams) + 1)
+
+    def number(self, grams: np.ndarray) -> np.ndarray:
+        """The numbers of trigrams, -1 for those that no known name has."""
+        if not len(self.grams):
+            return np.full(len(grams), -1)
+        k = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[k] == grams, k, -1)
+
+
+class Best:
+    """The ``most`` best by the hybrid measure that each name finds among known names, which come block by block.
+
+    Scores are rounded to millionths; of equal ones the name whose ``mark`` comes first is better.
+    """
+
+    def __init__(self, names: list[str], most: int, least: float, weight: float = 0.6):
+        if least <= max(weight, 1 - weight):
+            raise ValueError("a pair without a common trigram may reach this score")
+        self.asked, self.most, self.weight = Block(names), most, weight
+        at, grams, first = _cells(self.asked)
+        self.at, self.grams = at[first], grams[first]
+        self.kinds, self.kind = _kinds(self.asked)
+        self.bar = np.full(len(names), int(np.ceil(least * MILLION - 1e-3)))
+        self.untried = True
+        self.i, self.score = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.name, self.mark = np.empty(0, object), np.empty(0, object)
+
+    def meet(self, names: list[str], marks: list[str]) -> None:
+        """Compare with a block of known names that haven't come before."""
+        order = sorted(range(len(names)), key=lambda k: len(names[k]))
+        names, marks = [names[k] for k in order], [marks[k] for k in order]
+        y = _Known(Block(names), self.asked)
+        number = y.number(self.grams)
+        here = number >= 0
+        if self.untried:  # bars from some pairs, which are found again below
+            i, score = self._looked(y, number, here, True)[::2]
+            self._raise(np.concatenate([self.i, i]), np.concatenate([self.score, score]))
+            self.untried = False
+        i, j, score = self._looked(y, number, here, False)
+        equal = {s: k for k, s in enumerate(names) if len(s) < 3}
+        short = [(k, equal[s]) for k, s in enumerate(self.asked.names) if s in equal]
+        if short:
+            i, j = (np.concatenate([v, np.array(w)]) for v, w in zip((i, j), zip(*short)))
+            score = np.concatenate([score, np.full(len(short), MILLION)])
+        self.i, self.score = np.concatenate([self.i, i]), np.concatenate([self.score, score])
+        self.name = np.concatenate([self.name, np.array(names, object)[j]])
+        self.mark = np.concatenate([self.mark, np.array(marks, object)[j]])
+        self._keep()
+
+    def result(self) -> tuple[list[str], list[str], np.ndarray]:
+        """Asked names, known names and scores."""
+        return [self.asked.names[k] for k in self.i.tolist()], self.name.tolist(), self.score / MILLION
+
+    def _raise(self, i: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Set the bars; the order by name and score, and each one's place among its name's."""
+        order = np.lexsort((-score, i))
+        i, score = i[order], score[order]
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        last = nth == self.most - 1
+        self.bar[i[last]] = np.maximum(self.bar[i[last]], score[last])
+        return order, nth
+
+    def _keep(self) -> None:
+        order, nth = self._raise(self.i, self.score)
+        order = order[self.score[order] >= self.bar[self.i[order]]]
+        i = self.i[order]
+        begin = np.flatnonzero(np.diff(i, prepend=-1))
+        end = np.append(begin[1:], len(i))
+        keep = np.ones(len(i), bool)
+        for a, b in zip(begin[end - begin > self.most].tolist(), end[end - begin > self.most].tolist()):
+            own = order[a:b].tolist()
+            best = set(sorted(own, key=lambda k: (-self.score[k], self.mark[k]))[: self.most])
+            keep[a:b] = [k in best for k in own]
+        order = order[keep]
+        self.i, self.score, self.name, self.mark = (v[order] for v in (self.i, self.score, self.name, self.mark))
+
+    def _needs(self, y: _Known) -> tuple[np.ndarray, np.ndarray]:
+        """For each kind of asked name with its bar, by kind of known name, how many common kinds of trigrams are needed (255: none suffices); which one each name has."""
+        own, of = np.unique(np.stack([self.kind, self.bar // LEVEL]), axis=1, return_inverse=True)
+        need = np.empty((own.shape[1], y.kinds.shape[1]), np.uint8)
+        step = max(1, CELLS // 16 // max(1, y.kinds.shape[1]))
+        for at in range(0, len(need), step):
+            mine, level = self.kinds[:, own[0, at : at + step]][:, :, None], own[1, at : at + step, None] * (LEVEL / MILLION) - SLACK
+            most = np.minimum(mine[1], y.kinds[1])
+
+            def may(s: np.ndarray) -> np.ndarray:
+                edits, cosine = _bounds(s, np.minimum(mine[0], y.kinds[0]), mine, y.kinds)
+                return self.weight * edits + (1 - self.weight) * cosine >= level
+
+            least = _least(most, may)
+            need[at : at + step] = np.where(least <= most, np.clip(least, 1, 254), 255)
+        return need, of.ravel()
+
+    def _looked(self, y: _Known, number: np.ndarray, here: np.ndarray, some: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, score) of all pairs that reach their name's bar, or of some that may be among the best."""
+        x = self.asked
+        if not len(y.grams) or not here.any():
+            return (np.empty(0, np.int64),) * 3
+        need, of = self._needs(y)
+        least = need.min(axis=1, initial=255).astype(np.int64)
+        size, fits = y.kinds[0], need < 255
+        low = np.searchsorted(y.x.size, np.where(fits, size, 1 << 40).min(axis=1))
+        high = np.searchsorted(y.x.size, np.where(fits, size, -1).max(axis=1), "right")
+        missing = np.bincount(self.at[~here], minlength=len(x.names))
+        rarest = np.where(least[of] < 255, x.types - least[of] + 1, 0) - missing  # a trigram that no known name has is the rarest
+        at, number = self.at[here], number[here]
+        often = y.start[number + 1] - y.start[number]
+        order = np.lexsort((often, at))
+        at, number = at[order], number[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        fits = rarest[at] > 0
+        keep = fits & (some | (nth < (rarest + MORE)[at]) | (y.bit[number] < 0))
+        bit, mask = y.bit[number[fits & ~keep]], np.zeros(len(x.names) * y.bits.shape[1], np.uint64)
+        np.add.at(mask, at[fits & ~keep] * y.bits.shape[1] + bit // WORD, _ONE << (bit % WORD).astype(np.uint64))
+        mask = mask.reshape(len(x.names), -1)
+        at, number = at[keep], number[keep]
+        left = x.types - missing - np.bincount(at, minlength=len(x.names))  # trigrams that aren't looked up
+        enough = np.maximum(least[of] - left, 1)
+        a = np.searchsorted(y.keys, number * y.n + low[of[at]])
+        b = np.searchsorted(y.keys, number * y.n + high[of[at]])
+        fits = a < b
+        at, a, b = at[fits], a[fits], b[fits]
+        begin = np.flatnonzero(np.diff(at, prepend=-1))
+        out, held, i, j, c = [], 0, [], [], []
+        a, b, places = a.tolist(), b.tolist(), y.places
+        for name, p, q in zip(at[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)]):
+            if q - p < enough[name]:
+                continue
+            common = np.bincount(np.concatenate([places[a[k] : b[k]] for k in range(p, q)]))
+            lo = low[of[name]]
+            got = (common[lo:] >= enough[name]).nonzero()[0] + lo
+            if some and len(got) > 4 * TRIED:
+                got = got[np.argpartition(common[got], -4 * TRIED)[-4 * TRIED :]]
+            if len(got):
+                i.append(np.full(len(got), name))
+                c.append(common[got])
+                j.append(got)
+                held += len(got)
+            if held > LOOKED:
+                out.append(self._few(y, np.concatenate(i), np.concatenate(j), np.concatenate(c), need, of, mask, some))
+                held, i, j, c = 0, [], [], []
+        if held:
+            out.append(self._few(y, np.concatenate(i), np.concatenate(j), np.concatenate(c), need, of, mask, some))
+        return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+
+    def _few(self, y: _Known, i: np.ndarray, j: np.ndarray, grams: np.ndarray, need: np.ndarray, of: np.ndarray, mask: np.ndarray, some: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = self.asked
+        both = np.bitwise_count(mask.take(i, axis=0) & y.bits.take(j, axis=0))
+        for w in range(both.shape[1]):
+            grams += both[:, w]
+        k = np.flatnonzero(grams >= need[of[i], y.kind[j]])
+        i, j, grams = i[k], j[k], grams[k]
+        if some:
+            k = np.lexsort((-grams / np.maximum(x.types[i], y.x.types[j]), i))
+            k = k[np.arange(len(k)) - np.searchsorted(i[k], i[k]) < TRIED]
+            i, j, grams = i[k], j[k], grams[k]
+        return self._scored(y, i, j, grams)
+
+    def _scored(self, y: _Known, i: np.ndarray, j: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Those of the pairs that reach the bar, with scores."""
+        x, v, w = self.asked, y.x, self.weight
+        least = (self.bar[i] - 0.5) / MILLION - SLACK
+        la, lb = x.size[i], v.size[j]
+        letters = np.minimum(_count(x.letters[:, i] & v.letters[:, j]) + np.minimum(x.letters_rest[i], v.letters_rest[j]), np.minimum(la, lb))
+        edits, cosine = _bounds(grams, letters, (la, x.types[i], x.square[i]), (lb, v.types[j], v.square[j]))
+        k = np.flatnonzero(w * edits + (1 - w) * cosine >= least)
+        i, j, least, cosine, longer = i[k], j[k], least[k], cosine[k], np.maximum(la[k], lb[k])
+        edits = 1 - y._by_word(j, i, y._edits, edits_of, np.int64, EDITED) / longer
+        k = np.flatnonzero(w * edits + (1 - w) * cosine >= least)
+        i, j, edits = i[k], j[k], edits[k]
+        score = np.floor((w * edits + (1 - w) * y.cosine(j, i)) * MILLION + 0.5).astype(np.int64)
+        score[edits == 1] = MILLION
+        k = np.flatnonzero(score >= self.bar[i])
+        return i[k], j[k], score[k]

@@ -28,6 +28,8 @@ from tidegraph.plans.scratch import materialise
 NAMES = 8192
 #: Names that are compared with those beside them, and with a sample, before they are compared with all.
 NEIGHBOURS, SAMPLES = 512, (2048, 8192)
+#: Names asked whose best are searched in one task at a time, and known names that they are compared with at a time.
+ASKED, KNOWN = 40_000, 32_768
 #: Links whose groups are found within one task; more go over all tasks.
 EDGES = 1_000_000
 
@@ -251,15 +253,54 @@ def resolve(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     return g.join(best, "group").select("id", "name", "group", F.col("m.name").alias("canonical"))
 
 
-def best_matches(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(query, name, score, method, rank) of vocabulary (name) entries that reach the threshold for a query (name), best first."""
+def _best_of(known: str, most: int, threshold: float, many_asked: int, many_known: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        for asked in _gathered((b.column("norm").to_pylist() for b in batches), many_asked):
+            best = alike.Best(asked, most, threshold)
+            for block in _gathered((list(zip(b.column("norm").to_pylist(), b.column("mark").to_pylist())) for b in ds.dataset(known, format="parquet").to_batches()), many_known):
+                best.meet(*map(list, zip(*block)))
+            qn, vn, score = best.result()
+            yield pa.RecordBatch.from_arrays([pa.array(qn, pa.string()), pa.array(vn, pa.string()), pa.array(score, pa.float64())], names=["qn", "vn", "score"])
+
+    return run
+
+
+def _gathered(lists: Iterator[list], size: int) -> Iterator[list]:
+    held: list = []
+    for x in lists:
+        held += x
+        while len(held) >= size:
+            yield held[:size]
+            held = held[size:]
+    if held:
+        yield held
+
+
+def _best_pairs(qn: DataFrame, v: DataFrame, threshold: float, most: int) -> DataFrame:
+    """(qn, vn, score) of the ``most`` best names (norm) for each name asked: by score, then by the first name that stands for it."""
+    known = materialise(v.groupBy("norm").agg(F.min("name").alias("mark")), "known")
+    asked = materialise(qn, "asked")
+    tasks = -(-max(asked.count(), 1) // ASKED // 12) * 12
+    return asked.repartition(min(tasks, 4096)).mapInArrow(_best_of(known._scratch_path, most, threshold, ASKED, KNOWN), "qn string, vn string, score double")
+
+
+def best_matches(asked: DataFrame, vocabulary: DataFrame, threshold: float = 0.7, most: int | None = None) -> DataFrame:
+    """(query, name, score, method, rank) of vocabulary (name) entries that reach the threshold for a query (name), best first; with ``most`` only so many."""
     q = asked.select(F.col("name").alias("query"), entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
     v = vocabulary.select("name", entity_name(F.col("name")).alias("norm")).where("norm <> ''").distinct()
     qn, vn = q.select("norm").distinct(), v.select("norm").distinct()
-    pairs = _across(qn, vn, alike.Rule(hybrid=threshold - 1e-6)).select(F.col("a").alias("qn"), F.col("b").alias("vn"))  # scores are rounded below
-    equal = qn.join(vn, "norm").select(F.col("norm").alias("qn"), F.col("norm").alias("vn"))  # equal names too short for trigrams
-    pairs = materialise(pairs.unionByName(equal).distinct(), "candidates")
-    score = F.when(F.col("qn") == F.col("vn"), F.lit(1.0)).otherwise(hybrid("qn", "vn", "grams"))
-    close = pairs.withColumn("grams", trigram_cosine("qn", "vn")).select("qn", "vn", F.round(score, 6).alias("score"), F.when(F.col("qn") == F.col("vn"), "exact").otherwise("hybrid").alias("method")).where(F.col("score") >= threshold)
+    method = F.when(F.col("qn") == F.col("vn"), "exact").otherwise("hybrid").alias("method")
+    if most is not None and threshold > 0.6:
+        close = _best_pairs(qn, v, threshold, most).select("qn", "vn", "score", method)
+        v = v.withColumn("nth", F.row_number().over(Window.partitionBy("norm").orderBy("name"))).where(F.col("nth") <= most).drop("nth")
+    else:
+        pairs = _across(qn, vn, alike.Rule(hybrid=threshold - 1e-6)).select(F.col("a").alias("qn"), F.col("b").alias("vn"))  # scores are rounded below
+        equal = qn.join(vn, "norm").select(F.col("norm").alias("qn"), F.col("norm").alias("vn"))  # equal names too short for trigrams
+        pairs = materialise(pairs.unionByName(equal).distinct(), "candidates")
+        score = F.when(F.col("qn") == F.col("vn"), F.lit(1.0)).otherwise(hybrid("qn", "vn", "grams"))
+        close = pairs.withColumn("grams", trigram_cosine("qn", "vn")).select("qn", "vn", F.round(score, 6).alias("score"), method).where(F.col("score") >= threshold)
     out = close.join(q.withColumnRenamed("norm", "qn"), "qn").join(v.withColumnRenamed("norm", "vn"), "vn").select("query", "name", "score", "method")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "name")))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), "name")))
+    return out if most is None else out.where(F.col("rank") <= most)
