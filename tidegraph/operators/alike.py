@@ -680,6 +680,37 @@ class _Known(_Pairs):
         self.gy[self.y.trigrams > 0] = self.number(self.y.trigrams[self.y.trigrams > 0]) + 1
         return np.arange(len(self.grams) + 1)
 
+    def edits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self._by_word(i, j, self._edits, edits_of, np.int64, max(1, min(EDITED, CELLS // len(self.alphabet))))
+
+    def _edits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:  # by length of i
+        (table, row), la, lb = self._masks(j), self.x.size[i], self.y.size[j]
+        table, cell, codes = table.ravel(), row * len(self.alphabet), np.ascontiguousarray(self.cx[i].T)
+        pv, mv, score = _ALL[lb], np.zeros(len(i), np.uint64), lb.copy()
+        last = (lb - 1).astype(np.uint64)
+        ends = np.searchsorted(la, np.arange(int(la.max(initial=0))), "right").tolist()
+        for t, at in enumerate(ends):
+            eq, p, m, end = table.take(cell[at:] + codes[t, at:]), pv[at:], mv[at:], last[at:]
+            xh = eq & p
+            xh += p
+            xh ^= p
+            xh |= eq
+            ph = xh | p
+            np.invert(ph, out=ph)
+            ph |= m
+            mh = p & xh
+            score[at:] += ((ph >> end) & _ONE).astype(np.int64)
+            score[at:] -= ((mh >> end) & _ONE).astype(np.int64)
+            ph <<= _ONE
+            ph |= _ONE
+            mh <<= _ONE
+            eq |= m
+            np.bitwise_and(ph, eq, out=m)
+            eq |= ph
+            np.invert(eq, out=eq)
+            np.bitwise_or(mh, eq, out=p)
+        return score
+
     def number(self, grams: np.ndarray) -> np.ndarray:
         """The numbers of trigrams, -1 for those that no known name has."""
         if not len(self.grams):
@@ -803,19 +834,20 @@ class Best:
         at, a, b = at[fits], a[fits], b[fits]
         begin = np.flatnonzero(np.diff(at, prepend=-1))
         out, held, i, j, c = [], 0, [], [], []
-        a, b, places = a.tolist(), b.tolist(), y.places
+        a, b, places, low, enough = a.tolist(), b.tolist(), y.places, low[of].tolist(), enough.tolist()
         for name, p, q in zip(at[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(at)]):
             if q - p < enough[name]:
                 continue
-            common = np.bincount(np.concatenate([places[a[k] : b[k]] for k in range(p, q)]))
-            lo = low[of[name]]
-            got = (common[lo:] >= enough[name]).nonzero()[0] + lo
+            found = np.concatenate([places[a[k] : b[k]] for k in range(p, q)])
+            found -= low[name]
+            common = np.bincount(found)
+            (got,) = (common >= enough[name]).nonzero()
             if some and len(got) > 4 * TRIED:
                 got = got[np.argpartition(common[got], -4 * TRIED)[-4 * TRIED :]]
             if len(got):
                 i.append(np.full(len(got), name))
+                j.append(got + low[name])
                 c.append(common[got])
-                j.append(got)
                 held += len(got)
             if held > LOOKED:
                 out.append(self._few(y, np.concatenate(i), np.concatenate(j), np.concatenate(c), need, of, mask, some))
@@ -846,7 +878,7 @@ class Best:
         edits, cosine = _bounds(grams, letters, (la, x.types[i], x.square[i]), (lb, v.types[j], v.square[j]))
         k = np.flatnonzero(w * edits + (1 - w) * cosine >= least)
         i, j, least, cosine, longer = i[k], j[k], least[k], cosine[k], np.maximum(la[k], lb[k])
-        edits = 1 - y._by_word(j, i, y._edits, edits_of, np.int64, EDITED) / longer
+        edits = 1 - y.edits(j, i) / longer
         k = np.flatnonzero(w * edits + (1 - w) * cosine >= least)
         i, j, edits = i[k], j[k], edits[k]
         score = np.floor((w * edits + (1 - w) * y.cosine(j, i)) * MILLION + 0.5).astype(np.int64)
